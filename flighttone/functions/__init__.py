@@ -1 +1 @@
-
+"""Per-recording attributes."""

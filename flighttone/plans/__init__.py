@@ -1 +1 @@
-
+"""Operators chained into complete analyses."""

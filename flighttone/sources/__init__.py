@@ -1 +1 @@
-
+"""Reading recordings and writing results."""
