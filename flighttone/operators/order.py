@@ -66,6 +66,13 @@ def with_load_seq(df: DataFrame, path: str = "path") -> DataFrame:
     return with_position(listed, keys, "load_seq").drop("_depth", "_dir", "_name")
 
 
+def _seconds(gap: Column) -> Column:
+    """Length of a day-time interval; zoneless times subtract without a session time zone."""
+    parts = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+    terms = [F.extract(F.lit(unit), gap).cast("double") * size for unit, size in parts.items()]
+    return terms[0] + terms[1] + terms[2] + terms[3]
+
+
 def interarrival(df: DataFrame, by: Sequence[str] = (), block: int = 100_000) -> DataFrame:
     """Seconds since the previous recording in load order; the first has none (null).
 
@@ -73,13 +80,10 @@ def interarrival(df: DataFrame, by: Sequence[str] = (), block: int = 100_000) ->
     """
     columns = {"_before": "dt", **{f"_before_{c}": c for c in by}}
     seen = with_previous(df, "load_seq", columns, block)
-    micros = F.unix_micros(F.col("dt").cast("timestamp")) - F.unix_micros(
-        F.col("_before").cast("timestamp")
-    )
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_before_{c}"))
-    return seen.withColumn("td", F.when(same, micros / 1e6)).drop(*columns)
+    return seen.withColumn("td", F.when(same, _seconds(F.col("dt") - F.col("_before")))).drop(*columns)
 
 
 def flag_close(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -89,11 +93,8 @@ def flag_close(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def elapsed(df: DataFrame) -> DataFrame:
     """Whole seconds since the first recording in load order."""
-    first = df.agg(F.min_by("dt", "load_seq").alias("dt")).select(
-        F.unix_micros(F.col("dt").cast("timestamp"))
-    )
-    now = F.unix_micros(F.col("dt").cast("timestamp"))
-    return df.withColumn("elapsed_s", F.floor((now - first.scalar()) / 1_000_000))
+    first = df.agg(F.min_by("dt", "load_seq")).scalar()
+    return df.withColumn("elapsed_s", F.floor(_seconds(F.col("dt") - first)))
 
 
 def order_keys(key: str) -> list[Column | str]:
