@@ -11,7 +11,7 @@ from flighttone.operators import order
 from flighttone.operators.views import recording_curves
 from flighttone.plans.pipeline import attributes
 from flighttone.sources import sinks
-from flighttone.sources.wav import _decode, encode_pcm16
+from flighttone.sources.wav import encode_pcm16, read_content
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,7 +71,7 @@ def rms(spark: SparkSession, d: str) -> DataFrame:
 @check("wav_roundtrip", f"WITH {SIG_SAMPLES} SELECT rec_id, n, floor(x * 32768 + 0.5) / 32768 AS x FROM samples")
 def wav_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Every waveform as the bytes of a WAV file and back."""
-    read = encode_pcm16(sig(spark, d)).select("rec_id", _decode("content").alias("f"))
+    read = encode_pcm16(sig(spark, d)).select("rec_id", read_content("content").alias("f"))
     cells = read.select("rec_id", F.posexplode("f.rawdata").alias("n", "x"))
     return cells.select("rec_id", big("n").alias("n"), (F.col("x") + 0.0).alias("x"))
 
@@ -367,8 +367,11 @@ def als_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @check("hps")
 def hps(spark: SparkSession, d: str) -> DataFrame:
-    fine = spectrum.interpolate_psd(_with_peaks(spark, d), SIG)
-    return tone.hps(fine, SIG).select("rec_id", "hps_f1", "hps_n", "hps_start")
+    fine = spectrum.interpolate_psd(_spectra(spark, d), SIG)
+    found = spectrum.find_peaks(fine, "psd_db", SIG.peak_threshold, SIG.peak_distance)
+    return tone.hps(spectrum.f1_estimate(spectrum.refine_peaks(found, SIG), SIG), SIG).select(
+        "rec_id", "hps_f1", "hps_n", "hps_start"
+    )
 
 
 @check("psd_interp")
@@ -397,7 +400,7 @@ def cwt_power(spark: SparkSession, d: str) -> DataFrame:
 
 @check("recording_curves")
 def curves(spark: SparkSession, d: str) -> DataFrame:
-    rows = tone.als_baseline(attributes(sig(spark, d), SIG))
+    rows = attributes(tone.als_baseline(sig(spark, d)), SIG)
     return recording_curves(rows, 42, SIG.sr, SIG.df)
 
 

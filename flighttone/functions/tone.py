@@ -99,13 +99,19 @@ def _lag_correlation(x: np.ndarray, stop: int) -> np.ndarray:
     return np.clip(out, -1, 1)
 
 
-def autocorrelation(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
-    """Curve ``ac`` by lag, and the better of its first peaks as ``ac_f1`` and ``ac_coeff``.
+def autocorrelation_curve(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
+    """Curve ``ac`` by lag; it ends with the first lag out of range, where it is 0 by definition."""
+    return df.withColumn("ac", row_map(lambda x: _lag_correlation(x, p.lag_stop))(column))
 
-    ``ac`` ends with the first lag out of range, where the curve is 0 by definition.
-    """
-    curve = df.withColumn("ac", row_map(lambda x: _lag_correlation(x, p.lag_stop))(column))
-    return best_lag(find_peaks(curve, "ac", p.ac_threshold, name="_lags"), p).drop("_lags")
+
+def autocorrelation_f1(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The better of the first peaks of ``ac`` as ``ac_f1`` and ``ac_coeff``, 0 without a peak."""
+    return best_lag(find_peaks(df, "ac", p.ac_threshold, name="_lags"), p).drop("_lags")
+
+
+def autocorrelation(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
+    """Autocorrelation of each recording: curve, fundamental and its coefficient."""
+    return autocorrelation_f1(autocorrelation_curve(df, p, column), p)
 
 
 def best_lag(df: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -17,18 +17,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spectral_attributes(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Everything read from the spectrum; no shuffle, and unused columns are pruned."""
+def kernels(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """What numpy computes from a waveform: spectrum, mel levels, baseline, lag curve, duration."""
     x = spectrum.psd_db(spectrum.welch_psd(df, p))
     x = spectrum.mfcc(spectrum.mel_spectrum(x, p), p)
     x = spectrum.spectral_baseline(x, p.baseline_degree)
-    x = spectrum.f1_estimate(spectrum.refine_peaks(spectrum.psd_peaks(x, p), p), p)
-    x = spectrum.signal_powers(x, p)
-    return tone.harmonic_f1(spectrum.signal_to_noise(x), p)
+    return waveform.duration(tone.autocorrelation_curve(x, p), p)
 
 
 def attributes(df: DataFrame, p: Params = DEFAULT, f1: str = "harmonic") -> DataFrame:
-    """All attributes of recordings with a ``waveform``."""
-    x = waveform.rms(waveform.duration(spectral_attributes(df, p), p))
-    x = tone.autocorrelation(x, p)
+    """All attributes of recordings with a ``waveform``; no shuffle, unused columns are pruned.
+
+    The kernels come first: Catalyst merges projections below a Python function
+    and would repeat the column expressions.  For the same reason, and so that
+    later steps do not compute them again, write the attributes to a table
+    before adding features or other kernels.
+    """
+    x = spectrum.psd_peaks(kernels(df, p), p)
+    x = spectrum.f1_estimate(spectrum.refine_peaks(x, p), p)
+    x = spectrum.signal_to_noise(spectrum.signal_powers(x, p))
+    x = tone.autocorrelation_f1(tone.harmonic_f1(waveform.rms(x), p), p)
     return tone.select_f1(x, f1)

@@ -11,7 +11,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flighttone.functions.names import decode_filename, normalise_temp, split_path
@@ -100,21 +100,33 @@ def resample(df: DataFrame, sr: int = 8000, column: str = "rawdata", rate: str =
     return df.withColumn(column, _resample_column(sr)(column, rate))
 
 
-@F.arrow_udf("struct<fs_in:int,rawdata:array<double>,error:string>")
-def _decode(content: pa.Array) -> pa.Array:
+def _decoded(content: pa.Array) -> pa.Array:
     rates, samples, errors = [], [], []
     for item in content:
         try:
             rate, x = decode_wav(item.as_py() or b"")
-            rates.append(rate), samples.append(x), errors.append(None)
-        except (ValueError, struct.error) as problem:
-            rates.append(None), samples.append(None), errors.append(str(problem))
+            problem = None
+        except (ValueError, struct.error) as failure:
+            rate, x, problem = None, None, str(failure)
+        rates.append(rate)
+        samples.append(x)
+        errors.append(problem)
     return pa.StructArray.from_arrays(
         [pa.array(rates, pa.int32()), pa.array(samples, pa.list_(pa.float64())), pa.array(errors, pa.string())],
         names=["fs_in", "rawdata", "error"],
     )
 
 
+def read_content(content: Column | str) -> Column:
+    """Bytes of a file as ``struct<fs_in, rawdata, error>``."""
+
+    @F.arrow_udf("struct<fs_in:int,rawdata:array<double>,error:string>")
+    def decode(files: pa.Array) -> pa.Array:
+        return _decoded(files)
+
+    return decode(content)
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Files ending in exactly ``.wav`` anywhere below ``root``; reading only paths is cheap."""
     return (
@@ -139,7 +151,7 @@ def load_order(files: DataFrame) -> DataFrame:
 def decode_files(files: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Name facts, samples at the common rate and ``error`` for each file of a scan."""
     named = decode_filename(split_path(files))
-    read = named.withColumn("_read", _decode("content")).drop("content")
+    read = named.withColumn("_read", read_content("content")).drop("content")
     flat = read.select(*[c for c in read.columns if c != "_read"], "_read.*")
     ready = resample(flat, p.sr).withColumn("temp_norm", normalise_temp("temp", p.temp_min, p.temp_max))
     ready = ready.withColumns({"fs": F.lit(float(p.sr)), "waveform": F.col("rawdata")})
