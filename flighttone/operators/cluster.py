@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -102,10 +101,10 @@ def next_eps(eps: float, range_: float, step: float) -> float:
 
 # --- least squares on a line ----------------------------------------------------
 
-#: Split points solved between two already solved neighbours in one pass.
+#: Most split points solved between two already solved neighbours in one pass.
 FAN_OUT = 128
 #: Positions of the value axis held by one row of the block table.
-AXIS_BLOCK = 4096
+AXIS_BLOCK = 512
 
 
 def _axis(df: DataFrame, column: str, shift: float) -> DataFrame:
@@ -133,44 +132,36 @@ def _best_split(tasks: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     span = F.sequence(F.floor(F.col("lo") / AXIS_BLOCK), F.floor(F.col("hi") / AXIS_BLOCK))
     met = tasks.withColumn("block", F.explode(span)).join(blocks, "block")
-
-    def cheapest(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf.itertuples():
-                p = np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in t.points])
-                p = p[(p[:, 0] >= t.lo) & (p[:, 0] <= t.hi)]
-                weight, total = t.sw - p[:, 1], t.s1 - p[:, 2]
-                cost = p[:, 4] + np.maximum(t.s2 - p[:, 3] - total * total / weight, 0)
-                at = int(np.argmin(cost))
-                out.append((t.i, cost[at], int(p[at, 0])))
-            yield pd.DataFrame(out, columns=["i", "cost", "split"])
-
-    found = met.mapInPandas(cheapest, "i long, cost double, split long")
-    best = F.min(F.struct("cost", "split")).alias("b")
-    return found.groupBy("i").agg(best).select("i", "b.cost", "b.split")
+    cheapest = F.expr(
+        "array_min(transform(filter(points, p -> p.i between lo and hi), p -> struct(p.cost"
+        " + greatest(0D, s2 - p.s2 - (s1 - p.s1) * (s1 - p.s1) / (sw - p.sw)) as cost, p.i as split)))"
+    )
+    found = met.select("i", cheapest.alias("b"))
+    return found.groupBy("i").agg(F.min("b").alias("b")).select("i", "b.cost", "b.split")
 
 
 def _next_layer(axis: DataFrame, n: int, parts: int) -> DataFrame:
     """Least cost of cutting ``0..i`` into ``parts`` for every ``i``, with the last split.
 
     The best split never moves left as ``i`` grows, so solved points bound the
-    search of those between them: each pass solves ``FAN_OUT`` more per gap.
+    search of those between them: each pass solves up to ``FAN_OUT`` more per gap.
     """
     blocks = materialize(_blocked(axis))
     sums = axis.select("i", "sw", "s1", "s2")
-    gap = n
-    solved = None
+    passes = max(1, math.ceil(math.log(n) / math.log(FAN_OUT)))
+    fan = max(2, math.ceil(n ** (1 / passes)))
+    gap, solved = n, None
     while gap > 1:
-        wide = gap
-        gap = max(1, -(-gap // FAN_OUT))
+        wide, gap = gap, max(1, -(-gap // fan))
         here = sums.filter((F.col("i") >= parts - 1) & (F.col("i") % gap == 0))
         if solved is None:
             tasks = here.withColumns({"lo": F.lit(parts - 2).cast("long"), "hi": F.col("i") - 1})
         else:
-            left = solved.select((F.floor(F.col("i") / wide)).alias("_g"), F.col("split").alias("_lo"))
-            right = solved.select((F.floor(F.col("i") / wide) - 1).alias("_g"), F.col("split").alias("_hi"))
-            fresh = here.filter(F.col("i") % wide != 0).withColumn("_g", F.floor(F.col("i") / wide))
+            place = F.floor(F.col("i") / wide)
+            grid = solved.filter(F.col("i") % wide == 0)
+            left = grid.select(place.alias("_g"), F.col("split").alias("_lo"))
+            right = grid.select((place - 1).alias("_g"), F.col("split").alias("_hi"))
+            fresh = here.join(solved.select("i"), "i", "left_anti").withColumn("_g", place)
             bounded = fresh.join(left, "_g", "left").join(right, "_g", "left")
             tasks = bounded.select(
                 "i", "sw", "s1", "s2",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flighttone.functions import spectrum, tone, waveform
@@ -17,6 +21,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """In local mode let Python workers find this package wherever the session was started.
+
+    On a cluster pass the package with ``--py-files`` or install it.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local") and context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="flighttone-")) / package.name
+        context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def kernels(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """What numpy computes from a waveform: spectrum, mel levels, baseline, lag curve, duration."""
     x = spectrum.psd_db(spectrum.welch_psd(df, p))
