@@ -283,7 +283,7 @@ peak AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY lag) AS place
   WHERE lag >= 4 AND r > a + 1e-12 AND r > c + 1e-12 AND r > lim),
 fine AS (SELECT rec_id, place, r - 0.25 * (a - c) * p AS coeff, 100.0 / (lag + p) AS f
   FROM (SELECT *, 0.5 * (a - c) / (a - 2 * r + c) AS p FROM peak WHERE place <= 2)),
-best AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY coeff DESC, place) AS b FROM fine)
+best AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY round(coeff, 9) DESC, place) AS b FROM fine)
 SELECT rec_id, round(coalesce(f, 0.0), 4) AS ac_f1, round(coalesce(coeff, 0.0), 4) + 0.0 AS ac_coeff
 FROM sized LEFT JOIN (SELECT * FROM best WHERE b = 1) USING (rec_id)""")
 def autocorr_f1(spark: SparkSession, d: str) -> DataFrame:

@@ -115,7 +115,10 @@ def autocorrelation(df: DataFrame, p: Params = DEFAULT, column: str = "waveform"
 
 
 def best_lag(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Refine the first ``ac_peaks`` peaks in range and keep the one with the larger r."""
+    """Refine the first ``ac_peaks`` peaks in range and keep the one with the larger r.
+
+    r is compared to nine digits, so a strictly periodic signal gives its first peak.
+    """
     vertex = F.expr(
         f"transform(slice(filter(_lags, l -> l >= {p.lag_start}), 1, {p.ac_peaks}), l -> struct(l,"
         " ac[l] as b, 0.5D * (ac[l - 1] - ac[l + 1]) / (ac[l - 1] - 2D * ac[l] + ac[l + 1]) as s,"
@@ -124,8 +127,8 @@ def best_lag(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     refined = df.withColumn("_vertex", vertex).withColumn(
         "_best",
         F.expr(
-            "array_max(transform(_vertex, (t, i) -> struct(t.b - 0.25D * t.d * t.s as r, -i as o,"
-            f" {float(p.sr)!r}D / (t.l + t.s) as f)))"
+            "array_max(transform(_vertex, (t, i) -> struct(round(t.b - 0.25D * t.d * t.s, 9) as c, -i as o,"
+            f" t.b - 0.25D * t.d * t.s as r, {float(p.sr)!r}D / (t.l + t.s) as f)))"
         ),
     )
     return refined.withColumns(

@@ -128,7 +128,10 @@ def read_content(content: Column | str) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files ending in exactly ``.wav`` anywhere below ``root``; reading only paths is cheap."""
+    """Files ending in exactly ``.wav`` anywhere below ``root``; reading only paths is cheap.
+
+    Spark leaves out files without a single byte, and names starting with ``_`` or a dot.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
