@@ -215,7 +215,8 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @check("gaussian_mixture")
 def gaussian_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.gaussian_mixture(features.apply_pca(sig(spark, d), features.fit_pca(sig(spark, d), 5)), 3)
+    x = sig(spark, d)
+    return cluster.gaussian_mixture(features.apply_pca(x, features.fit_pca(x, 5)), 3)
 
 
 @check("spectral")

@@ -31,9 +31,12 @@ def good_harmonics(n: int) -> Column:
 
 
 def split(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed); a row whose measure is missing or not a number is kept, as it always was."""
-    passes = F.coalesce(good, F.lit(True))
-    return df.filter(passes), df.filter(~passes)
+    """(kept, removed), together the input.
+
+    The condition stays a plain comparison, so it is pushed into the scan;
+    attributes are never null, and a row without the measure is removed.
+    """
+    return df.filter(good), df.filter(~F.coalesce(good, F.lit(False)))
 
 
 def drop_low_s2n(df: DataFrame, t: float) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flighttone.operators.joins import cycle_label, relabel
+from flighttone.operators.mixture import SEED as MIXTURE_SEED
+from flighttone.operators.mixture import apply_mixture, fit_mixture
 from flighttone.operators.pairwise import density_clusters, nearest, silhouette
 from flighttone.scale import materialize, small_side, with_running_totals
 
@@ -19,9 +21,8 @@ __all__ = [
     "eps_grid", "file_groups", "gaussian_mixture", "kmeans", "next_eps", "relabel", "spectral",
 ]
 
-# Fixed seeds.
+# Fixed seed.
 KMEANS_SEED = 0
-MIXTURE_SEED = 101557
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def file_groups(df: DataFrame) -> DataFrame:
 
 
 def kmeans(df: DataFrame, k: int, seed: int = KMEANS_SEED) -> DataFrame:
-    """Nearest of ``k`` centres; an extra column ``distance`` is not kept."""
+    """Nearest of ``k`` centres."""
     data = _vectors(df)
     model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="label", maxIter=300).fit(data)
     return _assigned(model.transform(data))
@@ -46,9 +47,7 @@ def kmeans(df: DataFrame, k: int, seed: int = KMEANS_SEED) -> DataFrame:
 
 def gaussian_mixture(df: DataFrame, k: int, seed: int = MIXTURE_SEED) -> DataFrame:
     """Most likely of at most ``k`` normal components; unused ones leave no gap in the labels."""
-    data = _vectors(df)
-    model = GaussianMixture(k=k, seed=seed, featuresCol="v", predictionCol="label").fit(data)
-    placed = model.transform(data)
+    placed = apply_mixture(df.select("rec_id", "features"), fit_mixture(df, k, seed))
     used = placed.select("label").distinct().withColumn(
         "_new", F.dense_rank().over(Window.orderBy("label")) - 1  # at most k rows
     )
