@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
@@ -34,15 +35,17 @@ CURVE_TREES = 25
 def holdout_split(df: DataFrame, share: float = 0.2, seed: int = SPLIT_SEED) -> DataFrame:
     """Mark the first ``ceil(share * n)`` rows by hash of id and seed as ``is_test``.
 
-    A plain hash threshold would be cheaper but not give that exact number.
+    Only ids are sorted; the last hash inside is a constant, so the wide rows
+    are marked where they are.
     """
-    keys = df.select("rec_id").withColumn(
-        "_h", F.md5(F.concat(F.col("rec_id").cast("string"), F.lit(str(seed))).cast("binary"))
-    )
-    placed = with_position(keys, ["_h", "rec_id"], "_at")
-    n = placed.agg(F.max("_at") + 1).scalar()
-    marked = placed.select("rec_id", (F.col("_at") < F.ceil(F.lit(share) * n)).alias("is_test"))
-    return df.join(marked, "rec_id")
+    hashed = F.md5(F.concat(F.col("rec_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    placed = with_position(df.select("rec_id", hashed.alias("h")), ["h", "rec_id"], "at")
+    n = placed.count()
+    last = placed.filter(F.col("at") == math.ceil(share * n) - 1).first()
+    if last is None:
+        return df.withColumn("is_test", F.lit(False))
+    inside = (hashed < last["h"]) | ((hashed == last["h"]) & (F.col("rec_id") <= last["rec_id"]))
+    return df.withColumn("is_test", inside)
 
 
 @dataclass

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +139,6 @@ def silhouette(df: DataFrame, ignore_noise: bool = False, method: str = "euclide
 
 def _squared_silhouette(df: DataFrame) -> DataFrame:
     from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
 
     ready = df.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("v"))
     few = ready.select("label").distinct().limit(2).count() < 2
@@ -195,12 +196,8 @@ def _near_tiles(points: DataFrame, eps: float, block_rows: int) -> DataFrame:
     Cells of side ``eps`` on the two widest axes bound where neighbours can be;
     a crowded cell is cut into blocks.
     """
-    spread = (
-        points.select(F.posexplode("features").alias("axis", "v"))
-        .groupBy("axis").agg(F.var_pop("v").alias("spread"))
-        .orderBy(F.desc("spread"), "axis").limit(2)
-    )
-    axes = [r["axis"] for r in spread.collect()]
+    spread = points.select(Summarizer.variance(array_to_vector("features"))).first()[0].toArray()
+    axes = [int(a) for a in np.argsort(-spread, kind="stable")[:2]]
     cell = F.array(*[F.floor(F.col("features")[a] / eps).cast("long") for a in axes])
     placed = points.withColumn("_cell", cell)
     counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))

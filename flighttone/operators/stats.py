@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flighttone.params import DEFAULT, Params
-from flighttone.scale import percentiles, small_side
+from flighttone.scale import fits_one_task, percentiles
 
 # Fixed bin edges.
 S2N_EDGES = (0, 10, 20, 50, 100, 200, 500, float("inf"))
 POWER_EDGES = (-100, -50, -45, -40, -35, -30, -25, -20, -15, float("inf"))
 
 HOURS = 24
+#: Curves a task adds up before it passes them on.
+HELD_CURVES = 2000
 
 
 def _slope(y: str, x: str) -> Column:
@@ -36,9 +38,10 @@ def _fit(y: str, x: str) -> Column:
 
 def _with_median(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], column: str,
                  name: str) -> DataFrame:
-    means = df.groupBy(*by).agg(*aggs)
-    medians = percentiles(df, by, column, {name: 0.5})
-    return means.join(small_side(medians), list(by))
+    """One aggregate where a task can hold a group's values, else medians by rank beside it."""
+    if fits_one_task(df):
+        return df.groupBy(*by).agg(*aggs, F.median(column).alias(name))
+    return df.groupBy(*by).agg(*aggs).join(percentiles(df, by, column, {name: 0.5}), list(by))
 
 
 def summary(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -165,9 +168,20 @@ def freq_kde(df: DataFrame, label: str = "label", p: Params = DEFAULT) -> DataFr
     """
     grid = np.arange(p.f1_min, p.f1_max, p.f1_step / 5)
 
+    def out(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(sums)).cast(kind),
+                pa.array([c.tolist() for c, _ in sums.values()], pa.list_(pa.float64())),
+                pa.array([n for _, n in sums.values()], pa.int64()),
+            ],
+            names=["label", "curve", "n"],
+        )
+
     def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
+            kind = batch.schema.field(0).type
             labels = batch.column(0).to_pylist()
             f1 = batch.column(1).to_numpy(zero_copy_only=False)
             codes = {v: i for i, v in enumerate(dict.fromkeys(labels))}
@@ -178,15 +192,11 @@ def freq_kde(df: DataFrame, label: str = "label", p: Params = DEFAULT) -> DataFr
                 for part in np.array_split(mine, -(-len(mine) // 2000)):
                     curve = curve + np.exp(-0.5 * ((grid - part[:, None]) / p.f1_step) ** 2).sum(axis=0)
                 sums[value] = (curve, n + len(mine))
+            if len(sums) > HELD_CURVES:
+                yield out(sums, kind)
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(sums)).cast(batch.schema.field(0).type),
-                    pa.array([c.tolist() for c, _ in sums.values()], pa.list_(pa.float64())),
-                    pa.array([n for _, n in sums.values()], pa.int64()),
-                ],
-                names=["label", "curve", "n"],
-            )
+            yield out(sums, kind)
 
     values = df.select(F.col(label).alias("label"), "f1").filter("f1 is not null")
     kind = values.schema["label"].dataType.simpleString()
@@ -200,7 +210,7 @@ def freq_kde(df: DataFrame, label: str = "label", p: Params = DEFAULT) -> DataFr
     highest = freq_histogram(df, label, p).groupBy(F.col(label).alias("label")).agg(
         F.max("n").alias("_top")
     )
-    scaled = ended.join(small_side(highest), "label").withColumn(
+    scaled = ended.join(highest, "label").withColumn(
         "density", F.col("v") * F.col("_top") / F.max("v").over(Window.partitionBy("label"))
     )
     return scaled.select(

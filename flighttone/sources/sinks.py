@@ -19,6 +19,11 @@ CSV_HEADER = (
 )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Few files per directory: rows of a key come together, a key with many rows is split."""
+    return df.hint("rebalance", key)
+
+
 def csv_time(column: Column | str) -> Column:
     return F.date_format(column, "yyyy-MMM-dd HH:mm:ss")
 
@@ -51,7 +56,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 def write_recordings(df: DataFrame, path: str) -> None:
     """Parquet by group, so that later reads of one group skip the others."""
-    df.write.mode("overwrite").partitionBy("group_name").parquet(path)
+    _spread(df, "group_name").write.mode("overwrite").partitionBy("group_name").parquet(path)
 
 
 def save_features(df: DataFrame, path: str) -> str:
@@ -65,7 +70,8 @@ def save_features(df: DataFrame, path: str) -> str:
 
 def write_by_cluster(df: DataFrame, path: str) -> None:
     """One directory per label, replacing what was there; the sources are not touched."""
-    df.withColumn("cluster", F.col("label")).write.mode("overwrite").partitionBy("cluster").parquet(path)
+    labelled = _spread(df.withColumn("cluster", F.col("label")), "cluster")
+    labelled.write.mode("overwrite").partitionBy("cluster").parquet(path)
 
 
 def scalogram_levels(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -81,7 +87,9 @@ def scalogram_levels(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def write_scalograms(df: DataFrame, path: str, wavelet: str = CONTINUOUS[0], p: Params = DEFAULT) -> None:
     """One image row per recording in a directory per label."""
-    images = scalogram_levels(cwt_power(df.select("rec_id", "label", "waveform"), wavelet, p), p)
+    # waveforms are far smaller than their images, so they move before the transform
+    waves = _spread(df.select("rec_id", "label", "waveform"), "label")
+    images = scalogram_levels(cwt_power(waves, wavelet, p), p)
     images.select("rec_id", "image", F.col("label").alias("cluster")).write.mode(
         "overwrite"
     ).partitionBy("cluster").parquet(path)

@@ -136,3 +136,16 @@ def test_stats_of_a_collection(read):
     rows = attributes(wav.good_records(read))
     one = stats.summary(rows).first()
     assert one["n"] == 7 and one["f1_median"] == pytest.approx(500, abs=2) and one["psd_min"] < -50
+
+
+def test_files_that_arrive_later(spark, tree, read, tmp_path):
+    from flighttone.streaming import stream_recordings
+
+    dim = order.group_dim(read)
+    stream = attributes(stream_recordings(spark, tree, dim)).select("rec_id", "group_id", "f1", "error")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 8 and got.filter("error is null").count() == 7
