@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flighttone.functions.spectrum import to_db
 from flighttone.operators.joins import small_side
 from flighttone.operators.order import group_dim
 from flighttone.params import Params
@@ -56,7 +57,7 @@ def ev(spark: SparkSession, folder: str) -> DataFrame:
     )
     return facts.withColumns(
         {
-            "fd_power_db": 10 * F.log10("fd_power"),
+            "fd_power_db": to_db("fd_power"),
             "fd_power_lf": F.col("fd_power") * (F.col("temp") + 1) / 50,
             "filename": F.when(F.col("rec_id") % 7 == 0, F.format_string("clip%d.wav", "rec_id")).otherwise(
                 F.format_string(
@@ -123,7 +124,7 @@ EV = """ev AS (
   SELECT event_id AS rec_id, event_type AS group_name, ts AS dt,
     CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS temp,
     CAST(user_id % 100 AS DOUBLE) AS rh, value + 100 AS f1, value AS s2n, value + 100 AS s2n_freq,
-    power(value / 1000, 2) AS fd_power, 10 * log10(power(value / 1000, 2)) AS fd_power_db,
+    power(value / 1000, 2) AS fd_power, CASE WHEN value = 0 THEN CAST('-inf' AS DOUBLE) ELSE 10 * log10(power(value / 1000, 2)) END AS fd_power_db,
     power(value / 1000, 2) * (CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) + 1) / 50 AS fd_power_lf,
     event_id % 6 AS ha_count, CAST(50 + event_id % 200 AS DOUBLE) AS dur_ms, user_id,
     CASE WHEN event_id % 7 = 0 THEN 'clip' || event_id || '.wav'

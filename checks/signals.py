@@ -85,10 +85,10 @@ def duration(spark: SparkSession, d: str) -> DataFrame:
 
 
 @check("moving_power", f"""WITH {WAV_SAMPLES} SELECT rec_id, n, round(avg(x * x) OVER (PARTITION BY rec_id ORDER BY n
-  ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 9) AS power FROM wav""")
+  ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 13) AS power FROM wav""")
 def moving_power(spark: SparkSession, d: str) -> DataFrame:
     found = waveform.moving_power(wav_samples(spark, d), 3)
-    return found.select("rec_id", "n", r("power", 9).alias("power"))
+    return found.select("rec_id", "n", r("power", 13).alias("power"))
 
 
 # --- spectrum ------------------------------------------------------------------------
@@ -331,12 +331,12 @@ _STATS = ("p5", "p25", "p75", "p95", "median", "mean", "std", "var", "mean_abs")
 
 
 @check("band_stats", f"""WITH {WAV_SAMPLES} SELECT rec_id, n % 2 AS band,
-  {', '.join(f'round(quantile_cont(x, {q}), 7) + 0.0 AS {c}' for c, q in zip(_STATS, (0.05, 0.25, 0.75, 0.95, 0.5)))},
-  round(avg(x), 7) + 0.0 AS mean, round(stddev_pop(x), 7) AS std, round(var_pop(x), 7) AS var, round(avg(abs(x)), 7) AS mean_abs
+  {', '.join(f'round(quantile_cont(x, {q}), 12) + 0.0 AS {c}' for c, q in zip(_STATS, (0.05, 0.25, 0.75, 0.95, 0.5)))},
+  round(avg(x), 12) + 0.0 AS mean, round(stddev_pop(x), 12) AS std, round(var_pop(x), 12) AS var, round(avg(abs(x)), 12) AS mean_abs
 FROM wav GROUP BY rec_id, n % 2""")
 def band_stats(spark: SparkSession, d: str) -> DataFrame:
     found = wavelets.band_stats(_bands(spark, d))
-    return found.select("rec_id", big("band").alias("band"), *[r(c, 7).alias(c) for c in _STATS])
+    return found.select("rec_id", big("band").alias("band"), *[r(c, 12).alias(c) for c in _STATS])
 
 
 @check("crossings", f"""WITH {WAV_SAMPLES}, m AS (SELECT rec_id, n, x > 0 AS z, x > avg(x) OVER (PARTITION BY rec_id) AS m FROM wav),

@@ -7,10 +7,11 @@ expression, so unused attributes are pruned by Catalyst.  No operator shuffles.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flighttone.functions.batches import row_map
+from flighttone.functions.batches import matrices, row_map
 from flighttone.params import DEFAULT, Params
 
 # Fixed values for a recording without a peak.
@@ -44,12 +45,13 @@ def welch_psd(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> D
 
 
 def to_db(column: Column | str) -> Column:
+    """Decibels; no power at all is minus infinity."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.lit(10.0) * F.log10(c)
+    return F.when(c == 0, float("-inf")).otherwise(F.lit(10.0) * F.log10(c))
 
 
 def psd_db(df: DataFrame) -> DataFrame:
-    levels = df.withColumn("psd_db", F.transform("psd", to_db))
+    levels = df.withColumn("psd_db", F.transform("psd", lambda x: F.lit(10.0) * F.log10(x)))
     return levels.withColumn("psd_min", F.array_min("psd_db"))
 
 
@@ -134,44 +136,57 @@ def spectral_baseline(df: DataFrame, deg: int = 9) -> DataFrame:
     )
 
 
+def _spaced(row: np.ndarray, found: np.ndarray, min_dist: int) -> np.ndarray:
+    """Highest peak first, each clearing ``min_dist`` places on both sides."""
+    kept: list[int] = []
+    for i in found[np.lexsort((found, row[found]))[::-1]]:
+        if all(abs(i - k) > min_dist for k in kept):
+            kept.append(i)
+    return np.sort(np.array(kept, dtype=found.dtype))
+
+
+def _peak_lists(x: np.ndarray, thres: float, min_dist: int) -> list[np.ndarray]:
+    low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
+    middle = x[:, 1:-1]
+    at = (middle > low + thres * (high - low)) & (middle > x[:, :-2]) & (middle > x[:, 2:])
+    rows, cols = np.nonzero(at)
+    lists = np.split(cols + 1, np.searchsorted(rows, np.arange(1, len(x))))
+    if min_dist > 1:
+        lists = [_spaced(row, found, min_dist) for row, found in zip(x, lists)]
+    return lists
+
+
 def find_peaks(
     df: DataFrame,
     values: str,
     thres: float = 0.25,
     min_dist: int = 1,
     name: str = "peak_idx",
+    below: str | None = None,
 ) -> DataFrame:
     """Indices of local maxima above ``min + thres * (max - min)``, ascending.
 
     With ``min_dist`` over 1 the highest peak goes first and clears that many
-    bins on both sides.
+    places on both sides.  ``below`` names a column to take off the values first.
     """
-    limited = df.withColumn(
-        "_limit",
-        F.array_min(values) + F.lit(thres) * (F.array_max(values) - F.array_min(values)),
-    )
-    found = F.expr(
-        f"filter(sequence(1, greatest(size({values}) - 2, 1)), i -> i < size({values}) - 1"
-        f" and {values}[i] > _limit and {values}[i] > {values}[i - 1]"
-        f" and {values}[i] > {values}[i + 1])"
-    )
-    limited = limited.withColumn(name, found)
-    if min_dist > 1:
-        kept = F.expr(
-            f"aggregate(reverse(array_sort(transform({name}, i -> struct({values}[i] as h, i as i)))),"
-            f" cast(array() as array<int>), (kept, c) ->"
-            f" if(exists(kept, k -> abs(k - c.i) <= {min_dist}), kept, array_append(kept, c.i)))"
-        )
-        limited = limited.withColumn(name, F.array_sort(kept))
-    return limited.drop("_limit")
+
+    @F.arrow_udf("array<int>")
+    def peaks(levels: pa.Array, base: pa.Array) -> pa.Array:
+        out: list = [None] * len(levels)
+        floors = {} if below is None else {rows.tobytes(): m for rows, m in matrices(base)}
+        for rows, x in matrices(levels):
+            flat = x - floors[rows.tobytes()] if floors else x
+            found = _peak_lists(flat, thres, min_dist) if x.shape[1] > 2 else [[]] * len(x)
+            for row, places in zip(rows, found):
+                out[row] = places
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return df.withColumn(name, peaks(values, below or values))
 
 
 def psd_peaks(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Peak bins of the spectrum after its baseline is taken off."""
-    flat = df.withColumn(
-        "_flat", F.zip_with("psd_db", "psd_baseline_db", lambda level, base: level - base)
-    )
-    return find_peaks(flat, "_flat", p.peak_threshold, p.peak_distance).drop("_flat")
+    return find_peaks(df, "psd_db", p.peak_threshold, p.peak_distance, below="psd_baseline_db")
 
 
 def refine_peaks(df: DataFrame, p: Params = DEFAULT) -> DataFrame:

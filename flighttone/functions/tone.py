@@ -100,27 +100,22 @@ def _lag_correlation(x: np.ndarray, stop: int) -> np.ndarray:
 
 
 def autocorrelation_curve(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
-    """Curve ``ac`` by lag; it ends with the first lag out of range, where it is 0 by definition."""
-    return df.withColumn("ac", row_map(lambda x: _lag_correlation(x, p.lag_stop))(column))
+    """Curve ``ac`` by lag and its peaks ``ac_peak_idx``.
 
-
-def autocorrelation_f1(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The better of the first peaks of ``ac`` as ``ac_f1`` and ``ac_coeff``, 0 without a peak."""
-    return best_lag(find_peaks(df, "ac", p.ac_threshold, name="_lags"), p).drop("_lags")
-
-
-def autocorrelation(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
-    """Autocorrelation of each recording: curve, fundamental and its coefficient."""
-    return autocorrelation_f1(autocorrelation_curve(df, p, column), p)
+    The curve ends with the first lag out of range, where it is 0 by definition.
+    """
+    curve = df.withColumn("ac", row_map(lambda x: _lag_correlation(x, p.lag_stop))(column))
+    return find_peaks(curve, "ac", p.ac_threshold, name="ac_peak_idx")
 
 
 def best_lag(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Refine the first ``ac_peaks`` peaks in range and keep the one with the larger r.
 
-    r is compared to nine digits, so a strictly periodic signal gives its first peak.
+    r is compared to nine digits, so a strictly periodic signal gives its first
+    peak; without a peak ``ac_f1`` and ``ac_coeff`` are 0.
     """
     vertex = F.expr(
-        f"transform(slice(filter(_lags, l -> l >= {p.lag_start}), 1, {p.ac_peaks}), l -> struct(l,"
+        f"transform(slice(filter(ac_peak_idx, l -> l >= {p.lag_start}), 1, {p.ac_peaks}), l -> struct(l,"
         " ac[l] as b, 0.5D * (ac[l - 1] - ac[l + 1]) / (ac[l - 1] - 2D * ac[l] + ac[l + 1]) as s,"
         " ac[l - 1] - ac[l + 1] as d))"
     )
@@ -139,6 +134,11 @@ def best_lag(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     ).drop("_vertex", "_best")
 
 
+def autocorrelation(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
+    """Autocorrelation of each recording: curve, fundamental and its coefficient."""
+    return best_lag(autocorrelation_curve(df, p, column), p)
+
+
 def lag_pairs(samples: DataFrame, max_lag: int) -> DataFrame:
     """Long form ``(rec_id, n, x)``: each sample beside the one ``lag`` later, lag 1..max_lag."""
     early = samples.select("rec_id", "n", F.col("x").alias("early")).withColumn(

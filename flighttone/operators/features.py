@@ -267,11 +267,9 @@ def temp_bucket(column: Column | str, p: Params = DEFAULT) -> Column:
 
 def temp_one_hot(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     top = round((p.temp_max - p.temp_min) / p.temp_step)
-    hot = df.withColumn("_slot", temp_bucket("temp", p))
-    return hot.withColumn(
-        "temp_one_hot",
-        F.transform(F.sequence(F.lit(0), F.lit(top)), lambda i: (i == F.col("_slot")).cast("double")),
-    ).drop("_slot")
+    slot, zero = F.col("_slot"), F.lit(0.0)
+    hot = F.concat(F.array_repeat(zero, slot), F.array(F.lit(1.0)), F.array_repeat(zero, F.lit(top) - slot))
+    return df.withColumn("_slot", temp_bucket("temp", p)).withColumn("temp_one_hot", hot).drop("_slot")
 
 
 # --- reuse ----------------------------------------------------------------------------------

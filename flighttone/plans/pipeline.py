@@ -39,10 +39,10 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def kernels(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """What numpy computes from a waveform: spectrum, mel levels, baseline, lag curve, duration."""
+    """What numpy computes from a waveform: spectrum, mel levels, baseline, peaks, lag curve, duration."""
     x = spectrum.psd_db(spectrum.welch_psd(df, p))
     x = spectrum.mfcc(spectrum.mel_spectrum(x, p), p)
-    x = spectrum.spectral_baseline(x, p.baseline_degree)
+    x = spectrum.psd_peaks(spectrum.spectral_baseline(x, p.baseline_degree), p)
     return waveform.duration(tone.autocorrelation_curve(x, p), p)
 
 
@@ -54,8 +54,7 @@ def attributes(df: DataFrame, p: Params = DEFAULT, f1: str = "harmonic") -> Data
     later steps do not compute them again, write the attributes to a table
     before adding features or other kernels.
     """
-    x = spectrum.psd_peaks(kernels(df, p), p)
-    x = spectrum.f1_estimate(spectrum.refine_peaks(x, p), p)
+    x = spectrum.f1_estimate(spectrum.refine_peaks(kernels(df, p), p), p)
     x = spectrum.signal_to_noise(spectrum.signal_powers(x, p))
-    x = tone.autocorrelation_f1(tone.harmonic_f1(waveform.rms(x), p), p)
+    x = tone.best_lag(tone.harmonic_f1(waveform.rms(x), p), p)
     return tone.select_f1(x, f1)
