@@ -151,30 +151,34 @@ def nearest(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", "other", r("distance").alias("distance"), big("place").alias("place"))
 
 
-def _dbscan_sql(eps: float) -> str:
-    return f"""WITH RECURSIVE {_PAIRS},
-near AS (SELECT id, other FROM pairs WHERE dist <= {eps}),
-core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 5),
-link AS (SELECT n.id, n.other FROM near n WHERE n.id IN (SELECT id FROM core) AND n.other IN (SELECT id FROM core)),
-reach AS (SELECT id, id AS root FROM core UNION SELECT l.other, r.root FROM reach r JOIN link l ON l.id = r.id
-  WHERE r.root < l.other),
-comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
-named AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM comp)),
-cored AS (SELECT id, label FROM comp JOIN named USING (root)),
-edge AS (SELECT n.id, min(c.label) AS label FROM near n JOIN cored c ON c.id = n.other
-  WHERE n.id NOT IN (SELECT id FROM core) GROUP BY n.id)
-SELECT v.id AS rec_id, coalesce(c.label, e.label, -1) AS label, c.id IS NOT NULL AS is_core
-FROM v LEFT JOIN cored c ON c.id = v.id LEFT JOIN edge e ON e.id = v.id"""
-
-
-@check("dbscan", _dbscan_sql(1.15))
+def _dbscan_sql(radii: tuple[float, ...]) -> str:
+    values = ", ".join(f"(CAST({e} AS DOUBLE))" for e in radii)
+    return f"""WITH RECURSIVE {_PAIRS}, radii(eps) AS (VALUES {values}),
+near AS (SELECT eps, id, other FROM pairs, radii WHERE dist <= eps),
+core AS (SELECT eps, id FROM near GROUP BY eps, id HAVING count(*) >= 5),
+link AS (SELECT n.eps, n.id, n.other FROM near n JOIN core a ON a.eps = n.eps AND a.id = n.id
+  JOIN core b ON b.eps = n.eps AND b.id = n.other),
+reach AS (SELECT eps, id, id AS root FROM core UNION SELECT l.eps, l.other, r.root FROM reach r
+  JOIN link l ON l.eps = r.eps AND l.id = r.id WHERE r.root < l.other),
+comp AS (SELECT eps, id, min(root) AS root FROM reach GROUP BY eps, id),
+named AS (SELECT eps, root, dense_rank() OVER (PARTITION BY eps ORDER BY root) - 1 AS label
+  FROM (SELECT DISTINCT eps, root FROM comp)),
+cored AS (SELECT c.eps, c.id, n.label FROM comp c JOIN named n ON n.eps = c.eps AND n.root = c.root),
+edge AS (SELECT n.eps, n.id, min(c.label) AS label FROM near n JOIN cored c ON c.eps = n.eps AND c.id = n.other GROUP BY n.eps, n.id)
+SELECT radii.eps, v.id AS rec_id, coalesce(c.label, e.label, -1) AS label, c.id IS NOT NULL AS is_core
+FROM v CROSS JOIN radii LEFT JOIN cored c ON c.id = v.id AND c.eps = radii.eps
+LEFT JOIN edge e ON e.id = v.id AND e.eps = radii.eps"""
+
+
+@check("dbscan", f"SELECT rec_id, label, is_core FROM ({_dbscan_sql((1.15,))})")
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return cluster.dbscan(sig(spark, d), 1.15).select("rec_id", big("label").alias("label"), "is_core")
 
 
-@check("dbscan_sweep")
+@check("dbscan_sweep", _dbscan_sql((1.12, 1.15, 1.18)))
 def dbscan_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.dbscan_sweep(sig(spark, d), [1.12, 1.15, 1.18])
+    found = cluster.dbscan_sweep(sig(spark, d), [1.12, 1.15, 1.18])
+    return found.select("eps", "rec_id", big("label").alias("label"), "is_core")
 
 
 @check("file_groups", "SELECT event_id AS rec_id, dense_rank() OVER (ORDER BY event_type) - 1 AS label, true AS is_core FROM events")

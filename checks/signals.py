@@ -319,6 +319,33 @@ def _bands(spark: SparkSession, d: str) -> DataFrame:
     return wav_samples(spark, d).withColumn("band", (F.col("n") % 2).cast("int"))
 
 
+_NUMBERS = (
+    "entropy", "zc", "mc", "quantile_cont(x, 0.05)", "quantile_cont(x, 0.25)", "quantile_cont(x, 0.75)",
+    "quantile_cont(x, 0.95)", "median(x)", "avg(x)", "stddev_pop(x)", "var_pop(x)", "avg(abs(x))",
+)
+
+
+@check("dwt_features_haar", f"""WITH {SIG_SAMPLES},
+l1 AS (SELECT rec_id, n // 2 AS n, sum(x) / sqrt(2) AS a, sum(CASE WHEN n % 2 = 0 THEN x ELSE -x END) / sqrt(2) AS d
+  FROM samples GROUP BY rec_id, n // 2),
+l2 AS (SELECT rec_id, n // 2 AS n, sum(a) / sqrt(2) AS a, sum(CASE WHEN n % 2 = 0 THEN a ELSE -a END) / sqrt(2) AS d
+  FROM l1 GROUP BY rec_id, n // 2),
+bands AS (SELECT rec_id, 0 AS band, n, a AS x FROM l2 UNION ALL SELECT rec_id, 1, n, d FROM l2
+  UNION ALL SELECT rec_id, 2, n, d FROM l1),
+signs AS (SELECT *, x > 0 AS z, x > avg(x) OVER (PARTITION BY rec_id, band) AS m FROM bands),
+turns AS (SELECT *, z <> lag(z) OVER o AS tz, m <> lag(m) OVER o AS tm FROM signs
+  WINDOW o AS (PARTITION BY rec_id, band ORDER BY n)),
+stats AS (SELECT rec_id, band, ln(count(*)) AS entropy, CAST(count(*) FILTER (tz) AS DOUBLE) AS zc,
+  CAST(count(*) FILTER (tm) AS DOUBLE) AS mc, {', '.join(f'{e} AS f{i}' for i, e in enumerate(_NUMBERS) if i > 2)}
+  FROM turns GROUP BY rec_id, band),
+listed AS (SELECT rec_id, band, [entropy, zc, mc, {', '.join(f'f{i}' for i in range(3, 12))}] AS f FROM stats)
+SELECT rec_id, band * 12 + i - 1 AS i, round(f[i], 6) + 0.0 AS v FROM listed, range(1, 13) t(i)""")
+def dwt_features_haar(spark: SparkSession, d: str) -> DataFrame:
+    made = wavelets.dwt_features(sig(spark, d), "haar", level=2)
+    rows = made.select("rec_id", F.posexplode("dwt_features").alias("i", "v"))
+    return rows.select("rec_id", big("i").alias("i"), r("v").alias("v"))
+
+
 @check("band_entropy", f"""WITH {WAV_SAMPLES}, c AS (SELECT rec_id, n % 2 AS band, x, count(*) AS c FROM wav GROUP BY ALL),
 p AS (SELECT rec_id, band, c / sum(c) OVER (PARTITION BY rec_id, band) AS p FROM c)
 SELECT rec_id, band, round(-sum(p * ln(p)), 6) + 0.0 AS entropy FROM p GROUP BY rec_id, band""")
@@ -387,14 +414,22 @@ def psd_map(spark: SparkSession, d: str) -> DataFrame:
     return order.psd_map(rows, "cluster").select("position", "rec_id", F.posexplode("psd_above_db").alias("k", "level"))
 
 
-@check("cwt_power")
+@check("cwt_power", f"""WITH {SIG_SAMPLES},
+psi AS (SELECT f, k, scale, exp(-(k / scale) * (k / scale) / 2) * cos(5 * k / scale) AS psi
+  FROM (SELECT f, k, 0.8125 * 64 / f AS scale FROM range(4, 33) a(f), range(-63, 64) b(k)) WHERE abs(k / scale) <= 8),
+cells AS (SELECT rec_id, f, n - k AS at, power(sum(x * psi), 2) / any_value(scale) AS p
+  FROM samples, psi WHERE n - k BETWEEN 0 AND 63 GROUP BY rec_id, f, n - k),
+rows AS (SELECT rec_id, f, sum(p) AS e, max(p) AS top FROM cells GROUP BY rec_id, f)
+SELECT rec_id, arg_max(f, e) AS freq, CAST(floor(greatest(0, least(255, (log10(max(top)) - log10(0.0005)) * 255
+  / (log10(5) - log10(0.0005)))) + 0.5) AS BIGINT) AS level FROM rows GROUP BY rec_id""")
 def cwt_power(spark: SparkSession, d: str) -> DataFrame:
     """Strongest frequency row of each recording's wavelet image."""
     freqs = [4.0 + i for i in range(29)]
     image = sinks.scalogram_levels(wavelets.cwt_power(sig(spark, d), "morl", SIG, freqs))
     energy = F.transform("cwt", lambda row: F.aggregate(row, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x)))
     return image.withColumn("_e", energy).select(
-        "rec_id", (F.array_position("_e", F.array_max("_e")) + 3).alias("freq"), F.array_max(F.flatten("image")).alias("level")
+        "rec_id", big(F.array_position("_e", F.array_max("_e")) + 3).alias("freq"),
+        big(F.array_max(F.flatten("image"))).alias("level"),
     )
 
 
