@@ -19,7 +19,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flighttone.scale import join_unique, materialize, small_side, with_position
+from flighttone.scale import (
+    BROADCAST_ROWS,
+    is_small,
+    join_unique,
+    materialize,
+    small_side,
+    with_position,
+)
 
 #: Bytes of features in one block.
 BLOCK_BYTES = 8 << 20
@@ -329,16 +336,42 @@ def neighbour_links(tiles: DataFrame, eps_list: Sequence[float]) -> DataFrame:
     return tiles.groupBy("_a", "_b").applyInPandas(link, "e int, u long, v long, border boolean")
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
     """Smallest id each node ``(e, id)`` is connected to: ``e, id, root``.
 
-    Alternating large and small stars (Kiveris et al. 2014): links are replaced
-    by links to the smallest neighbour until only stars are left.
+    Up to ``few`` links, counted first, are followed in one task per radius;
+    more are settled by stars over all tasks.
     """
     edges = materialize(links.filter("u <> v").select("e", "u", "v").distinct())
+    if is_small(edges, few):
+        roots = edges.groupBy("e").applyInPandas(_follow, "e int, id long, root long")
+    else:
+        roots = _stars(edges).groupBy("e", F.col("u").alias("id")).agg(F.min("v").alias("root"))
+    return nodes.join(roots, ["e", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _follow(links: pd.DataFrame) -> pd.DataFrame:
+    ids, ends = np.unique(links[["u", "v"]].to_numpy(), return_inverse=True)
+    parent = np.arange(len(ids))
+    for u, v in ends.reshape(-1, 2):
+        while parent[u] != u:
+            parent[u] = u = parent[parent[u]]
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        parent[max(u, v)] = min(u, v)
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return pd.DataFrame({"e": links["e"].iat[0], "id": ids, "root": ids[parent]})
+
+
+def _stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Alternating large and small stars (Kiveris et al. 2014).
+
+    Links are replaced by links to the smallest neighbour until every node has
+    one link, to a node that has none.
+    """
 
     def settled(df: DataFrame) -> bool:
-        """Every node has one link, and it goes to a node without any."""
         ends = df.select("e", F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
             df.select("e", "v", F.lit(0), F.lit(1))
         )
@@ -362,11 +395,19 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
         )
         edges = materialize(small.filter("u <> v").distinct())
         if settled(edges):
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.groupBy("e", F.col("u").alias("id")).agg(F.min("v").alias("root"))
-    return nodes.join(roots, ["e", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+            return edges
+    raise RuntimeError("components did not settle")
+
+
+def _numbered(roots: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """Clusters of each radius numbered from 0 by their root: ``e, root, c, label``."""
+    if is_small(roots, few):
+        place = F.row_number().over(Window.partitionBy("e").orderBy("root")) - 1
+        return roots.withColumn("label", place)
+    placed = with_position(roots, ["e", "root"], "_at")
+    firsts = placed.groupBy("e").agg(F.min("_at").alias("_from"))  # one row per radius
+    joined = placed.join(F.broadcast(firsts), "e")
+    return joined.select("e", "root", "c", (F.col("_at") - F.col("_from")).cast("int").alias("label"))
 
 
 def density_clusters(df: DataFrame, eps_list: Sequence[float], min_pts: int = 5,
@@ -399,12 +440,7 @@ def density_clusters(df: DataFrame, eps_list: Sequence[float], min_pts: int = 5,
         reached.select("e", "id", "root", F.lit(False).alias("is_core"))
     )
     roots = rooted.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c"))
-    numbered = with_position(roots, ["e", "root"], "_at")
-    firsts = numbered.groupBy("e").agg(F.min("_at").alias("_from"))
-    numbers = numbered.join(F.broadcast(firsts), "e").select(
-        "e", "root", "c", (F.col("_at") - F.col("_from")).cast("int").alias("label")
-    )
-    labelled = join_unique(member, materialize(numbers), ["e", "root"], "c").select("e", "id", "label", "is_core")
+    labelled = join_unique(member, materialize(_numbered(roots)), ["e", "root"], "c").select("e", "id", "label", "is_core")
     radii = F.explode(F.array(*[F.lit(e) for e in range(len(eps_list))]))
     every = points.withColumn("e", radii).join(labelled, ["e", "id"], "left").select(
         "e", "features", "w", F.coalesce("label", F.lit(-1)).alias("label"),

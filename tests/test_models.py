@@ -113,10 +113,18 @@ def test_sweep_equals_single_runs(spark):
         np.testing.assert_array_equal(mine, brute_dbscan(x, eps, 5)[0])
 
 
-def test_long_chain_is_one_component(spark):
+def test_numbers_of_many_clusters(spark):
+    roots = spark.createDataFrame([(e, 7 * i, 1) for e in (0, 1) for i in range(20)], "e int, root long, c long")
+    few = pairwise._numbered(roots).select("e", "root", "label").collect()
+    many = pairwise._numbered(roots, few=5).select("e", "root", "label").collect()
+    assert sorted(few) == sorted(many) and {r["label"] for r in few} == set(range(20))
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_long_chain_is_one_component(spark, few):
     links = spark.createDataFrame([(0, i, i + 1) for i in range(300)] + [(1, 5, 9)], "e int, u long, v long")
     nodes = spark.createDataFrame([(0, i) for i in range(301)] + [(1, 5), (1, 9), (1, 11)], "e int, id long")
-    got = {(r["e"], r["id"]): r["root"] for r in pairwise.components(nodes, links).collect()}
+    got = {(r["e"], r["id"]): r["root"] for r in pairwise.components(nodes, links, few).collect()}
     assert {got[0, i] for i in range(301)} == {0}
     assert (got[1, 5], got[1, 9], got[1, 11]) == (5, 5, 11)
 
