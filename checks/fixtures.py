@@ -76,9 +76,11 @@ def grouped(spark: SparkSession, folder: str) -> DataFrame:
     return df.join(ids, "group_name").withColumn("label", F.col("group_id"))
 
 
-def ordered(spark: SparkSession, folder: str) -> DataFrame:
-    """``grouped`` with ``load_seq``."""
-    return with_position(grouped(spark, folder), ["group_name", "rec_id"], "load_seq")
+def ordered(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """``rec_id``, ``load_seq`` and the named columns; only these are sorted."""
+    df = grouped(spark, folder) if "label" in columns else ev(spark, folder)
+    narrow = df.select(*dict.fromkeys(["rec_id", "group_name", *columns]))
+    return with_position(narrow, ["group_name", "rec_id"], "load_seq")
 
 
 def sig(spark: SparkSession, folder: str) -> DataFrame:

@@ -329,21 +329,21 @@ def class_metrics(spark: SparkSession, d: str) -> DataFrame:
   (epoch_us(dt) - epoch_us(lag(dt) OVER (ORDER BY load_seq))) / 1000000.0 AS td FROM ev)
 SELECT rec_id, load_seq, round(td, 6) AS td, coalesce(td < 0.5, false) AS close_to_prev FROM t""")
 def interarrival(spark: SparkSession, d: str) -> DataFrame:
-    found = order.flag_close(order.interarrival(ordered(spark, d).select("rec_id", "load_seq", "dt"), block=1000))
+    found = order.flag_close(order.interarrival(ordered(spark, d, "dt"), block=1000))
     return found.select("rec_id", "load_seq", r("td").alias("td"), "close_to_prev")
 
 
 @check("interarrival_by_group", f"""WITH {EV} SELECT rec_id,
   round((epoch_us(dt) - epoch_us(lag(dt) OVER (PARTITION BY group_name ORDER BY load_seq))) / 1000000.0, 6) AS td FROM ev""")
 def interarrival_by_group(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered(spark, d).select("rec_id", "load_seq", "dt", "group_name")
+    rows = ordered(spark, d, "dt")
     return order.interarrival(rows, by=["group_name"]).select("rec_id", r("td").alias("td"))
 
 
 @check("elapsed", f"""WITH {EV} SELECT rec_id,
   CAST(floor((epoch_us(dt) - epoch_us((SELECT min_by(dt, load_seq) FROM ev))) / 1000000.0) AS BIGINT) AS elapsed_s FROM ev""")
 def elapsed(spark: SparkSession, d: str) -> DataFrame:
-    return order.elapsed(ordered(spark, d)).select("rec_id", big("elapsed_s").alias("elapsed_s"))
+    return order.elapsed(ordered(spark, d, "dt")).select("rec_id", big("elapsed_s").alias("elapsed_s"))
 
 
 _KEYS = {"original": "", "s2n": "s2n, s2n_freq,", "f1": "f1,", "cluster": "label,"}
@@ -351,7 +351,7 @@ _KEYS = {"original": "", "s2n": "s2n, s2n_freq,", "f1": "f1,", "cluster": "label
 
 def _position(key: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = ordered(spark, d).select("rec_id", "load_seq", "s2n", "s2n_freq", "f1", "label")
+        rows = ordered(spark, d, *order.ORDERS[key])
         return order.order_position(rows, key).select("rec_id", "position")
 
     return run
@@ -366,7 +366,7 @@ for _key, _columns in _KEYS.items():
 def order_position(spark: SparkSession, d: str) -> DataFrame:
     from flighttone.scale import with_position
 
-    rows = ordered(spark, d).select("rec_id", "load_seq", "temp")
+    rows = ordered(spark, d, "temp")
     return with_position(rows, ["temp", "load_seq"], "position", start=1).select("rec_id", "position")
 
 
@@ -374,7 +374,7 @@ def order_position(spark: SparkSession, d: str) -> DataFrame:
 SELECT rec_id, position, round(f1, 6) AS f1 FROM p WHERE position = greatest(1, least(
   (SELECT position FROM p WHERE rec_id = 123) + 1, (SELECT max(position) FROM p)))""")
 def neighbour(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered(spark, d).select("rec_id", "load_seq", "f1")
+    rows = ordered(spark, d, "f1")
     found = order.neighbour(order.order_position(rows, "f1"), 123, 1)
     return found.select("rec_id", "position", r("f1").alias("f1"))
 
@@ -418,7 +418,7 @@ for _name, (_view, _x, _y) in _VIEWS.items():
 
 @check("view_temp", f"""WITH {EV} SELECT rec_id, row_number() OVER (ORDER BY f1, load_seq) AS position, temp FROM ev""")
 def view_temp(spark: SparkSession, d: str) -> DataFrame:
-    return views.temp_along(ordered(spark, d), "f1").select("rec_id", "position", "temp")
+    return views.temp_along(ordered(spark, d, "f1", "temp"), "f1").select("rec_id", "position", "temp")
 
 
 @check("recording_detail", f"""WITH {EV} SELECT rec_id, round(f1, 6) AS f1, ha_count, dur_ms, round(s2n, 6) AS s2n,
@@ -437,7 +437,7 @@ def recording_detail(spark: SparkSession, d: str) -> DataFrame:
   CAST(floor((epoch_us(dt) - epoch_us((SELECT min_by(dt, load_seq) FROM ev))) / 1000000.0) AS BIGINT) AS elapsed_s,
   label AS cluster, temp, rh, dur_ms, round(s2n, 6) AS s2n, round(fd_power, 12) AS fd_power FROM ev""")
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = order.elapsed(ordered(spark, d)).withColumns(
+    rows = order.elapsed(ordered(spark, d, "dt", "label", "temp", "rh", "f1", "dur_ms", "s2n", "s2n_freq", "ha_count", "fd_power")).withColumns(
         {"ac_f1": F.col("f1"), "ac_coeff": F.lit(1.0), "ha_f1": F.col("f1"), "fs": F.lit(64.0), "waveform": F.array("f1", "s2n")}
     )
     return sinks.export_rows(rows).select(

@@ -27,6 +27,11 @@ CONTINUOUS = (
 )
 
 MAX_ORDER = 20
+# Fixed orders (reconstruction, decomposition) of the biorthogonal pairs with a rule.
+SPLINE_PAIRS = (
+    (1, 1), (1, 3), (1, 5), (2, 2), (2, 4), (2, 6), (2, 8),
+    (3, 1), (3, 3), (3, 5), (3, 7), (3, 9), (4, 4),
+)
 #: Recordings whose images a task holds at once.
 CWT_ROWS = 8
 
@@ -74,14 +79,56 @@ def scaling_filter(name: str) -> np.ndarray:
     return min(choices, key=lambda c: c[:2])[2]
 
 
+def _spline(order: int) -> np.ndarray:
+    """Taps of ((1 + z) / 2) ** order."""
+    return np.array([math.comb(order, k) for k in range(order + 1)]) / 2.0**order
+
+
+def _in_y(coefficients: np.ndarray) -> np.ndarray:
+    """Taps of a polynomial in y = (2 - z - 1/z) / 4, lowest power first."""
+    y, power, size = np.array([-0.25, 0.5, -0.25]), np.array([1.0]), 2 * len(coefficients) - 1
+    out = np.zeros(size)
+    for c in coefficients:
+        side = (size - len(power)) // 2
+        out[side : size - side] += c * power
+        power = np.convolve(power, y)
+    return out
+
+
+def _biorthogonal(rec: int, dec: int) -> tuple[np.ndarray, np.ndarray]:
+    """Low-pass taps (decomposition, reconstruction) of a spline pair, of equal length."""
+    if (rec, dec) not in SPLINE_PAIRS:
+        raise ValueError(f"no rule for a pair of orders {rec}.{dec}: pass its taps in `filters`")
+    half = (rec + dec) // 2
+    whole = np.array([math.comb(half - 1 + k, k) for k in range(half)], float)
+    mine, other = whole, np.array([1.0])
+    if rec == dec == 4:
+        # the real root goes to the reconstruction filter
+        roots = np.roots(whole[::-1])
+        real = roots[np.abs(roots.imag) < 1e-9].real
+        mine = np.real(np.poly(roots[np.abs(roots.imag) >= 1e-9]))[::-1]
+        mine, other = mine / mine[0], np.array([1.0, -1 / real[0]])
+    low = np.convolve(_spline(dec), _in_y(mine)) * np.sqrt(2)
+    back = np.convolve(_spline(rec), _in_y(other)) * np.sqrt(2)
+    size = len(low) + len(low) % 2
+    low = np.pad(low, (size - len(low), 0))
+    left = (size - len(back)) // 2
+    return low, np.pad(back, (left, size - len(back) - left))
+
+
 def filter_pair(name: str, filters: Mapping[str, tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Low- and high-pass decomposition taps; ``filters`` adds wavelets by name."""
     if filters and name in filters:
         low, high = filters[name]
         return np.asarray(low, float), np.asarray(high, float)
-    taps = scaling_filter(name)
-    alternate = np.where(np.arange(len(taps)) % 2 == 0, -1.0, 1.0)
-    return taps[::-1], taps * alternate
+    if name[:4] in ("bior", "rbio"):
+        low, taps = _biorthogonal(*(int(v) for v in name[4:].split(".")))
+        if name.startswith("rbio"):
+            low, taps = taps[::-1], low[::-1]
+    else:
+        taps = scaling_filter(name)
+        low = taps[::-1]
+    return low, taps * np.where(np.arange(len(taps)) % 2 == 0, -1.0, 1.0)
 
 
 def level_count(length: float, taps: int) -> int:

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flighttone.params import DEFAULT, Params
-from flighttone.scale import small_side, with_position, with_previous, with_running_totals
+from flighttone.scale import (
+    is_small,
+    materialize,
+    small_side,
+    with_position,
+    with_previous,
+    with_running_totals,
+)
 
 #: Orders offered to users; ties keep load order.
 ORDERS: dict[str, tuple[str, ...]] = {
@@ -21,10 +28,12 @@ ORDERS: dict[str, tuple[str, ...]] = {
 
 def group_dim(df: DataFrame) -> DataFrame:
     """Group names with their index in sorted order: one row per group."""
-    names = df.select("group_name").distinct()
-    return with_position(names, ["group_name"], "group_id").select(
-        F.col("group_id").cast("int").alias("group_id"), "group_name"
-    )
+    names = materialize(df.select("group_name").distinct())
+    if is_small(names):
+        numbered = names.withColumn("group_id", F.row_number().over(Window.orderBy("group_name")) - 1)
+    else:
+        numbered = with_position(names, ["group_name"], "group_id")
+    return numbered.select(F.col("group_id").cast("int").alias("group_id"), "group_name")
 
 
 def with_group(df: DataFrame, root: str, path: str = "path") -> DataFrame:

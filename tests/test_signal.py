@@ -166,6 +166,29 @@ def test_wavelet_filters_are_orthonormal():
         wavelets.scaling_filter("dmey")
 
 
+@pytest.mark.parametrize("pair", wavelets.SPLINE_PAIRS)
+def test_biorthogonal_pairs(pair):
+    low, back = wavelets._biorthogonal(*pair)
+    assert len(low) == len(back) and low.sum() == pytest.approx(math.sqrt(2)) and back.sum() == pytest.approx(math.sqrt(2))
+    both = np.convolve(low, back)
+    middle = len(low) - 1
+    want = np.zeros_like(both[middle % 2 :: 2])
+    want[middle // 2] = 1
+    np.testing.assert_allclose(both[middle % 2 :: 2], want, atol=1e-9)
+
+
+def test_biorthogonal_by_table():
+    low, high = wavelets.filter_pair("bior2.2")
+    np.testing.assert_allclose(low, [0, -0.1767767, 0.35355339, 1.06066017, 0.35355339, -0.1767767], atol=1e-7)
+    np.testing.assert_allclose(high, [0, 0.35355339, -0.70710678, 0.35355339, 0, 0], atol=1e-7)
+    low, high = wavelets.filter_pair("rbio2.2")
+    np.testing.assert_allclose(low, [0, 0, 0.35355339, 0.70710678, 0.35355339, 0], atol=1e-7)
+    np.testing.assert_allclose(high, [0.1767767, 0.35355339, -1.06066017, 0.35355339, 0.1767767, 0], atol=1e-7)
+    assert wavelets.filter_pair("bior4.4")[0][5] == pytest.approx(0.8526986790088938)
+    with pytest.raises(ValueError):
+        wavelets.filter_pair("bior6.8")
+
+
 def test_band_sizes_and_energy(spark):
     x = np.random.default_rng(2).normal(0, 1, 1600)
     low, _ = wavelets.filter_pair("sym9")
