@@ -200,12 +200,13 @@ def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
 def _near_tiles(points: DataFrame, eps: float, block_rows: int) -> DataFrame:
     """Spread points over tiles so that all pairs within ``eps`` meet in exactly one.
 
-    Cells of side ``eps`` on the two widest axes bound where neighbours can be;
+    Cells as wide as ``eps`` on the two widest axes bound where neighbours can be;
     a crowded cell is cut into blocks.
     """
     spread = points.select(Summarizer.variance(array_to_vector("features"))).first()[0].toArray()
     axes = [int(a) for a in np.argsort(-spread, kind="stable")[:2]]
-    cell = F.array(*[F.floor(F.col("features")[a] / eps).cast("long") for a in axes])
+    side = eps * (1 + 1e-9)  # a rounded quotient must not push a neighbour two cells away
+    cell = F.array(*[F.floor(F.col("features")[a] / side).cast("long") for a in axes])
     placed = points.withColumn("_cell", cell)
     counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))

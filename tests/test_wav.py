@@ -149,3 +149,51 @@ def test_files_that_arrive_later(spark, tree, read, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 8 and got.filter("error is null").count() == 7
+
+
+@pytest.fixture(scope="module")
+def two_species(tmp_path_factory):
+    root = tmp_path_factory.mktemp("species")
+    rng = np.random.default_rng(8)
+    for group, low in (("female", 380), ("male", 600)):
+        (root / group).mkdir()
+        for i in range(30):
+            f = low + rng.uniform(-20, 20)
+            x = tone((f, 0.4), (2 * f, 0.2), (3 * f, 0.1), ms=200) + rng.normal(0, 0.005, 1600)
+            name = f"2022-06-12_{i % 24:02d}.{i:02d}.00.5_T{20 + i % 9}.5C_H60.1_{i}.wav"
+            (root / group / name).write_bytes(riff(x))
+    (root / "male" / "bad.wav").write_bytes(b"RIFF")
+    return str(root)
+
+
+def test_from_files_to_a_model(spark, two_species, tmp_path):
+    from flighttone.operators import classify, cluster
+    from flighttone.operators.features import FeatureSpec
+    from flighttone.plans import analysis
+
+    out = str(tmp_path)
+    recordings = analysis.build_table(spark, two_species, out)
+    assert recordings.count() == 60 and spark.read.parquet(out + "/quarantine").count() == 1
+    placed = spark.read.parquet(out + "/order").orderBy("load_seq").collect()
+    assert [r["load_seq"] for r in placed] == list(range(60))
+    assert placed[0]["td"] is None and placed[0]["elapsed_s"] == 0
+
+    groups = cluster.file_groups(recordings)
+    tables = analysis.report(recordings, groups)
+    means = {r["label"]: r for r in tables["groups"].collect()}
+    assert means[0]["f1_median"] == pytest.approx(380, abs=15) and means[1]["f1_median"] == pytest.approx(600, abs=15)
+    assert tables["collection"].first()["n"] == 60 and tables["balance"].first()["ratio"] == 1
+    assert tables["activity"].agg(F.sum("n")).first()[0] == 60
+    assert tables["f1_vs_time"].count() == 60 and tables["density"].count() == 900
+
+    found, summary = analysis.cluster_table(recordings, FeatureSpec("f1"), cluster.kmeans, 2)
+    assert summary.first()["silhouette"] > 0.8
+    both = found.join(groups.withColumnRenamed("label", "g").drop("is_core"), "rec_id")
+    assert both.groupBy("label", "g").count().count() == 2
+
+    spec = FeatureSpec("MFCC", scaler="StandardScaler")
+    model, result = analysis.train_table(recordings, groups, spec, rounds=3, depth=2)
+    assert result["accuracy"].first()[0] > 0.9
+    again = classify.predict_recordings(model, recordings, 0.6)
+    assert again.count() == 60 and again.filter("label >= 0").count() > 50
+    assert classify.predict_recordings(model, recordings, refit_scaler=True).count() == 60
