@@ -79,6 +79,16 @@ def pca(spark: SparkSession, d: str) -> DataFrame:
     return _cells(made, 5)
 
 
+@check("pca_total", f"""WITH {SIG_SAMPLES}, c AS (SELECT n, var_pop(x) AS v, avg(x) AS m FROM samples GROUP BY n)
+SELECT round(sum(v), 6) AS variance, 0.0 AS mean FROM c""")
+def pca_total(spark: SparkSession, d: str) -> DataFrame:
+    """All components together keep the variance, around a mean of zero."""
+    x = sig(spark, d)
+    cells = features.apply_pca(x, features.fit_pca(x, 64)).select(F.posexplode("features").alias("pos", "x"))
+    each = cells.groupBy("pos").agg(F.var_pop("x").alias("v"), F.abs(F.avg("x")).alias("m"))
+    return each.agg(r(F.sum("v")).alias("variance"), r(F.max("m")).alias("mean"))
+
+
 @check("mfcc_features")
 def mfcc_features(spark: SparkSession, d: str) -> DataFrame:
     """The default features, reduced, with power, scaled."""

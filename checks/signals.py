@@ -436,7 +436,29 @@ def cwt_power(spark: SparkSession, d: str) -> DataFrame:
 @check("recording_curves")
 def curves(spark: SparkSession, d: str) -> DataFrame:
     rows = attributes(tone.als_baseline(sig(spark, d)), SIG)
-    return recording_curves(rows, 42, SIG.sr, SIG.df)
+    return recording_curves(rows, SIG.sr, SIG.df)
+
+
+@check("spectrum_curves", f"""WITH {_PEAKS} SELECT rec_id, 'waveform' AS curve, n AS i, round(n * 1000.0 / 64, 4) AS x,
+  round(x, 4) + 0.0 AS y FROM samples
+UNION ALL SELECT rec_id, 'spectrum', k, round(k * 2.0, 4), round(level, 4) FROM db
+UNION ALL SELECT rec_id, 'peak', row_number() OVER (PARTITION BY rec_id ORDER BY k) - 1, round(freq, 4), round(top, 4) FROM peaks""")
+def spectrum_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Waveform, spectrum and marked peaks of every recording."""
+    rows = _with_peaks(spark, d).select("rec_id", "waveform", "psd_db", "peaks")
+    found = recording_curves(rows, SIG.sr, SIG.df)
+    return found.select("rec_id", "curve", big("i").alias("i"), r("x", 4).alias("x"), r("y", 4).alias("y"))
+
+
+@check("psd_map_mean", f"""WITH {_PSD}, place AS (SELECT vec_id AS rec_id, row_number() OVER (ORDER BY label, vec_id) AS position FROM embeddings)
+SELECT position, rec_id, k, round(level - avg(level) OVER (PARTITION BY rec_id), 4) + 0.0 AS level FROM db JOIN place USING (rec_id)""")
+def psd_map_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Above the mean level, in cluster order."""
+    mean = F.aggregate("psd_db", F.lit(0.0), lambda a, x: a + x) / F.size("psd_db")
+    based = _spectra(spark, d).withColumn("psd_baseline_db", F.transform("psd_db", lambda x: mean))
+    rows = order.psd_map(based.withColumn("load_seq", F.col("rec_id")), "cluster")
+    cells = rows.select("position", "rec_id", F.posexplode("psd_above_db").alias("k", "level"))
+    return cells.select("position", "rec_id", big("k").alias("k"), r("level", 4).alias("level"))
 
 
 @check("dwt_features")

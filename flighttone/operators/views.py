@@ -51,9 +51,9 @@ def recording_detail(df: DataFrame, rec_id: int | None = None) -> DataFrame:
     )
 
 
-def recording_curves(df: DataFrame, rec_id: int, sr: float, bin_width: float) -> DataFrame:
-    """Waveform, bias, autocorrelation, spectrum, baseline and peaks of one recording, long form."""
-    one = df.filter(F.col("rec_id") == rec_id)
+def recording_curves(df: DataFrame, sr: float, bin_width: float, rec_id: int | None = None) -> DataFrame:
+    """Waveform, bias, autocorrelation, spectrum, baseline and peaks, long form; of one recording or all."""
+    shown = df if rec_id is None else df.filter(F.col("rec_id") == rec_id)
     series = {
         "waveform": (f"i * {1000.0 / sr!r}D", "waveform"),
         "bias": (f"i * {1000.0 / sr!r}D", "bias"),
@@ -68,4 +68,4 @@ def recording_curves(df: DataFrame, rec_id: int, sr: float, bin_width: float) ->
     ]
     if "peaks" in df.columns:
         parts.append("transform(peaks, (t, i) -> struct('peak' as curve, i as i, t.freq as x, t.psd_db as y))")
-    return one.select("rec_id", F.expr(f"inline(concat({', '.join(parts)}))"))
+    return shown.select("rec_id", F.expr(f"inline(concat({', '.join(parts)}))"))

@@ -19,9 +19,13 @@ CSV_HEADER = (
 )
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Few files per directory: rows of a key come together, a key with many rows is split."""
-    return df.hint("rebalance", key)
+def _laid_out(df: DataFrame, key: str, compact: bool) -> DataFrame:
+    """Rows as they are, so nothing is shuffled and a task writes a file per value of ``key``.
+
+    ``compact`` brings the rows of a value together first - for many values,
+    as of a density clustering - and splits values holding many rows.
+    """
+    return df.hint("rebalance", key) if compact else df
 
 
 def csv_time(column: Column | str) -> Column:
@@ -54,9 +58,9 @@ def write_results(df: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def write_recordings(df: DataFrame, path: str) -> None:
+def write_recordings(df: DataFrame, path: str, compact: bool = False) -> None:
     """Parquet by group, so that later reads of one group skip the others."""
-    _spread(df, "group_name").write.mode("overwrite").partitionBy("group_name").parquet(path)
+    _laid_out(df, "group_name", compact).write.mode("overwrite").partitionBy("group_name").parquet(path)
 
 
 def save_features(df: DataFrame, path: str) -> str:
@@ -68,9 +72,9 @@ def save_features(df: DataFrame, path: str) -> str:
     return name
 
 
-def write_by_cluster(df: DataFrame, path: str) -> None:
+def write_by_cluster(df: DataFrame, path: str, compact: bool = False) -> None:
     """One directory per label, replacing what was there; the sources are not touched."""
-    labelled = _spread(df.withColumn("cluster", F.col("label")), "cluster")
+    labelled = _laid_out(df.withColumn("cluster", F.col("label")), "cluster", compact)
     labelled.write.mode("overwrite").partitionBy("cluster").parquet(path)
 
 
@@ -85,10 +89,11 @@ def scalogram_levels(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return df.withColumn("image", F.transform("cwt", lambda row: F.transform(row, level)))
 
 
-def write_scalograms(df: DataFrame, path: str, wavelet: str = CONTINUOUS[0], p: Params = DEFAULT) -> None:
+def write_scalograms(df: DataFrame, path: str, wavelet: str = CONTINUOUS[0], p: Params = DEFAULT,
+                     compact: bool = False) -> None:
     """One image row per recording in a directory per label."""
     # waveforms are far smaller than their images, so they move before the transform
-    waves = _spread(df.select("rec_id", "label", "waveform"), "label")
+    waves = _laid_out(df.select("rec_id", "label", "waveform"), "label", compact)
     images = scalogram_levels(cwt_power(waves, wavelet, p), p)
     images.select("rec_id", "image", F.col("label").alias("cluster")).write.mode(
         "overwrite"

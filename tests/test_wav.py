@@ -123,6 +123,8 @@ def test_exports(spark, read, tmp_path):
     assert back.filter("group_name = 'aedes'").count() == 3
     sinks.write_by_cluster(full.select("rec_id", "label", "f1"), str(tmp_path / "clusters"))
     assert sorted(p.name for p in (tmp_path / "clusters").glob("cluster=*")) == ["cluster=0", "cluster=1"]
+    sinks.write_by_cluster(full.select("rec_id", "label", "f1"), str(tmp_path / "clusters"), compact=True)
+    assert spark.read.parquet(str(tmp_path / "clusters")).count() == 7
     from flighttone import Params
 
     small = Params(cwt_step=500)
