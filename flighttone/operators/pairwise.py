@@ -30,6 +30,8 @@ from flighttone.scale import (
 
 #: Bytes of features in one block.
 BLOCK_BYTES = 8 << 20
+#: Rows aimed at in one cell of the grid for pairs within a distance.
+CELL_ROWS = 1000
 #: Rows of a block compared at once inside a task.
 STRIP = 1024
 
@@ -171,21 +173,17 @@ def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
                 continue
             x, y = _stack(mine["features"]), _stack(theirs["features"])
             ids, others = mine["rec_id"].to_numpy(), theirs["rec_id"].to_numpy()
-            by_id = np.argsort(others, kind="stable")
-            y, others = y[by_id], others[by_id]
             for i in range(0, len(x), STRIP):
+                mine_ids = ids[i : i + STRIP]
                 d2 = _squared(x[i : i + STRIP], y)
-                d2[ids[i : i + STRIP, None] == others] = np.inf
-                take = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(d2, take, axis=1)
+                d2[mine_ids[:, None] == others] = np.inf
+                last = np.partition(d2, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+                rows, cols = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
                 block = pd.DataFrame(
-                    {
-                        "rec_id": np.repeat(ids[i : i + STRIP], take.shape[1]),
-                        "other": others[take].ravel(),
-                        "distance": np.sqrt(found).ravel(),
-                    }
-                )
-                parts.append(block[np.isfinite(block["distance"])])
+                    {"rec_id": mine_ids[rows], "other": others[cols], "distance": np.sqrt(d2[rows, cols])}
+                ).sort_values(["rec_id", "distance", "other"])
+                # ties at the last place are told apart by id
+                parts.append(block[block.groupby("rec_id").cumcount() < k])
         return pd.concat(parts)
 
     tiles = _tiled(used, _block_count(used, block_rows))
@@ -200,13 +198,19 @@ def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
 def _near_tiles(points: DataFrame, eps: float, block_rows: int) -> DataFrame:
     """Spread points over tiles so that all pairs within ``eps`` meet in exactly one.
 
-    Cells as wide as ``eps`` on the two widest axes bound where neighbours can be;
-    a crowded cell is cut into blocks.
+    Cells at least as wide as ``eps`` on the two widest axes bound where neighbours
+    can be; a crowded cell is cut into blocks.
     """
-    spread = points.select(Summarizer.variance(array_to_vector("features"))).first()[0].toArray()
+    facts = points.select(
+        Summarizer.metrics("variance", "count").summary(array_to_vector("features")).alias("m")
+    ).first()["m"]
+    spread = np.sqrt(np.maximum(np.nan_to_num(facts["variance"].toArray()), 0))
     axes = [int(a) for a in np.argsort(-spread, kind="stable")[:2]]
-    side = eps * (1 + 1e-9)  # a rounded quotient must not push a neighbour two cells away
-    cell = F.array(*[F.floor(F.col("features")[a] / side).cast("long") for a in axes])
+    # a rounded quotient must not push a neighbour two cells away, and sparse points share a cell
+    least = eps * (1 + 1e-9)
+    cuts = max((facts["count"] / CELL_ROWS) ** (1 / len(axes)), 1)
+    sides = [max(least, 4 * float(spread[a]) / cuts) for a in axes]
+    cell = F.array(*[F.floor(F.col("features")[a] / side).cast("long") for a, side in zip(axes, sides)])
     placed = points.withColumn("_cell", cell)
     counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
@@ -275,17 +279,18 @@ def neighbour_counts(tiles: DataFrame, eps_list: Sequence[float]) -> DataFrame:
         if left.empty or right.empty:
             return out[0]
         x, y = _stack(left["features"]), _stack(right["features"])
-        wx, wy = left["w"].to_numpy(), right["w"].to_numpy()
+        # sums of whole numbers are exact in doubles, and much faster
+        wx, wy = left["w"].to_numpy(float), right["w"].to_numpy(float)
         for e, eps in enumerate(eps_list):
-            mine, theirs = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            mine, theirs = np.zeros(len(x)), np.zeros(len(y))
             for i in range(0, len(x), STRIP):
                 part = x[i : i + STRIP]
-                near = _within(part, y, _squared(part, y), eps)
+                near = _within(part, y, _squared(part, y), eps).astype(float)
                 mine[i : i + STRIP] = near @ wy
                 theirs += wx[i : i + STRIP] @ near
-            out.append(pd.DataFrame({"e": e, "id": left["id"].to_numpy(), "near": mine}))
+            out.append(pd.DataFrame({"e": e, "id": left["id"].to_numpy(), "near": mine.astype(np.int64)}))
             if not same:
-                out.append(pd.DataFrame({"e": e, "id": right["id"].to_numpy(), "near": theirs}))
+                out.append(pd.DataFrame({"e": e, "id": right["id"].to_numpy(), "near": theirs.astype(np.int64)}))
         return pd.concat(out)
 
     partial = tiles.groupBy("_a", "_b").applyInPandas(count, "e int, id long, near long")

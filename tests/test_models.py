@@ -94,7 +94,8 @@ def test_nearest(spark, block_rows):
 
 
 @pytest.mark.parametrize("eps, block_rows", [(1.2, 4096), (1.8, 16), (2.6, 16), (50.0, 64)])
-def test_dbscan_by_brute_force(spark, eps, block_rows):
+def test_dbscan_by_brute_force(spark, eps, block_rows, monkeypatch):
+    monkeypatch.setattr(pairwise, "CELL_ROWS", 5)
     x, _ = blobs(3, 60, d=3, apart=6)
     x = np.vstack([x, np.repeat(x[:1], 80, axis=0), np.full((3, 3), 40.0)])  # copies, and a lone trio
     want, core = brute_dbscan(x, eps, 5)
