@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flighttone.llm import packing
+from flighttone.llm import id_files, packing, piece_model
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,5 +17,16 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), tokenizer).drop("step_group")
 
 
-QUERIES = {"op1_pack": op1_pack}
+def op2_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    files = id_files.write(_documents(spark, folder), id_files.shared_folder(spark, "ids"), tokenizer, end_id=2)
+    return id_files.read(files)
+
+
+def op4_piece_model(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return piece_model.encode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_id_files": op2_id_files, "op4_piece_model": op4_piece_model}
 SQL: dict[str, str] = {}
