@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flighttone.llm import id_files, packing, piece_model
+from flighttone.llm import id_files, languages, packing, piece_model, recipes, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,5 +28,33 @@ def op4_piece_model(spark: SparkSession, folder: str) -> DataFrame:
     return piece_model.encode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_id_files": op2_id_files, "op4_piece_model": op4_piece_model}
-SQL: dict[str, str] = {}
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(_documents(spark, folder))
+
+
+def op8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.languages(_documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return recipes.exact_copies(_documents(spark, folder)).drop("n_chunks")
+
+
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op2_id_files": op2_id_files,
+    "op4_piece_model": op4_piece_model,
+    "op6_simhash": op6_simhash,
+    "op8_languages": op8_languages,
+    "op10_exact_copies": op10_exact_copies,
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL = {
+    "op10_exact_copies": f"""
+        WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+}
