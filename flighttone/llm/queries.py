@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flighttone.llm import id_files, languages, packing, piece_model, recipes, simhash
+from flighttone.llm import id_files, languages, lines, packing, phrases, piece_model, recipes, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_piece_model(spark: SparkSession, folder: str) -> DataFrame:
     return piece_model.encode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
 
 
+def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.drop_common_lines(_documents(spark, folder))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(_documents(spark, folder))
 
@@ -36,6 +40,10 @@ def op8_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.languages(_documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.fingerprints(_documents(spark, folder))
+
+
 def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return recipes.exact_copies(_documents(spark, folder)).drop("n_chunks")
 
@@ -44,14 +52,25 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_id_files": op2_id_files,
     "op4_piece_model": op4_piece_model,
+    "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
     "op8_languages": op8_languages,
+    "op9_phrases": op9_phrases,
     "op10_exact_copies": op10_exact_copies,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op5_lines": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        l AS (SELECT doc_id, pos, parts[pos] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM split)),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+               sha256(coalesce(string_agg(CASE WHEN common.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+        FROM k LEFT JOIN common USING (key) GROUP BY doc_id""",
     "op10_exact_copies": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
