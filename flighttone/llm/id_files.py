@@ -37,7 +37,7 @@ from flighttone.scale import ensure_checkpoint_dir, materialize
 MAGIC = b"IDFILE01"
 HEAD = "<8s3H32s"
 TAIL = "<QQ8s"
-#: Documents the dictionary is trained on, taken by the hash of their id, and ids of each.
+#: Documents the dictionary is trained on, about, and ids of each.
 TRAIN_DOCS = 1500
 TRAIN_IDS = 16_384
 DICTIONARY_BYTES = 64 << 10
@@ -55,8 +55,9 @@ def id_type(vocabulary: int) -> np.dtype:
 def train_dictionary(docs: DataFrame, tokenizer: str, dtype: np.dtype, train_docs: int = TRAIN_DOCS) -> bytes:
     """Dictionary of at most ``DICTIONARY_BYTES`` from a bounded sample of serialised documents.
 
-    Only the dictionary depends on the sample: ``train_docs`` documents with the
-    smallest hash, at most ``TRAIN_IDS`` ids of each.
+    Only the dictionary depends on the sample: about ``train_docs`` documents, at
+    most twice as many, chosen by the hash of their id, and at most ``TRAIN_IDS``
+    ids of each.
     """
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +67,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, dtype: np.dtype, train_doc
             parts = [ids[a : min(b, a + TRAIN_IDS)].astype(dtype).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["ids"])
 
-    few = docs.withColumn("_by", F.xxhash64("doc_id")).orderBy("_by", "doc_id").limit(train_docs)
-    found = slim(few).mapInArrow(serialise, "ids binary")
+    share = min(1.0, train_docs / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    found = slim(docs.filter(chosen).limit(2 * train_docs)).mapInArrow(serialise, "ids binary")
     samples = [bytes(r.ids) for r in found.collect() if len(r.ids) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
