@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once; one longer text makes a block of its own.
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 14 << 20
 #: Distinct pieces whose result a Python worker keeps between blocks.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 #: Rows in one Arrow batch; the bytes of a block bound what is held.
 BATCH_ROWS = 2000
 
