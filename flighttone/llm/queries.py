@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flighttone.llm import id_files, languages, lines, packing, phrases, piece_model, recipes, simhash
+from flighttone.llm import id_files, languages, licenses, lines, packing, phrases, piece_model, recipes, simhash, urls
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return id_files.read(files)
 
 
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_documents(spark, folder))
+
+
 def op4_piece_model(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return piece_model.encode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
@@ -36,6 +40,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(_documents(spark, folder))
 
 
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op8_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.languages(_documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,9 +59,11 @@ def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_id_files": op2_id_files,
+    "op3_licenses": op3_licenses,
     "op4_piece_model": op4_piece_model,
     "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
+    "op7_urls": op7_urls,
     "op8_languages": op8_languages,
     "op9_phrases": op9_phrases,
     "op10_exact_copies": op10_exact_copies,
@@ -62,6 +72,7 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op3_licenses": licenses.sql(),
     "op5_lines": """
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
         l AS (SELECT doc_id, pos, parts[pos] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM split)),
