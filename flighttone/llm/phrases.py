@@ -22,44 +22,37 @@ from pyspark.sql import functions as F
 from flighttone.llm.texts import slim
 
 SIZE = 64
-#: Rows of one range of ids, about.
-RANGE_ROWS = 4000
-
-
-def parse(text: bytes, phrases: set[bytes], begin: int = 0) -> int:
-    """Add the phrases of ``text`` from ``begin`` on; where the last, unfinished one begins.
-
-    All beginnings of a phrase are phrases, so the search for the longest known
-    one starts at the length the last one had.
-    """
-    end, size = len(text), 1
-    while begin < end:
-        if text[begin : begin + size] in phrases:
-            size += 1
-            while begin + size <= end and text[begin : begin + size] in phrases:
-                size += 1
-        else:
-            while size > 1 and text[begin : begin + size - 1] not in phrases:
-                size -= 1
-        if begin + size > end:
-            break
-        phrases.add(text[begin : begin + size])
-        begin += size
+#: Rows of one range of ids, at most about; there are ``RANGES`` ranges for each shuffle partition at least.
+RANGE_ROWS = 100_000
+RANGES = 8
+
+
+def parse(text: bytes, phrases: set[bytes], fresh: list[bytes], begin: int = 0) -> int:
+    """Add the phrases of ``text`` from ``begin`` on, to ``fresh`` too; where the last, unfinished one begins."""
+    for end in range(begin + 1, len(text) + 1):
+        phrase = text[begin:end]
+        if phrase not in phrases:
+            phrases.add(phrase)
+            fresh.append(phrase)
+            begin = end
     return begin
 
 
-def signature(phrases: set[bytes], size: int = SIZE) -> np.ndarray:
-    """The smallest hashes of the phrases, in order."""
-    hashes = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases)))
-    return hashes[:size]
+def smallest(phrases: list[bytes], known: list[int], size: int = SIZE) -> list[int]:
+    """The smallest hashes of the phrases and of those ``known`` already, in order."""
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases))
+    if len(hashes) > 4 * size:
+        # Phrases are distinct, so few of their hashes are equal; else all are looked at.
+        least = np.partition(hashes, 2 * size)[: 2 * size]
+        hashes = least if len(set(least.tolist())) >= size else hashes
+    return sorted({*hashes.tolist(), *known})[:size]
 
 
-def likeness(one: np.ndarray, two: np.ndarray, size: int = SIZE) -> float:
+def likeness(one: list[int], two: list[int], size: int = SIZE) -> float:
     """Estimated share of phrases in common, 1 for two empty texts."""
-    both = np.union1d(one, two)[:size]
-    if not len(both):
-        return 1.0
-    return float((np.isin(both, one) & np.isin(both, two)).mean())
+    first, second = set(one), set(two)
+    both = sorted(first | second)[:size]
+    return len(first & second & set(both)) / len(both) if both else 1.0
 
 
 class Fingerprint:
@@ -68,29 +61,30 @@ class Fingerprint:
     def __init__(self, text: str, size: int = SIZE):
         self.text, self.size = text, size
         self.swapped = len(text) // 4
-        kept = text[: len(text) - self.swapped]
-        whole = text.encode()
-        self._kept = kept.encode()
+        self._kept = text[: len(text) - self.swapped].encode()
         # Phrases of the kept part serve both texts; the parse goes on from its last, unfinished phrase.
         self._phrases: set[bytes] = set()
-        self._at = parse(self._kept, self._phrases)
-        self.signature = self._end(whole)
-
-    def _end(self, whole: bytes) -> np.ndarray:
-        phrases = self._phrases.copy()
-        at = parse(whole, phrases, self._at)
+        fresh: list[bytes] = []
+        self._at = parse(self._kept, self._phrases, fresh)
+        self._known = smallest(fresh, [], size)
+        self.signature = self._end(text.encode())
+
+    def _end(self, whole: bytes) -> list[int]:
+        fresh: list[bytes] = []
+        at = parse(whole, self._phrases, fresh, self._at)
+        self._phrases.difference_update(fresh)
         if at < len(whole):
-            phrases.add(whole[at:] + b"\0end")
-        return signature(phrases, self.size)
+            fresh.append(whole[at:] + b"\0end")
+        return smallest(fresh, self._known, self.size)
 
-    def edited(self, following: str) -> tuple[bytes, np.ndarray]:
+    def edited(self, following: str) -> tuple[bytes, list[int]]:
         """Bytes and signature with the last quarter replaced by the beginning of ``following``."""
         whole = self._kept + following[: self.swapped].encode()
         return whole, self._end(whole)
 
 
-def _hex(found: np.ndarray) -> str:
-    return found.astype(">u4").tobytes().hex()
+def _hex(found: list[int]) -> str:
+    return np.array(found, ">u4").tobytes().hex()
 
 
 def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], list[tuple[int, int]]]:
@@ -100,7 +94,8 @@ def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], list[tuple[int, int]
     """
     ids = docs.select("doc_id")
     n = ids.count()
-    parts = max(1, -(-n // rows))
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // rows), min(n // 50, RANGES * shuffled))
     ends = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     ends = [int(e) for e in ends]
     found = ids.groupBy(_range_of(ends).alias("range")).agg(
@@ -150,7 +145,7 @@ def fingerprints(docs: DataFrame, size: int = SIZE, range_rows: int = RANGE_ROWS
             )
 
     dealt = rows.mapInArrow(deal, "range int, follows boolean, doc_id long, text string")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(ranges) // 4)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(ranges) // RANGES)
     placed = dealt.repartition(parts, "range").sortWithinPartitions("range", "follows", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
