@@ -25,6 +25,8 @@ from flighttone.llm.texts import blocks, slim, utf8
 from flighttone.scale import materialize
 
 LEAST, MOST = 512, 8192
+#: Bytes of texts worked on at once; the rolling hash takes some twelve times as much memory.
+BLOCK = 4 << 20
 #: A cut on average every 2 ** 11 bytes where the hash is free to choose.
 MEAN_BITS = 11
 
@@ -80,7 +82,7 @@ def chunks(docs: DataFrame, seed: int) -> DataFrame:
     """Identifiers and bytes of chunks, ``id, bytes``, each once for a block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK):
             seen = set()
             for text, ends in _documents(block):
                 seen.update(bytes(text[a:b]) for a, b in zip([0, *ends], ends))
@@ -105,7 +107,7 @@ def recipes(docs: DataFrame, keep: Sequence[str], seed: int) -> DataFrame:
     """``keep``, ``recipe`` (the identifiers in order), ``n_chunks`` and ``text_sha256`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK):
             lists, counts, said = [], [], []
             for text, ends in _documents(block):
                 lists.append(b"".join(xxhash.xxh3_128_digest(text[a:b], seed) for a, b in zip([0, *ends], ends)))
