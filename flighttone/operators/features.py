@@ -276,20 +276,27 @@ def temp_one_hot(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 class FeatureCache:
-    """Keeps the matrix of each descriptor persisted until reset."""
+    """Keeps the matrix of each table, descriptor and parameters persisted until reset.
+
+    Two tables are one when their plans give the same result.
+    """
 
     def __init__(self) -> None:
-        self._held: dict[str, tuple[DataFrame, FittedFeatures]] = {}
+        self._held: dict[tuple[str, Params], list[tuple[DataFrame, DataFrame, FittedFeatures]]] = {}
 
     def get(self, df: DataFrame, spec: FeatureSpec, p: Params = DEFAULT) -> tuple[DataFrame, FittedFeatures]:
-        if spec.descriptor not in self._held:
-            made, fitted = build_features(df, spec, p)
-            self._held[spec.descriptor] = (made.persist(), fitted)
-        return self._held[spec.descriptor]
+        known = self._held.setdefault((spec.descriptor, p), [])
+        for table, made, fitted in known:
+            if df.sameSemantics(table):
+                return made, fitted
+        made, fitted = build_features(df, spec, p)
+        known.append((df, made.persist(), fitted))
+        return made, fitted
 
     def reset(self) -> None:
-        for made, _ in self._held.values():
-            made.unpersist()
+        for known in self._held.values():
+            for _, made, _ in known:
+                made.unpersist()
         self._held.clear()
 
 

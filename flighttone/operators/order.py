@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flighttone.params import DEFAULT, Params
@@ -36,17 +36,26 @@ def group_dim(df: DataFrame) -> DataFrame:
     return numbered.select(F.col("group_id").cast("int").alias("group_id"), "group_name")
 
 
+def root_path(spark: SparkSession, root: str) -> str:
+    """Absolute path of a folder in its file system, without scheme and authority."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(found).toUri().getPath().rstrip("/")
+
+
+def below(path: Column, plain: str) -> Column:
+    """What follows the folder ``plain`` in a path or URI; empty where the path does not begin with it."""
+    local = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(local.startswith(plain + "/"), F.substr(local, F.lit(len(plain) + 2))).otherwise("")
+
+
 def with_group(df: DataFrame, root: str, path: str = "path") -> DataFrame:
     """Group = first directory below ``root``; loose files only count when there is no directory.
 
     Without any directory the group is the name of ``root`` itself.
     """
-    base = root.rstrip("/")
-    # the scan reports full URIs, so look for the root's path inside them
-    plain = base.split("://", 1)[-1] if "://" in base else base.removeprefix("file:")
-    at = F.locate(plain + "/", F.col(path))
-    inside = F.substring(F.col(path), at + len(plain) + 1, F.length(path))
-    placed = df.withColumn("_inside", inside).withColumn(
+    plain = root_path(df.sparkSession, root)
+    placed = df.withColumn("_inside", below(F.col(path), plain)).withColumn(
         "_group", F.regexp_extract("_inside", r"^([^/]+)/", 1)
     )
     has_groups = placed.filter("_group <> ''").select("_group").limit(1).count() > 0

@@ -41,7 +41,10 @@ def _with_median(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], colum
     """One aggregate where a task can hold a group's values, else medians by rank beside it."""
     if fits_one_task(df):
         return df.groupBy(*by).agg(*aggs, F.median(column).alias(name))
-    return df.groupBy(*by).agg(*aggs).join(percentiles(df, by, column, {name: 0.5}), list(by))
+    # Groups without a value, and the group of null, have no row or no equal key on the right.
+    left, right = df.groupBy(*by).agg(*aggs).alias("l"), percentiles(df, by, column, {name: 0.5}).alias("r")
+    joined = left.join(right, [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by], "left")
+    return joined.select("l.*", f"r.{name}")
 
 
 def summary(df: DataFrame, p: Params = DEFAULT) -> DataFrame:

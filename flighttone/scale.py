@@ -170,7 +170,10 @@ def percentiles(
     sizes = ranked.groupBy(*by).agg(
         F.sum("_w").alias("_n"), F.min(F.col("_upto") - F.col("_w")).alias("_start")
     )
-    joined = ranked.join(small_side(sizes), list(by))
+    ranked = ranked.alias("l").join(
+        small_side(sizes).alias("r"), [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]
+    )
+    joined = ranked.select(*[F.col(f"l.{b}").alias(b) for b in by], "_v", "_w", "_upto", "_n", "_start")
     hi = F.col("_upto") - F.col("_start")
     lo = hi - F.col("_w")
     aggs = []
@@ -184,8 +187,9 @@ def percentiles(
     return found.select(
         *by,
         *[
-            (
-                F.col(f"_{n}_lo") + F.col(f"_{n}_share") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))
+            # Equal neighbours are the value itself, so infinities do not cancel out.
+            F.when(F.col(f"_{n}_lo") == F.col(f"_{n}_hi"), F.col(f"_{n}_lo")).otherwise(
+                F.col(f"_{n}_lo") * (1 - F.col(f"_{n}_share")) + F.col(f"_{n}_hi") * F.col(f"_{n}_share")
             ).alias(n)
             for n in shares
         ],
@@ -194,6 +198,8 @@ def percentiles(
 
 #: Rows of one join key above which it is joined on its own.
 HOT_ROWS = 200_000
+#: Copies of each key where hot keys are too many to be broadcast.
+SALTS = 16
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
@@ -201,12 +207,18 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     """Inner join to a side with one row per key and the ``weight`` that key has on the left.
 
     Keys holding many rows are broadcast, when they are proven few, so their
-    rows stay where they are; all others are shuffled as usual.
+    rows stay where they are; all others are shuffled as usual.  Where hot keys
+    are too many for that, every key is copied ``SALTS`` times and the rows are
+    dealt to the copies.
     """
     hot = right.filter(F.col(weight) > hot_rows)
     found = hot.limit(BROADCAST_ROWS + 1).count()
-    if found == 0 or found > BROADCAST_ROWS:
+    if found == 0:
         return left.join(right, list(keys))
+    if found > BROADCAST_ROWS:
+        dealt = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
     names = hot.select(*keys)
     rest = left.join(F.broadcast(names), list(keys), "left_anti")
     cold = right.filter(F.col(weight) <= hot_rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType, TimestampType, StringType
 
 from flighttone.operators.joins import small_side
+from flighttone.operators.order import below, root_path
 from flighttone.params import DEFAULT, Params
 from flighttone.sources.wav import decode_files
 
@@ -21,7 +22,9 @@ FILES = StructType(
 
 
 def stream_recordings(spark: SparkSession, root: str, group_dim: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """New files below ``root`` as recordings, for the groups known in ``group_dim``.
+    """New files below ``root`` as recordings, with the ids of the groups known in ``group_dim``.
+
+    Files of a new group are kept; their ``group_id`` is null until the group is known.
 
     Decoding and every attribute are maps over files, so they need no state and
     no watermark; load order and gaps are left to the finished table.
@@ -30,11 +33,10 @@ def stream_recordings(spark: SparkSession, root: str, group_dim: DataFrame, p: P
         spark.readStream.schema(FILES).format("binaryFile")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
     )
-    plain = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
+    plain = root_path(spark, root)
     files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    at = F.locate(plain + "/", F.col("path"))
-    inside = F.substring(F.col("path"), at + len(plain) + 1, F.length("path"))
+    inside = below(F.col("path"), plain)
     placed = files.withColumns(
         {"rec_id": F.xxhash64("path"), "group_name": F.regexp_extract(inside, r"^([^/]+)/", 1)}
     )
-    return decode_files(placed.join(small_side(group_dim), "group_name"), p)
+    return decode_files(placed.join(small_side(group_dim), "group_name", "left"), p)

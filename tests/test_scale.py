@@ -96,3 +96,25 @@ def test_step_to_a_neighbour_stops_at_the_ends(spark):
     assert order.neighbour(ranked, 4, -1).first()["rec_id"] == 4
     assert order.neighbour(ranked, 4, 1).first()["rec_id"] == 3
     assert order.neighbour(ranked, 0, 3).first()["rec_id"] == 0
+
+
+def test_medians_keep_every_group_at_any_size(spark, monkeypatch):
+    from flighttone.operators import stats
+
+    inf = float("inf")
+    rows = [("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", inf, 1.0), ("b", inf, 1.0), ("c", None, 1.0), (None, 4.0, 1.0),
+            ("d", -inf, 1.0), ("d", 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "label string, f1 double, temp double")
+    few = {r.label: (r.n, r.f1_median) for r in stats.group_summary(df).collect()}
+    monkeypatch.setattr(stats, "fits_one_task", lambda df: False)
+    monkeypatch.setattr(stats, "percentiles", lambda *a: scale.percentiles(*a, held_rows=1))
+    many = {r.label: (r.n, r.f1_median) for r in stats.group_summary(df).collect()}
+    assert many == few == {"a": (2, 1.5), "b": (2, inf), "c": (1, None), None: (1, 4.0), "d": (2, -inf)}
+
+
+def test_many_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+    left = spark.range(1000).selectExpr("id % 10 AS k", "id AS v")
+    right = left.groupBy("k").count()
+    joined = scale.join_unique(left, right, ["k"], "count", hot_rows=1)
+    assert joined.count() == 1000 and joined.agg({"v": "sum", "count": "sum"}).first()[0] in (499500, 100000)

@@ -199,3 +199,13 @@ def test_from_files_to_a_model(spark, two_species, tmp_path):
     again = classify.predict_recordings(model, recordings, 0.6)
     assert again.count() == 60 and again.filter("label >= 0").count() > 50
     assert classify.predict_recordings(model, recordings, refit_scaler=True).count() == 60
+
+
+def test_group_follows_the_root_as_a_prefix(spark):
+    from flighttone.operators.order import with_group
+
+    df = spark.createDataFrame([("/home/mywav/wav/g1/x.wav",), ("/home/mywav/wav/g2/wav/y.wav",)], "path string")
+    found = {r.path: r.group_name for r in with_group(df, "/home/mywav/wav").collect()}
+    assert sorted(found.values()) == ["g1", "g2"]
+    uris = spark.createDataFrame([("file:///home/wav/g1/x.wav",)], "path string")
+    assert with_group(uris, "file:/home/wav/").first().group_name == "g1"
