@@ -233,7 +233,10 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 
 def near_copies(docs: DataFrame, row: str | None = None, threshold: int = THRESHOLD) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document, and ``row`` if named.
+    """``doc_id, fingerprint, component_id`` of every document, and ``row`` and ``root`` if ``row`` is named.
+
+    ``root`` is the component's smallest fingerprint: it tells components apart
+    also where ids are null or repeated.
 
     A-Z are lower-cased, words are runs of what is not ASCII white space,
     shingles are ``WORDS`` words joined by a blank.  A text with fewer words is one
@@ -250,8 +253,9 @@ def near_copies(docs: DataFrame, row: str | None = None, threshold: int = THRESH
     member = distinct.join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
     member = member.withColumn("root", F.coalesce("root", "fp"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = member.join(named, "root").select("fp", "component_id")
+    member = member.join(named, "root").select("fp", "component_id", "root")
     # The narrow rows of a hot fingerprint are split by adaptive execution.
     return marked.join(member, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep[1:]
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        *([row, "root"] if row else []),
     )
