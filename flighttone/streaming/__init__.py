@@ -39,4 +39,6 @@ def stream_recordings(spark: SparkSession, root: str, group_dim: DataFrame, p: P
     placed = files.withColumns(
         {"rec_id": F.xxhash64("path"), "group_name": F.regexp_extract(inside, r"^([^/]+)/", 1)}
     )
-    return decode_files(placed.join(small_side(group_dim), "group_name", "left"), p)
+    # As in a finished tree, files beside the groups are left out.
+    grouped = placed.filter("group_name <> ''")
+    return decode_files(grouped.join(small_side(group_dim), "group_name", "left"), p)
