@@ -90,22 +90,23 @@ class _Packer:
             n = int(np.searchsorted(upto, supply, "right"))
             if n:
                 need = int(upto[n - 1])
-                ends = np.cumsum(shorter[:, 1])
-                fill, _, at = _cut(shorter, np.union1d(upto[:n], ends[ends <= need]))
-                gap = np.searchsorted(upto[:n], at, "right")
-                first = np.concatenate([own[:n], fill])
-                where = np.concatenate([np.arange(n), gap])
+                first, where = own[:n], np.arange(n)
+                if need:  # else all pieces are as long as their windows
+                    ends = np.cumsum(shorter[:, 1])
+                    fill, _, at = _cut(shorter, np.union1d(upto[:n], ends[ends <= need]))
+                    gap = np.searchsorted(upto[:n], at, "right")
+                    first, where = np.concatenate([first, fill]), np.concatenate([where, gap])
+                    spent = int(np.searchsorted(ends, need, "right"))
+                    after = shorter[spent:].copy()
+                    if len(after):
+                        used = need - (int(ends[spent - 1]) if spent else 0)
+                        after[0, 0] += used
+                        after[0, 1] -= used
+                    for t in range(tier + 1, len(self.tiers)):
+                        low = bounds[t]
+                        waiting[t] = after[(after[:, 1] > low) & (after[:, 1] <= self.tiers[t])]
                 order = np.argsort(where, kind="stable")
                 rows += self._rows(first[order], where[order], size)
-                spent = int(np.searchsorted(ends, need, "right"))
-                after = shorter[spent:].copy()
-                if len(after):
-                    used = need - (int(ends[spent - 1]) if spent else 0)
-                    after[0, 0] += used
-                    after[0, 1] -= used
-                for t in range(tier + 1, len(self.tiers)):
-                    low = bounds[t]
-                    waiting[t] = after[(after[:, 1] > low) & (after[:, 1] <= self.tiers[t])]
                 own = own[n:]
             if len(own):
                 # What is shorter does not fill one more window: the tier's pieces follow one another.

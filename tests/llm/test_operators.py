@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -150,6 +151,33 @@ def test_pack(docs, awkward, tiers):
     assert len({s for s, _ in groups}) == len(groups)
 
 
+def test_pack_all_sizes():
+    """Documents of every combination of sizes, among them those of the tiers, in one block and in one each."""
+    for sizes in (s for n in (1, 2, 3) for s in itertools.product(range(1, 10), repeat=n)):
+        ids = [np.arange(n, dtype=np.uint32) + 100 * i for i, n in enumerate(sizes)]
+        for step in (1, len(sizes)):
+            packer, rows = packing._Packer((8, 4, 2, 1), 16, 0), []
+            for at in range(0, len(sizes), step):
+                part = ids[at : at + step]
+                keys = np.empty(len(part), object)
+                keys[:] = range(at, at + len(part))
+                rows += packer.add(keys, np.concatenate(part), np.cumsum([0, *map(len, part)]))
+            rows += packer.last()
+            pieces = sorted((r[0], r[1], r[2], r[3]) for r in rows)
+            for i, n in enumerate(sizes):
+                own = [p for p in pieces if p[0] == i]
+                assert [p[1] for p in own] == np.cumsum([0, *(p[2] for p in own)])[:-1].tolist()
+                assert sum(p[2] for p in own) == n
+                assert all(p[3] == crc(ids[i][p[1] : p[1] + p[2]].tolist()) for p in own)
+            windows = collections.defaultdict(list)
+            for r in rows:
+                windows[r[5]].append((r[6], r[2], r[7]))
+            for found in windows.values():
+                found.sort()
+                assert [f[0] for f in found] == np.cumsum([0, *(f[1] for f in found)])[:-1].tolist()
+                assert sum(f[1] for f in found) == found[0][2]
+
+
 def test_pack_nothing(nothing):
     assert packing.pack(nothing, BYTE_BPE).count() == 0
 
