@@ -6,8 +6,9 @@ hash (hash and displace) over its lines and, in the order it gives, two compact
 arrays: a 64-bit fingerprint, which turns away lines that are not in the shard,
 and the number of documents.  Documents send their lines' hashes, packed into one
 row for each shard, and probe the arrays; lines are never joined.  Shards are
-copied to as many groups as keep each group of documents small, so a line that a
-third of all documents hold is probed in all of them.
+copied to as many groups as keep each group of documents small.  Lines so frequent
+that they would swell their shard have a shard of their own, with
+as many copies as their number asks for.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ MIN_DOCS = 10
 #: Lines of one shard, about, and lines that meet one copy of a shard.
 SHARD_LINES = 50_000
 GROUP_LINES = 400_000
+#: Lines that have a share of more than 1 in ``FREQUENT`` of all, so there are no more of them.
+FREQUENT = 100_000
+#: Shard of frequent lines.
+OWN_SHARD = -1
 #: Lines of one document sent in one row.
 ROW_LINES = 4096
 _BUCKET = 4
@@ -133,8 +138,11 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def build_index(counts: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard: ``shard, shift, prints, counts`` as bytes of arrays."""
+def build_index(counts: DataFrame, shards: int, frequent: int) -> DataFrame:
+    """One row for each shard: ``shard, shift, prints, counts`` as bytes of arrays.
+
+    Lines of more than ``frequent`` documents are in the shard ``OWN_SHARD``.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         h1 = table["h1"].to_numpy().view(np.uint64)
@@ -148,19 +156,31 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
             "shift": [place.shift.tobytes()], "prints": [prints.tobytes()], "counts": [n.tobytes()],
         })
 
-    dealt = counts.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    shard = F.when(F.col("n") > frequent, F.lit(OWN_SHARD)).otherwise(F.pmod("h1", F.lit(shards)))
+    dealt = counts.withColumn("shard", shard.cast("long"))
     return dealt.groupBy("shard").applyInArrow(run, "shard long, shift binary, prints binary, counts binary")
 
 
-def _sent(docs: DataFrame, shards: int, salts: int) -> DataFrame:
-    """Each document's lines for each shard, packed: ``r1, r2, shard, salt, at, keys``."""
+def _among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+    return ordered[at] == hashes
+
+
+def _sent(docs: DataFrame, shards: int, salts: int, own: np.ndarray, own_salts: int) -> DataFrame:
+    """Each document's lines for each shard, packed: ``r1, r2, shard, salt, at, keys``.
+
+    ``own`` are the first hashes of frequent lines, in order, ``own_salts`` the copies of their shard.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(own)  # fewer than FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             row, h1, h2, filled = _lines(block)
             begin = np.searchsorted(row, np.arange(block.num_rows))
             at = (np.arange(len(row)) - begin[row]).astype(np.int64)
-            shard = np.mod(h1.view(np.int64), shards)
+            shard = np.where(_among(h1, known.value), OWN_SHARD, np.mod(h1.view(np.int64), shards))
             kept = np.flatnonzero(filled)
             order = kept[np.lexsort((at[kept], shard[kept], row[kept]))]
             r, s, a = row[order], shard[order], at[order]
@@ -173,7 +193,8 @@ def _sent(docs: DataFrame, shards: int, salts: int) -> DataFrame:
             first = np.flatnonzero(inside % ROW_LINES == 0)
             spans = list(zip(first.tolist(), np.append(first[1:], len(order)).tolist()))
             r1, r2 = block["r1"].to_numpy()[r[first]], block["r2"].to_numpy()[r[first]]
-            salt = _mix(r1.view(np.uint64) + inside[first].astype(np.uint64)) % np.uint64(salts)
+            copies = np.where(s[first] == OWN_SHARD, own_salts, salts).astype(np.uint64)
+            salt = _mix(r1.view(np.uint64) + inside[first].astype(np.uint64)) % copies
             for i in range(0, len(first), 10_000):
                 part = slice(i, i + 10_000)
                 yield pa.RecordBatch.from_arrays(
@@ -237,13 +258,21 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool
     )
     counts = materialize(document_counts(docs).filter("n > 1"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held, met = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    # All lines are sent, those of single documents too.
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    total = docs.agg(F.sum(breaks.cast("long") + 1)).first()[0] or 0
+    held = counts.count()
     shards = max(1, -(-held // SHARD_LINES))
-    # Lines of single documents are sent as well; there are about as many again.
-    salts = max(1, -(-2 * (met or 0) // (shards * GROUP_LINES)), -(-parts // shards))
-    index = materialize(build_index(counts, shards))
-    copied = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    sent = _sent(marked.select("r1", "r2", "text"), shards, salts)
+    frequent = max(GROUP_LINES, total // FREQUENT)
+    own = counts.filter(F.col("n") > frequent).select("h1", "n").collect()  # fewer than FREQUENT
+    hashes = np.sort(np.array([r.h1 for r in own], np.int64).view(np.uint64))
+    # A document can hold a frequent line several times; lines of the other shards are no more than all.
+    salts = max(1, -(-total // (shards * GROUP_LINES)), -(-parts // shards))
+    own_salts = max(1, -(-total // GROUP_LINES)) if own else 1
+    index = materialize(build_index(counts, shards, frequent))
+    last = F.when(F.col("shard") == OWN_SHARD, F.lit(own_salts)).otherwise(F.lit(salts)) - 1
+    copied = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    sent = _sent(marked.select("r1", "r2", "text"), shards, salts, hashes, own_salts)
     found = sent.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInArrow(
         _probe(min_docs), "r1 long, r2 long, drop binary"
     )

@@ -277,6 +277,18 @@ def test_lines(docs, awkward, least):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_frequent_lines_have_their_own_shard(spark, monkeypatch):
+    monkeypatch.setattr(lines, "GROUP_LINES", 4)
+    monkeypatch.setattr(lines, "FREQUENT", 60)
+    built = []
+    build = lines.build_index
+    monkeypatch.setattr(lines, "build_index", lambda *a: built.append(build(*a)) or built[-1])
+    rows = [(i, "\n".join(["Hot ", f"pair {i // 2}", f"alone {i}", "hot"] + ["", "warm"] * (i < 12))) for i in range(40)]
+    found = lines.drop_common_lines(table(spark, rows), 10, with_text=True).collect()
+    assert collections.Counter(r[:4] for r in map(tuple, found)) == collections.Counter(brute_lines(rows, 10))
+    assert lines.OWN_SHARD in {r.shard for r in built[0].collect()} and sum(r.n_dropped for r in found) == 92
+
+
 def test_lines_edges(spark, docs, nothing):
     assert lines.drop_common_lines(nothing).count() == 0
     unique = table(spark, [(1, "a"), (2, "b")])
