@@ -107,8 +107,10 @@ def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], list[tuple[int, int]
 
 def _range_of(ends: list[int]):
     """Number of the range of ``doc_id``; null ids are in the first."""
-    search = F.pandas_udf(lambda ids: ids.map(lambda x: 0 if x != x or x is None else bisect_right(ends, x)), "int")
-    return search("doc_id") if ends else F.lit(0)
+    search = F.pandas_udf(lambda ids: ids.map(lambda x: bisect_right(ends, x)), "int")
+    # A column with nulls would come as doubles, which are too coarse for large ids.
+    below = F.lit(-(1 << 63)).cast("long")
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(search(F.coalesce("doc_id", below))) if ends else F.lit(0)
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE, range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Normalised texts are cut where a rolling hash of the last 32 bytes says so, with
 chunks of 512 to 8192 bytes.  Every chunk gets a 128-bit identifier.  The
-chunks themselves are moved once, after copies within a block of texts are
-dropped, to verify that no identifier names two different chunks; if one did,
+chunks themselves are moved once, after copies within a block of texts and of
+chunks that a task meets in block after block are dropped, to verify that no identifier names two different chunks; if one did,
 all identifiers would be made anew with the next seed.  From then on a document
 is the ordered list of its identifiers, some 130 times shorter than the text, and
 documents are equal when their lists are.
@@ -27,6 +27,8 @@ from flighttone.scale import materialize
 LEAST, MOST = 512, 8192
 #: Bytes of texts worked on at once; the rolling hash takes some twelve times as much memory.
 BLOCK = 4 << 20
+#: Bytes of chunks met in several blocks that a task remembers.
+KEPT = 4 << 20
 #: A cut on average every 2 ** 11 bytes where the hash is free to choose.
 MEAN_BITS = 11
 
@@ -79,14 +81,28 @@ def _documents(block: pa.Table) -> Iterator[tuple[memoryview, list[int]]]:
 
 
 def chunks(docs: DataFrame, seed: int) -> DataFrame:
-    """Identifiers and bytes of chunks, ``id, bytes``, each once for a block of texts."""
+    """Identifiers and bytes of chunks, ``id, bytes``, each once for a block of texts.
+
+    A chunk of every other document is sent about once by a task: what two blocks
+    that follow one another have is remembered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All of both sets has been sent.
+        before: set[bytes] = set()
+        kept: set[bytes] = set()
+        held = 0
         for block in blocks(batches, BLOCK):
             seen = set()
             for text, ends in _documents(block):
                 seen.update(bytes(text[a:b]) for a, b in zip([0, *ends], ends))
-            found = list(seen)
+            found = list(seen - before - kept)
+            again = (seen & before) - kept
+            if held > KEPT:
+                kept, held = set(), 0
+            kept |= again
+            held += sum(map(len, again))
+            before = seen
             for at in range(0, len(found), 2000):
                 part = found[at : at + 2000]
                 ids = [xxhash.xxh3_128_digest(c, seed) for c in part]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from flighttone.llm.graph import components
 from flighttone.llm.texts import blocks, slim, utf8
-from flighttone.scale import materialize
+from flighttone.scale import join_unique, materialize
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -248,14 +248,13 @@ def near_copies(docs: DataFrame, row: str | None = None, threshold: int = THRESH
     """
     keep = ["doc_id"] + [row] * bool(row)
     marked = materialize(fingerprints(docs, keep))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     found = components(materialize(links(distinct, threshold)))
     member = distinct.join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
     member = member.withColumn("root", F.coalesce("root", "fp"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = member.join(named, "root").select("fp", "component_id", "root")
-    # The narrow rows of a hot fingerprint are split by adaptive execution.
-    return marked.join(member, "fp").select(
+    member = materialize(member.join(named, "root").select("fp", "component_id", "root", "rows"))
+    return join_unique(marked, member, ["fp"], "rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         *([row, "root"] if row else []),
     )

@@ -532,6 +532,18 @@ def test_exact_copies_as_in_sql(spark, awkward):
     assert sorted(map(tuple, found)) == sorted(duck(queries.SQL["op10_exact_copies"], rows))
 
 
+def test_chunks_of_many_blocks_are_sent_once(spark, monkeypatch):
+    shared = " ".join(f"word{i}" for i in range(3000))
+    rows = [(i, f"{shared}\n{i} " * 3) for i in range(60)]
+    held = table(spark, rows).coalesce(1)
+    whole = {tuple(r) for r in recipes.chunks(held, 0).collect()}
+    monkeypatch.setattr(recipes, "BLOCK", 100_000)
+    for size in (recipes.KEPT, 0):
+        monkeypatch.setattr(recipes, "KEPT", size)
+        met = [tuple(r) for r in recipes.chunks(held, 0).collect()]
+        assert set(met) == whole and (not size or len(met) < 1.2 * len(whole))
+
+
 def test_chunks_follow_content(nothing):
     data = np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8)
     ends = lambda raw: recipes.chunk_ends(recipes.cut_points(raw).tolist(), 0, len(raw))

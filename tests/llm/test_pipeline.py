@@ -96,3 +96,21 @@ def test_clean_documents_stay(spark):
     kept = pipeline.language(spark, known, SMALL)
     assert kept.count() == known.filter("text rlike '[a-zA-Z]'").count()
     assert languages.vocabulary(public_tokenizers.path("piece_bpe_32k.model")).pieces
+
+
+def test_rows_keep_their_number(spark, docs, tmp_path):
+    docs.repartition(1).write.parquet(str(tmp_path / "docs"))
+    numbered = []
+    for size in ("128MB", "4KB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = pipeline._numbered(spark.read.parquet(str(tmp_path / "docs"))).collect()
+        numbered.append(sorted((r._row, r.doc_id is None, r.doc_id or 0, r.text or "") for r in found))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert numbered[0] == numbered[1] and len({r[0] for r in numbered[0]}) == docs.count()
+
+
+def test_tables_without_files(spark):
+    rows = [(1, "a b c d", "en", "x", 7), (1, "a b c d", "en", "x", 7), (2, "A b c d", "en", "x", 7), (None, None, None, None, None)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert ids(pipeline.exact_dedup(spark, held, "")) == ids(held.filter("doc_id is null or doc_id = 2"))
+    assert ids(pipeline.near_dedup(spark, held, "")) == ids(held.filter("doc_id is null").unionByName(held.filter("doc_id = 1").limit(1)))
