@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flighttone.functions.spectrum import to_db
@@ -16,13 +16,11 @@ SIG = Params(
     sr=64, nperseg=32, overlap=16, nfft=32, f_min=4, f_max=32, f1_min=2, f1_max=16, n_mels=5,
     n_mfcc=4, min_samples=64, f1_step=1, segment_ms=1000,
 )
-#: Recordings of up to 96 samples at 100 Hz.
+#: Recordings at 100 Hz.
 WAV = Params(sr=100, f1_min=4, f1_max=25, f_max=50, min_samples=80)
 #: One sample per millisecond, with a noise floor in the middle of the data.
 PER_MS = Params(sr=1000, noise_floor=0.025)
 
-WAV_BLOCK = 96
-
 
 def r(column: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
@@ -93,21 +91,17 @@ def sig(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wav_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of one user's events as samples ``rec_id, n, x``; never more than ``WAV_BLOCK`` long."""
-    from pyspark.sql import Window
-
-    events = table(spark, folder, "events").select(
-        "user_id", "ts", "event_id", ((F.col("value") - 50) / 500).alias("x")
-    )
-    placed = with_position(events, ["user_id", "ts", "event_id"], "pos")
-    run = Window.partitionBy("user_id", F.floor(F.col("pos") / WAV_BLOCK))
-    return placed.withColumn("rec_id", F.min("pos").over(run)).select(
-        "rec_id", (F.col("pos") - F.col("rec_id")).alias("n"), "x"
+    """Each user's events in order as samples ``rec_id, n, x`` of one recording."""
+    events = table(spark, folder, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return events.select(
+        F.col("user_id").alias("rec_id"), (F.row_number().over(order) - 1).cast("long").alias("n"),
+        ((F.col("value") - 50) / 500).alias("x"),
     )
 
 
 def wav(spark: SparkSession, folder: str) -> DataFrame:
-    """The same runs as one waveform per row."""
+    """The same recordings as one waveform per row."""
     samples = wav_samples(spark, folder)
     in_order = F.array_sort(F.collect_list(F.struct("n", "x")))
     return samples.groupBy("rec_id").agg(in_order.getField("x").alias("waveform"))
@@ -140,8 +134,6 @@ SIG_SAMPLES = """samples AS (
   SELECT vec_id AS rec_id, label, generate_subscripts(embedding, 1) - 1 AS n,
     CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"""
 
-WAV_SAMPLES = f"""placed AS (
-  SELECT user_id, (value - 50) / 500 AS x,
-    row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS pos FROM events),
-runs AS (SELECT *, min(pos) OVER (PARTITION BY user_id, pos // {WAV_BLOCK}) AS rec_id FROM placed),
-wav AS (SELECT rec_id, pos - rec_id AS n, x FROM runs)"""
+WAV_SAMPLES = """wav AS (
+  SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n,
+    (value - 50) / 500 AS x FROM events)"""

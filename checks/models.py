@@ -102,7 +102,7 @@ def mfcc_features(spark: SparkSession, d: str) -> DataFrame:
 @check("rbm")
 def rbm(spark: SparkSession, d: str) -> DataFrame:
     x = features.scale(sig(spark, d), "Normalizer")
-    return _cells(features.apply_rbm(x, features.fit_rbm(x, 2 * 64, rounds=3)), 5)
+    return _cells(features.apply_rbm(x, features.fit_rbm(x, 2 * 64)), 5)
 
 
 @check("feature_sink", f"WITH {SIG_SAMPLES} SELECT rec_id, n AS pos, label, round(x, 6) + 0.0 AS x FROM samples")
@@ -229,8 +229,7 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @check("gaussian_mixture")
 def gaussian_mixture(spark: SparkSession, d: str) -> DataFrame:
-    x = sig(spark, d)
-    return cluster.gaussian_mixture(features.apply_pca(x, features.fit_pca(x, 5)), 3)
+    return cluster.gaussian_mixture(sig(spark, d), 3)
 
 
 @check("spectral")
@@ -271,7 +270,7 @@ def _labelled(spark: SparkSession, d: str, classes: int) -> DataFrame:
 
 def _trained(spark: SparkSession, d: str, classes: int):
     rows = classify.holdout_split(_labelled(spark, d, classes))
-    return classify.train_boosted(rows, rounds=4, depth=3), rows
+    return classify.train_boosted(rows), rows
 
 
 @check("boosted_predict")
@@ -293,7 +292,7 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @check("mlp_predict")
 def mlp_predict(spark: SparkSession, d: str) -> DataFrame:
-    _, scored = classify.train(_labelled(spark, d, 2), "mlp", rounds=20)
+    _, scored = classify.train(_labelled(spark, d, 2), "mlp")
     return scored
 
 

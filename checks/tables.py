@@ -72,7 +72,7 @@ def group_dim(spark: SparkSession, d: str) -> DataFrame:
 
 
 @check("load_order", _FILES + """
-SELECT rec_id, row_number() OVER (ORDER BY group_name, -len(string_split(dir, '/')), dir, filename) - 1 AS load_seq
+SELECT rec_id, row_number() OVER (ORDER BY group_name, list_append(string_split(dir, '/'), chr(1114111)), filename) - 1 AS load_seq
 FROM dirs""")
 def load_order(spark: SparkSession, d: str) -> DataFrame:
     return order.with_load_seq(order.with_group(_files(spark, d), "/data")).select("rec_id", "load_seq")

@@ -25,6 +25,9 @@ ORDERS: dict[str, tuple[str, ...]] = {
     "cluster": ("label",),
 }
 
+#: The last character there is.
+END = "\U0010ffff"
+
 
 def group_dim(df: DataFrame) -> DataFrame:
     """Group names with their index in sorted order: one row per group."""
@@ -68,20 +71,16 @@ def with_group(df: DataFrame, root: str, path: str = "path") -> DataFrame:
 
 
 def with_load_seq(df: DataFrame, path: str = "path") -> DataFrame:
-    """Position in load order: groups sorted, deepest directories first, names sorted.
+    """Position in load order: groups sorted, and in each a directory after all that is below it.
 
-    Directories of one depth go in name order.  Call it on the narrow file
+    Directories side by side and files go in name order.  Call it on the narrow file
     list, before samples are decoded.
     """
-    listed = df.withColumns(
-        {
-            "_depth": -F.size(F.split(path, "/")),
-            "_dir": F.regexp_extract(path, r"^(.*)/", 1),
-            "_name": F.regexp_extract(path, r"([^/]*)$", 1),
-        }
-    )
-    keys = ["group_name", "_depth", "_dir", "_name"]
-    return with_position(listed, keys, "load_seq").drop("_depth", "_dir", "_name")
+    parts = F.split(path, "/")
+    # The end mark sorts after any name, so what lies deeper comes first.
+    folders = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.lit(END)))
+    listed = df.withColumns({"_dir": folders, "_name": F.element_at(parts, -1)})
+    return with_position(listed, ["group_name", "_dir", "_name"], "load_seq").drop("_dir", "_name")
 
 
 def _seconds(gap: Column) -> Column:

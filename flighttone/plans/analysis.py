@@ -24,6 +24,7 @@ def build_table(spark: SparkSession, root: str, out: str, p: Params = DEFAULT) -
     sinks.write_recordings(attributes(read, p), f"{out}/all")
     table = spark.read.parquet(f"{out}/all")
     wav.bad_records(table).write.mode("overwrite").parquet(f"{out}/quarantine")
+    wav.check_ids(table.select("rec_id"))
     recordings = wav.good_records(table)
     placed = order.with_load_seq(recordings.select("rec_id", "dt", "path", "group_name"))
     gaps = order.flag_close(order.interarrival(placed), p)

@@ -142,13 +142,17 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def check_ids(files: DataFrame) -> None:
+    """Raise if two paths share an id."""
+    shared = files.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.sum("n")).first()[0]
+    if shared:
+        raise ValueError(f"{shared} paths share an id with another path")
+
+
 def load_order(files: DataFrame) -> DataFrame:
     """``rec_id, load_seq`` of a scan with groups; ids are checked to be unique."""
-    listed = with_load_seq(files.select("rec_id", "path", "group_name")).select("rec_id", "load_seq")
-    n, ids = listed.agg(F.count(F.lit(1)), F.count_distinct("rec_id")).first()
-    if n != ids:
-        raise ValueError(f"{n - ids} paths share an id with another path")
-    return listed
+    check_ids(files)
+    return with_load_seq(files.select("rec_id", "path", "group_name")).select("rec_id", "load_seq")
 
 
 def decode_files(files: DataFrame, p: Params = DEFAULT) -> DataFrame:

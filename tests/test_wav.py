@@ -105,6 +105,20 @@ def test_load_order_and_root_group(spark, tree, read):
     assert flat.first()["group_name"] == "er"
 
 
+def test_directories_follow_what_is_below_them(spark):
+    paths = ["/w/g/a/x/1.wav", "/w/g/a/x/2.wav", "/w/g/a/3.wav", "/w/g/b/y/z/4.wav", "/w/g/b/y/5.wav", "/w/g/b/6.wav",
+             "/w/g/b c/7.wav", "/w/g/\u9999/8.wav", "/w/g/9.wav"]
+    rows = spark.createDataFrame([(p, "g") for p in reversed(paths)], "path string, group_name string")
+    assert [r.path for r in order.with_load_seq(rows).orderBy("load_seq").collect()] == paths
+
+
+def test_paths_with_one_id_are_refused(spark):
+    rows = spark.createDataFrame([(1, "/a"), (1, "/b"), (2, "/c")], "rec_id long, path string")
+    wav.check_ids(rows.filter("path <> '/a'"))
+    with pytest.raises(ValueError):
+        wav.check_ids(rows)
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     assert wav.read_recordings(spark, str(tmp_path)).count() == 0
