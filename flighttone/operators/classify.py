@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from flighttone.operators.features import FittedFeatures, descriptor_of
 from flighttone.operators.stats import accuracy, balance_report, binary_metrics, class_metrics, confusion
-from flighttone.scale import with_position
+from flighttone.scale import materialize, with_position
 
 __all__ = [
     "CLASSIFIERS", "Model", "balance_report", "evaluate", "feature_importance", "holdout_split",
@@ -80,22 +81,53 @@ def _shape(df: DataFrame) -> tuple[int, int]:
     return high + 1, width
 
 
+def _best_round(losses: Sequence[float], tolerance: float, patience: int) -> tuple[int, bool]:
+    """The round with the lowest loss, and whether ``patience`` rounds after it did not improve it."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best] - tolerance:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def _fit_boosted(base: GBTClassifier, data: DataFrame, rounds: int, tolerance: float,
+                 patience: int) -> GBTClassificationModel:
+    """As many rounds as the held-out loss asks for.
+
+    Rounds are tried in doubling numbers; as trees do not depend on later ones,
+    each attempt begins with the trees of the one before.
+    """
+    seen, held = data.filter("not is_test"), data.filter("is_test")
+    if held.isEmpty():
+        return base.setMaxIter(rounds).fit(seen)
+    tried = min(rounds, 2 * patience)
+    while True:
+        model = base.setMaxIter(tried).fit(seen)
+        best, stopped = _best_round(model.evaluateEachIteration(held), tolerance, patience)
+        if stopped or tried == rounds:
+            return model if best == tried else base.setMaxIter(best).fit(seen)
+        tried = min(rounds, 2 * tried)
+
+
 def train_boosted(df: DataFrame, rounds: int = 1000, tolerance: float = 0.0, depth: int = 6,
-                  rate: float = 0.3, features: FittedFeatures | None = None) -> Model:
+                  rate: float = 0.3, patience: int = 10, features: FittedFeatures | None = None) -> Model:
     """Boosted trees, one model per class beyond two classes.
 
-    ``is_test`` rows only decide when to stop: as soon as a round no longer
-    improves their loss by ``tolerance``.
+    ``is_test`` rows only decide when to stop: when ``patience`` rounds have not
+    improved their loss by more than ``tolerance``.  The rounds up to the best
+    one are kept.
     """
     classes, width = _shape(df)
     data = _ready(df).persist()
     base = GBTClassifier(
-        featuresCol="_v", labelCol="_y", validationIndicatorCol="is_test", maxIter=rounds,
-        maxDepth=depth, stepSize=rate, validationTol=tolerance, seed=SPLIT_SEED,
+        featuresCol="_v", labelCol="_y", maxDepth=depth, stepSize=rate, seed=SPLIT_SEED,
     )
     wanted = [1] if classes == 2 else range(classes)
     parts = [
-        base.fit(data.withColumn("_y", (F.col("label") == c).cast("double"))) for c in wanted
+        _fit_boosted(base, data.withColumn("_y", (F.col("label") == c).cast("double")), rounds, tolerance, patience)
+        for c in wanted
     ]
     data.unpersist()
     return Model("boosted", parts, classes, width, descriptor_of(df), features=features)
@@ -235,7 +267,8 @@ def training_curves(model: Model, df: DataFrame) -> DataFrame:
                 F.avg(((F.col("m") > 0) != F.col("_yes")).cast("int")).alias("error"),
             ).select(F.lit(positive).alias("class"), "round", "is_test", "logloss", "error")
             out = curve if out is None else out.unionByName(curve)
-            rows = rows.drop(*[f"_m{i}" for i in margins])
+            # Written, so that the next pass does not evaluate these trees again.
+            rows = materialize(rows.drop(*[f"_m{i}" for i in margins]))
     return out
 
 

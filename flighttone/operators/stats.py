@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flighttone.params import DEFAULT, Params
-from flighttone.scale import fits_one_task, percentiles
+from flighttone.scale import percentiles
 
 # Fixed bin edges.
 S2N_EDGES = (0, 10, 20, 50, 100, 200, 500, float("inf"))
@@ -38,9 +38,7 @@ def _fit(y: str, x: str) -> Column:
 
 def _with_median(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], column: str,
                  name: str) -> DataFrame:
-    """One aggregate where a task can hold a group's values, else medians by rank beside it."""
-    if fits_one_task(df):
-        return df.groupBy(*by).agg(*aggs, F.median(column).alias(name))
+    """Aggregates of each group and, beside them, its median by rank."""
     # Groups without a value, and the group of null, have no row or no equal key on the right.
     left, right = df.groupBy(*by).agg(*aggs).alias("l"), percentiles(df, by, column, {name: 0.5}).alias("r")
     joined = left.join(right, [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by], "left")

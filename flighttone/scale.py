@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast, checked by counting.
 BROADCAST_ROWS = 100_000
-#: Rows up to which one group's exact percentile may be held by one task.
-PERCENTILE_ROWS = 1_000_000
 
 _SLOT = "_slot"
 _RANGE = "_range"
@@ -139,32 +137,21 @@ def with_previous(
     )
 
 
-def fits_one_task(df: DataFrame, held_rows: int = PERCENTILE_ROWS) -> bool:
-    """Whether all rows together, so any group of them, stay below the bound; reads no columns."""
-    return df.count() <= held_rows
-
-
 def percentiles(
     df: DataFrame,
     by: Sequence[str],
     column: str,
     shares: Mapping[str, float],
-    held_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation for each group in ``by``.
 
-    Up to ``held_rows`` rows the built-in aggregate is used.  Beyond, one group
-    could exceed a task's memory, so values are ranked by a range sort and only
-    the two neighbours of each rank are aggregated.
+    One group could exceed a task's memory, so its distinct values are ranked by
+    a range sort and only the two neighbours of each rank are aggregated.
     """
     if not by:
         whole = df.withColumn("_all", F.lit(1))
-        return percentiles(whole, ["_all"], column, shares, held_rows).drop("_all")
+        return percentiles(whole, ["_all"], column, shares).drop("_all")
     values = df.select(*by, F.col(column).alias("_v")).filter("_v is not null")
-    if fits_one_task(df, held_rows):
-        return values.groupBy(*by).agg(
-            *[F.percentile("_v", F.lit(q)).alias(n) for n, q in shares.items()]
-        )
     counted = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
     ranked = with_running_totals(counted, [*by, "_v"], {"_upto": F.col("_w")})
     sizes = ranked.groupBy(*by).agg(

@@ -7,6 +7,8 @@ the narrow file list (``load_order``), joined only where order matters.
 
 from __future__ import annotations
 
+import functools
+import math
 import struct
 
 import numpy as np
@@ -25,6 +27,8 @@ PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 #: Zero crossings of the resampling kernel on each side, and its Kaiser shape.
 SINC_ZEROS = 32
 SINC_SHAPE = 10.0
+#: Largest matrix of resampling weights that is kept, 16 MB.
+CYCLE_CELLS = 2_000_000
 
 
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
@@ -63,22 +67,58 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels).mean(axis=1)
 
 
+def _kernel(t: np.ndarray, cut: float, reach: int) -> np.ndarray:
+    inside = np.clip(1 - (t / (reach + 1)) ** 2, 0, None)
+    return cut * np.sinc(cut * t) * np.i0(SINC_SHAPE * np.sqrt(inside)) / np.i0(SINC_SHAPE)
+
+
+def _kernel_reach(rate: int, target: int) -> tuple[float, int]:
+    cut = min(1.0, target / rate)
+    return cut, int(np.ceil(SINC_ZEROS / cut))
+
+
+@functools.lru_cache(maxsize=8)
+def _cycle_weights(rate: int, target: int) -> np.ndarray:
+    """Weights of one cycle of output samples over the input samples they need.
+
+    The kernel's phases come round again after ``up`` output samples, which is
+    ``step`` input samples further on.
+    """
+    cut, reach = _kernel_reach(rate, target)
+    up, step = target // math.gcd(rate, target), rate // math.gcd(rate, target)
+    weights = np.zeros((step + 2 * reach + 1, up))
+    for phase in range(up):
+        base, part = divmod(phase * step, up)
+        weights[base : base + 2 * reach + 1, phase] = _kernel(part / up - np.arange(-reach, reach + 1), cut, reach)
+    return weights
+
+
 def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Windowed-sinc interpolation at the new sample times, cut off below both Nyquist limits."""
+    """Windowed-sinc interpolation at the new sample times, cut off below both Nyquist limits.
+
+    One matrix product a clip; rates with few common factors, whose weights
+    would exceed ``CYCLE_CELLS``, are evaluated sample by sample.
+    """
     if rate == target or len(x) == 0:
         return x
-    cut = min(1.0, target / rate)
-    reach = int(np.ceil(SINC_ZEROS / cut))
+    cut, reach = _kernel_reach(rate, target)
+    n = -(-len(x) * target // rate)
+    up, step = target // math.gcd(rate, target), rate // math.gcd(rate, target)
+    if up * (step + 2 * reach + 1) <= CYCLE_CELLS:
+        weights = _cycle_weights(rate, target)
+        cycles = -(-n // up)
+        padded = np.zeros((cycles - 1) * step + len(weights))
+        kept = min(len(x), len(padded) - reach)
+        padded[reach : reach + kept] = x[:kept]
+        windows = np.lib.stride_tricks.sliding_window_view(padded, len(weights))[::step]
+        return (windows @ weights).ravel()[:n]
     offsets = np.arange(-reach, reach + 1)
     padded = np.pad(x, reach + 1)
-    n = -(-len(x) * target // rate)
     out = np.empty(n)
     for start in range(0, n, 4096):
         at = np.arange(start, min(start + 4096, n)) * (rate / target)
         base = np.floor(at).astype(int)
-        t = at[:, None] - (base[:, None] + offsets)
-        inside = np.clip(1 - (t / (reach + 1)) ** 2, 0, None)
-        weight = cut * np.sinc(cut * t) * np.i0(SINC_SHAPE * np.sqrt(inside)) / np.i0(SINC_SHAPE)
+        weight = _kernel(at[:, None] - (base[:, None] + offsets), cut, reach)
         out[start : start + len(at)] = (padded[base[:, None] + offsets + reach + 1] * weight).sum(axis=1)
     return out
 

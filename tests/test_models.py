@@ -354,6 +354,27 @@ def test_two_classes_curves_and_importance(spark):
     assert {r["is_test"]: r["e"] for r in wrong.collect()} == pytest.approx(last)
 
 
+def test_boosting_stops_after_rounds_without_gain():
+    losses = [5, 4, 4.5, 4.6, 3, 3.5, 3.4, 3.3, 2]
+    assert classify._best_round(losses, 0.0, 10) == (9, False)
+    assert classify._best_round(losses, 0.0, 3) == (5, True)
+    assert classify._best_round(losses, 0.0, 2) == (2, True)
+    assert classify._best_round(losses, 1.5, 10) == (5, False)  # 2 is not better than 3 by more than 1.5
+
+
+def test_boosting_keeps_the_best_round(spark):
+    x, y = blobs(2, 60)
+    noisy = np.where(np.arange(len(y)) % 5 == 0, 1 - y, y)
+    rows = classify.holdout_split(matrix(spark, x, noisy))
+    model = classify.train_boosted(rows, rounds=40, depth=2, patience=4)
+    curves = classify.training_curves(model, rows).filter("is_test").orderBy("round").collect()
+    losses = [r["logloss"] for r in curves]
+    assert len(model.parts[0].trees) == len(losses) < 40
+    assert losses[-1] == min(losses)
+    untested = classify.train_boosted(rows.withColumn("is_test", F.lit(False)), rounds=3, depth=2)
+    assert len(untested.parts[0].trees) == 3
+
+
 def test_noise_labels_and_other_features_are_refused(spark, labelled):
     made, _ = labelled
     with pytest.raises(ValueError, match="labels"):

@@ -37,15 +37,16 @@ def test_previous(skewed, block):
     assert [r["p"] for r in rows[1:]] == [r["v"] for r in rows[:-1]]
 
 
-def test_percentiles_beyond_what_a_task_may_hold(skewed):
+def test_percentiles_by_rank_are_those_of_the_aggregate(skewed):
     shares = {"lo": 0.25, "mid": 0.5, "hi": 0.987}
-    held = {r["k"]: r for r in scale.percentiles(skewed, ["k"], "v", shares).collect()}
-    ranked = scale.percentiles(skewed, ["k"], "v", shares, held_rows=10).collect()
+    whole = skewed.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in shares.items()])
+    held = {r["k"]: r for r in whole.collect()}
+    ranked = scale.percentiles(skewed, ["k"], "v", shares).collect()
     assert len(ranked) == len(held)
     for r in ranked:
         for n in shares:
             assert r[n] == pytest.approx(held[r["k"]][n], abs=1e-12)
-    whole = scale.percentiles(skewed, [], "v", {"mid": 0.5}, held_rows=10).first()
+    whole = scale.percentiles(skewed, [], "v", {"mid": 0.5}).first()
     assert whole["mid"] == np.median([r["v"] for r in skewed.collect()])
 
 
@@ -61,13 +62,13 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert spark.sparkContext.getCheckpointDir()
 
 
-def test_group_summary_of_a_hot_group(skewed, monkeypatch):
+def test_group_summary_of_a_hot_group(skewed):
     rows = skewed.select("rec_id", F.col("k").alias("label"), F.col("v").alias("f1"), (F.col("rec_id") % 7).cast("double").alias("temp"))
-    plain = {r["label"]: r for r in stats.group_summary(rows).collect()}
-    monkeypatch.setattr(stats, "fits_one_task", lambda df: False)
-    monkeypatch.setattr(stats, "percentiles", lambda *a: scale.percentiles(*a, held_rows=5))
-    for r in stats.group_summary(rows).collect():
-        assert r["f1_median"] == pytest.approx(plain[r["label"]]["f1_median"])
+    plain = {r["label"]: r["m"] for r in rows.groupBy("label").agg(F.median("f1").alias("m")).collect()}
+    found = stats.group_summary(rows).collect()
+    assert len(found) == len(plain)
+    for r in found:
+        assert r["f1_median"] == pytest.approx(plain[r["label"]])
 
 
 def test_constant_temperature(spark):
@@ -98,18 +99,13 @@ def test_step_to_a_neighbour_stops_at_the_ends(spark):
     assert order.neighbour(ranked, 0, 3).first()["rec_id"] == 0
 
 
-def test_medians_keep_every_group_at_any_size(spark, monkeypatch):
-    from flighttone.operators import stats
-
+def test_medians_keep_every_group(spark):
     inf = float("inf")
     rows = [("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", inf, 1.0), ("b", inf, 1.0), ("c", None, 1.0), (None, 4.0, 1.0),
             ("d", -inf, 1.0), ("d", 3.0, 1.0)]
     df = spark.createDataFrame(rows, "label string, f1 double, temp double")
-    few = {r.label: (r.n, r.f1_median) for r in stats.group_summary(df).collect()}
-    monkeypatch.setattr(stats, "fits_one_task", lambda df: False)
-    monkeypatch.setattr(stats, "percentiles", lambda *a: scale.percentiles(*a, held_rows=1))
-    many = {r.label: (r.n, r.f1_median) for r in stats.group_summary(df).collect()}
-    assert many == few == {"a": (2, 1.5), "b": (2, inf), "c": (1, None), None: (1, 4.0), "d": (2, -inf)}
+    found = {r.label: (r.n, r.f1_median) for r in stats.group_summary(df).collect()}
+    assert found == {"a": (2, 1.5), "b": (2, inf), "c": (1, None), None: (1, 4.0), "d": (2, -inf)}
 
 
 def test_many_hot_keys_are_salted(spark, monkeypatch):

@@ -96,6 +96,18 @@ def test_resampling_keeps_a_tone_and_drops_what_is_above():
     np.testing.assert_allclose(up[200:-200], tone((500, 0.5))[200:-200], atol=2e-3)
 
 
+@pytest.mark.parametrize("rate, target", [(44100, 8000), (48000, 8000), (11025, 8000), (4000, 8000), (8001, 8000)])
+def test_resampling_by_cycles_is_that_by_samples(monkeypatch, rate, target):
+    for n in (1, 7, 441, 5000):
+        x = np.random.default_rng(n).normal(size=n)
+        found = wav.resampled(x, rate, target)
+        with monkeypatch.context() as m:
+            m.setattr(wav, "CYCLE_CELLS", 0)
+            plain = wav.resampled(x, rate, target)
+        assert len(found) == len(plain) == -(-n * target // rate)
+        np.testing.assert_allclose(found, plain, atol=1e-9)
+
+
 def test_load_order_and_root_group(spark, tree, read):
     seq = wav.load_order(read).join(read, "rec_id").orderBy("load_seq").collect()
     assert [r["load_seq"] for r in seq] == list(range(8))
