@@ -89,6 +89,30 @@ def pca_total(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(r(F.sum("v")).alias("variance"), r(F.max("m")).alias("mean"))
 
 
+@check("pca_covariance", """SELECT a AS i, b AS j, 0.0 AS cov, true AS falling FROM range(64) t(a), range(64) u(b)
+WHERE a < b AND EXISTS (SELECT 1 FROM embeddings)""")
+def pca_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Components do not vary together, and each varies less than those before."""
+    x = sig(spark, d)
+    scores = features.apply_pca(x, features.fit_pca(x, 64))
+    i, j = F.explode(F.sequence(F.lit(0), F.lit(62))), F.explode(F.sequence(F.col("i") + 1, F.lit(63)))
+    pairs = scores.select("features", i.alias("i")).select("features", "i", j.alias("j"))
+    a, b = F.get("features", F.col("i")), F.get("features", F.col("j"))
+    made = pairs.groupBy("i", "j").agg(
+        r(F.covar_pop(a, b), 9).alias("cov"), (F.var_pop(a) >= F.var_pop(b)).alias("falling")
+    )
+    return made.select(big("i").alias("i"), big("j").alias("j"), "cov", "falling")
+
+
+@check("mfcc_features_scaled", "SELECT count(*) AS n, 0.0 AS mean, 0.0 AS spread FROM embeddings")
+def mfcc_features_scaled(spark: SparkSession, d: str) -> DataFrame:
+    """How far any scaled column is from mean 0 and spread 1."""
+    each = mfcc_features(spark, d).groupBy("pos").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.avg("x")).alias("m"), F.abs(F.stddev_pop("x") - 1).alias("s")
+    )
+    return each.agg(F.max("n").alias("n"), r(F.max("m"), 3).alias("mean"), r(F.max("s"), 3).alias("spread"))
+
+
 @check("mfcc_features")
 def mfcc_features(spark: SparkSession, d: str) -> DataFrame:
     """The default features, reduced, with power, scaled."""
@@ -126,6 +150,14 @@ def neighbour_affinity(spark: SparkSession, d: str) -> DataFrame:
     return affinity.neighbour_affinity(sig(spark, d), 50)
 
 
+@check("affinity_perplexity", "SELECT vec_id AS rec_id, 1.0 AS total, 50.0 AS perplexity FROM embeddings")
+def affinity_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Each recording's shares add up to 1 and spread as over 50 equal neighbours."""
+    cells = affinity.conditional_affinity(sig(spark, d), 50)
+    entropy = -F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")).otherwise(0.0))
+    return cells.groupBy("rec_id").agg(r(F.sum("p")).alias("total"), r(F.exp(entropy), 3).alias("perplexity"))
+
+
 # --- distances and clusters -------------------------------------------------------------
 
 _PAIRS = """v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -237,6 +269,32 @@ def spectral(spark: SparkSession, d: str) -> DataFrame:
     return cluster.spectral(sig(spark, d), 3)
 
 
+_PARTS = "SELECT vec_id AS rec_id, min(vec_id) OVER (PARTITION BY label % 4) AS first FROM embeddings"
+
+
+def _apart(spark: SparkSession, d: str) -> DataFrame:
+    """Four values of each embedding, moved ten apart by label."""
+    x = sig(spark, d)
+    moved = F.array(*[F.col("features")[i] + F.when(F.col("label") % 4 == i, 10.0).otherwise(0.0) for i in range(4)])
+    return x.select("rec_id", moved.alias("features"))
+
+
+def _first_of_each(found: DataFrame) -> DataFrame:
+    """Clusters by their smallest member, as their numbers are free."""
+    first = found.groupBy("label").agg(F.min("rec_id").alias("first"))
+    return found.join(first, "label").select("rec_id", "first")
+
+
+@check("kmeans_apart", _PARTS)
+def kmeans_apart(spark: SparkSession, d: str) -> DataFrame:
+    return _first_of_each(cluster.kmeans(_apart(spark, d), 4))
+
+
+@check("gaussian_mixture_apart", _PARTS)
+def gaussian_mixture_apart(spark: SparkSession, d: str) -> DataFrame:
+    return _first_of_each(cluster.gaussian_mixture(_apart(spark, d), 4))
+
+
 @check("clustering_summary")
 def clustering_summary(spark: SparkSession, d: str) -> DataFrame:
     x = sig(spark, d)
@@ -263,20 +321,25 @@ def min_prob(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str, classes: int) -> DataFrame:
-    """Which part of its range the first value of a waveform is in: something to learn."""
-    x = sig(spark, d).select("rec_id", "features")
-    return x.withColumn("label", F.pmod(F.floor(F.col("features")[0] * 8), F.lit(classes)).cast("int"))
+    """The table's ten labels in ``classes`` ranges; the label itself is the last feature."""
+    told = F.concat("features", F.array(F.col("label").cast("double")))
+    return sig(spark, d).select(
+        "rec_id", told.alias("features"), F.floor(F.col("label") * classes / 10).cast("int").alias("label")
+    )
 
 
 def _trained(spark: SparkSession, d: str, classes: int):
+    """Rounds go on until ten of them gain less than a twentieth of held-out loss."""
     rows = classify.holdout_split(_labelled(spark, d, classes))
-    return classify.train_boosted(rows), rows
+    return classify.train_boosted(rows, tolerance=0.05), rows
 
 
-@check("boosted_predict")
+@check("boosted_predict", "SELECT vec_id AS rec_id, CAST(label * 3 // 10 AS BIGINT) AS label, true AS is_core FROM embeddings")
 def boosted_predict(spark: SparkSession, d: str) -> DataFrame:
+    """A label that thresholds tell is learned exactly, and surely."""
     model, rows = _trained(spark, d, 3)
-    return classify.predict(model, rows, 0.6)
+    found = classify.predict(model, rows, 0.6)
+    return found.select("rec_id", big("label").alias("label"), "is_core")
 
 
 @check("training_curves")
@@ -285,20 +348,37 @@ def training_curves(spark: SparkSession, d: str) -> DataFrame:
     return classify.training_curves(model, rows)
 
 
-@check("feature_importance")
+@check("training_curves_end", """WITH h AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5(vec_id || '2017'), vec_id) AS i,
+  count(*) OVER () AS n FROM embeddings)
+SELECT i <= ceil(0.2 * n) AS is_test, avg(CASE WHEN (label >= 5) = (label * 2 // 10 = 1) THEN 0.0 ELSE 1.0 END) AS error
+FROM h GROUP BY 1""")
+def training_curves_end(spark: SparkSession, d: str) -> DataFrame:
+    """Error of both parts of the rows after the last round."""
+    model, rows = _trained(spark, d, 2)
+    curves = classify.training_curves(model, rows)
+    return curves.groupBy("is_test").agg(F.max_by("error", "round").alias("error"))
+
+
+@check("feature_importance", """WITH f AS (SELECT max(len(embedding)) AS n FROM embeddings)
+SELECT i AS feature, CASE WHEN i = n THEN 1.0 ELSE 0.0 END AS importance FROM f, range(65) t(i)""")
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    return classify.feature_importance(spark, _trained(spark, d, 2)[0])
+    """Only the feature that tells the label is of use."""
+    found = classify.feature_importance(spark, _trained(spark, d, 2)[0])
+    return found.select(big("feature").alias("feature"), r("importance").alias("importance"))
 
 
-@check("mlp_predict")
+@check("mlp_predict", """WITH h AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5(vec_id || '2017'), vec_id) AS i,
+  count(*) OVER () AS n FROM embeddings), v AS (SELECT vec_id AS rec_id, CAST(label * 2 // 10 AS BIGINT) AS label FROM h WHERE i <= ceil(0.2 * n))
+SELECT rec_id, label, label AS prediction FROM v""")
 def mlp_predict(spark: SparkSession, d: str) -> DataFrame:
     _, scored = classify.train(_labelled(spark, d, 2), "mlp")
-    return scored
+    return scored.select("rec_id", big("label").alias("label"), big("prediction").alias("prediction"))
 
 
-@check("model_reload")
+@check("model_reload", "SELECT vec_id AS rec_id, CAST(label * 2 // 10 AS BIGINT) AS label, true AS is_core FROM embeddings")
 def model_reload(spark: SparkSession, d: str) -> DataFrame:
     """Predictions of a stored model, read back."""
     model, rows = _trained(spark, d, 2)
     path = classify.save_model(spark, model, scratch(spark))
-    return classify.predict(classify.load_model(spark, path), rows)
+    found = classify.predict(classify.load_model(spark, path), rows)
+    return found.select("rec_id", big("label").alias("label"), "is_core")

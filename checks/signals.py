@@ -11,7 +11,7 @@ from flighttone.operators import order
 from flighttone.operators.views import recording_curves
 from flighttone.plans.pipeline import attributes
 from flighttone.sources import sinks
-from flighttone.sources.wav import encode_pcm16, read_content
+from flighttone.sources.wav import encode_pcm16, read_content, resample_column
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,20 @@ def wav_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("rec_id", big("n").alias("n"), (F.col("x") + 0.0).alias("x"))
 
 
+@check("resample", f"""WITH {SIG_SAMPLES}, pairs AS (SELECT j, n, j * 64 / 48.0 - n AS t FROM range(48) a(j), range(64) b(n)
+  WHERE abs(j * 64 // 48 - n) <= 43),
+shaped AS (SELECT j, n, 0.75 * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * 0.75 * t) / (pi() * 0.75 * t) END AS sinc,
+  5 * sqrt(greatest(0, 1 - (t / 44) * (t / 44))) AS half FROM pairs),
+terms AS (SELECT m, CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE) AS f FROM range(30) c(m)),
+top AS (SELECT sum(power(power(5.0, m) / f, 2)) AS i0 FROM terms),
+w AS (SELECT j, n, sinc * sum(power(power(half, m) / f, 2)) / any_value(i0) AS w FROM shaped, terms, top GROUP BY j, n, sinc)
+SELECT rec_id, j AS n, round(sum(x * w), 6) + 0.0 AS x FROM samples JOIN w USING (n) GROUP BY rec_id, j""")
+def resample(spark: SparkSession, d: str) -> DataFrame:
+    """64 Hz to 48 Hz: three output samples for four."""
+    x = resample_column(48)("waveform", F.col("fs").cast("int"))
+    return _long(sig(spark, d).withColumn("waveform", x))
+
+
 @check("duration", f"""WITH {SIG_SAMPLES}, p AS (SELECT rec_id, n, count(*) OVER (PARTITION BY rec_id) AS len,
   avg(x * x) OVER (PARTITION BY rec_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 4 AS power FROM samples)
 SELECT rec_id, CAST(count(*) FILTER (n BETWEEN 2 AND len - 2 AND power > 0.025 / len * 10) AS DOUBLE) AS dur_ms
@@ -180,11 +194,17 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", F.explode("peak_idx").alias("k")).select("rec_id", big("k").alias("k"))
 
 
-@check("peaks_apart")
+@check("peaks_apart", f"""WITH RECURSIVE {_PEAKS}, ranked AS (SELECT rec_id, k,
+  row_number() OVER (PARTITION BY rec_id ORDER BY level DESC, k DESC) AS place FROM found),
+greedy(rec_id, place, kept) AS (SELECT rec_id, place, [k] FROM ranked WHERE place = 1
+  UNION ALL SELECT g.rec_id, g.place + 1, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - n.k) <= 2)) = 0
+    THEN list_append(g.kept, n.k) ELSE g.kept END
+  FROM greedy g JOIN ranked n ON n.rec_id = g.rec_id AND n.place = g.place + 1)
+SELECT rec_id, unnest(arg_max(kept, place)) AS k FROM greedy GROUP BY rec_id""")
 def peaks_apart(spark: SparkSession, d: str) -> DataFrame:
     """With a minimum distance: the highest peak clears two bins on both sides."""
     found = spectrum.find_peaks(_spectra(spark, d), "psd_db", SIG.peak_threshold, 2)
-    return found.select("rec_id", F.explode("peak_idx").alias("k"))
+    return found.select("rec_id", F.explode("peak_idx").alias("k")).select("rec_id", big("k").alias("k"))
 
 
 @check("peak_refine", f"""WITH {_PEAKS}, e AS (SELECT rec_id, arg_max(freq, top) AS f1_est FROM peaks WHERE freq <= 16 GROUP BY rec_id)
@@ -392,6 +412,23 @@ def als_baseline(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", F.posexplode("bias").alias("n", "bias"))
 
 
+@check("als_residual", f"WITH {SIG_SAMPLES} SELECT rec_id, n, 0.0 AS rest FROM samples")
+def als_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Once the weights are settled, the bias solves its penalised equations at every sample."""
+    found = tone.als_baseline(sig(spark, d), rounds=50)
+    both = found.withColumn("last", F.size("bias") - 1)
+    bend = "(bias[{0} - 1] - 2 * bias[{0}] + bias[{0} + 1])"
+    bends = [
+        f"if(i > 1, {bend.format('(i - 1)')}, 0D)", f"- 2 * if(i > 0 and i < last, {bend.format('i')}, 0D)",
+        f"+ if(i < last - 1, {bend.format('(i + 1)')}, 0D)",
+    ]
+    weight = "if(waveform[i] > bias[i], 0.002D, if(waveform[i] < bias[i], 0.998D, 0D))"
+    rest = both.withColumn(
+        "rest", F.expr(f"transform(sequence(0, last), i -> {weight} * (bias[i] - waveform[i]) + 500 * ({' '.join(bends)}))")
+    )
+    return _long(rest, "rest").withColumnRenamed("x", "rest")
+
+
 @check("hps")
 def hps(spark: SparkSession, d: str) -> DataFrame:
     fine = spectrum.interpolate_psd(_spectra(spark, d), SIG)
@@ -407,6 +444,16 @@ def psd_interp(spark: SparkSession, d: str) -> DataFrame:
     return fine.select("rec_id", F.posexplode("psd_interp").alias("f", "psd"))
 
 
+@check("psd_interp_knots", f"""WITH {_PSD} SELECT rec_id, k, round(psd * 1000000, 3) AS psd, CASE WHEN k < 16 THEN 0.0 END AS bend FROM psd""")
+def psd_interp_knots(spark: SparkSession, d: str) -> DataFrame:
+    """The finer spectrum meets the bins, and is a cubic between each two of them."""
+    fine = spectrum.interpolate_psd(_spectra(spark, d), SIG, 0.5)
+    fourth = " + ".join(f"({c}) * psd_interp[4 * k + {i}]" for i, c in enumerate((1, -4, 6, -4, 1)))
+    cells = F.expr(f"transform(sequence(0, 16), k -> struct(bigint(k) as k, psd_interp[4 * k] as psd, if(k < 16, {fourth}, null) as bend))")
+    rows = fine.select("rec_id", F.inline(cells))
+    return rows.select("rec_id", "k", r(F.col("psd") * 1000000, 3).alias("psd"), r("bend", 9).alias("bend"))
+
+
 @check("psd_map")
 def psd_map(spark: SparkSession, d: str) -> DataFrame:
     based = spectrum.spectral_baseline(_spectra(spark, d))

@@ -123,7 +123,8 @@ def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
-def _resample_column(target: int):
+def resample_column(target: int):
+    """Function of samples and their rate: the samples at the rate ``target``."""
     @F.arrow_udf("array<double>")
     def apply(samples: pa.Array, rates: pa.Array) -> pa.Array:
         out = [
@@ -137,7 +138,7 @@ def _resample_column(target: int):
 
 def resample(df: DataFrame, sr: int = 8000, column: str = "rawdata", rate: str = "fs_in") -> DataFrame:
     """Bring every recording to ``sr``."""
-    return df.withColumn(column, _resample_column(sr)(column, rate))
+    return df.withColumn(column, resample_column(sr)(column, rate))
 
 
 def _decoded(content: pa.Array) -> pa.Array:
