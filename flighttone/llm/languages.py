@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flighttone.llm.texts import Pieces, blocks, no_collector, slim
+from flighttone.llm.texts import Pieces, blocks, no_collector, slim, sums
 from flighttone.scale import materialize
 
 LONGEST = 32
@@ -123,25 +123,25 @@ class LanguageModel:
         known = vocabulary(self.path)
         n, size = codes.shape
         letters = codes.astype(np.uint64)
-        # Rows: pieces, then "no such piece" with probability 0, then the unknown letter.
-        table = np.concatenate([self.pieces.T, np.zeros((1, len(self.languages)))])
-        unknown = self.pieces.min(axis=1) * UNKNOWN
+        # In logarithms, as products of many rare pieces underflow.
+        table = np.log(self.pieces.T)
+        unknown = np.log(self.pieces.min(axis=1)) + np.log(UNKNOWN)
         hashes = np.zeros((n, size), np.uint64)
         found = []
         for k in range(1, min(known.longest, size) + 1):
             hashes = (hashes[:, : size - k + 1] ^ letters[:, k - 1 :]) * _MIX + np.uint64(1)
             found.append(known.find(hashes))
-        alpha = np.zeros((size + 1, n, len(self.languages)))
-        alpha[0] = 1
+        alpha = np.full((size + 1, n, len(self.languages)), -np.inf)
+        alpha[0] = 0
         for end in range(1, size + 1):
             for k in range(1, min(len(found), end) + 1):
                 piece = found[k - 1][:, end - k]
                 hit = np.flatnonzero(piece < len(known.pieces))
                 if len(hit):
-                    alpha[end][hit] += alpha[end - k][hit] * table[piece[hit]]
+                    alpha[end][hit] = np.logaddexp(alpha[end][hit], alpha[end - k][hit] + table[piece[hit]])
             none = np.flatnonzero(found[0][:, end - 1] == len(known.pieces))
-            alpha[end][none] += alpha[end - 1][none] * unknown
-        return np.log(alpha[size])
+            alpha[end][none] = np.logaddexp(alpha[end][none], alpha[end - 1][none] + unknown)
+        return alpha[size]
 
 
 def _labelled(docs: DataFrame, label: str) -> DataFrame:
@@ -216,8 +216,7 @@ def classify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             scores = model.word_scores(distinct)
             flat = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
             upto = np.concatenate([[0], np.cumsum(counts)])
-            running = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores[flat], axis=0)])
-            logs = pieces.per_text(running[upto[1:]] - running[upto[:-1]])
+            logs = pieces.per_text(sums(scores[flat], upto))
             letters = pieces.per_text(counts) > 0
             names, sure = [UNDETERMINED] * len(logs), np.zeros(len(logs))
             if model.languages and len(logs):

@@ -107,6 +107,15 @@ def _cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each run, the runs beginning at ``first`` (one more at the end); each by itself."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]), values.dtype)
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, first[:-1][some], axis=0)
+    return out
+
+
 class Pieces:
     """The pieces of a block of texts: ``distinct`` ones, and which of them each text has in order."""
 
@@ -123,11 +132,7 @@ class Pieces:
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums over the pieces of each text of ``values`` given for each distinct piece."""
-        if not len(self.which):
-            return np.zeros((len(self.bounds) - 1, *values.shape[1:]), values.dtype)
-        upto = np.zeros((len(self.which) + 1, *values.shape[1:]), values.dtype)
-        np.cumsum(values[self.which], axis=0, out=upto[1:])
-        return upto[self.first[1:]] - upto[self.first[:-1]]
+        return sums(values[self.which], self.first)
 
 
 class Encoder:

@@ -554,3 +554,18 @@ def test_chunks_follow_content(nothing):
     assert len(set(whole) & {e - 777 for e in moved}) > 0.8 * len(whole)
     assert recipes.chunk_ends([], 5, 5) == []
     assert recipes.exact_copies(nothing).count() == 0
+
+
+def test_languages_of_unknown_letters_at_any_size(spark):
+    """Long runs of unknown letters neither underflow nor spread to other texts."""
+    place = languages.vocabulary(PIECES).index
+    counts = np.full((2, len(place)), 0.5)
+    counts[0, place["▁the"]], counts[1, place["▁der"]] = 1e12, 2e12
+    model = languages.LanguageModel(PIECES, ("a", "b"), counts / counts.sum(axis=1, keepdims=True), np.array([0.5, 0.5]))
+    rare = "".join(p for p in place if len(p) == 1)[:32]
+    texts = [(1, "der der der"), (2, "ሀ" * 64), (3, "the the the"), (4, rare), (5, "der"), (6, "")]
+    assert np.isfinite(model.word_scores(languages.words_of(texts[1][1] + " " + rare))).all()
+    held = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in languages.classify(held, model, ["doc_id"]).collect()}
+    assert all(0 <= r.score <= 1 for r in found.values())
+    assert [found[i].lang_pred for i in (1, 3, 5, 6)] == ["b", "a", "b", "und"]
