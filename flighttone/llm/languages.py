@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,9 @@ SMOOTHING = 0.5
 #: Probability of a letter no piece has, against the language's rarest piece.
 UNKNOWN = 1e-3
 UNDETERMINED = "und"
+#: A text is of no learned language where its log odds against equally probable pieces are under this
+#: share of what the language's own counts let expect, by more than what ``UNLEARNED`` such texts in all allow.
+LEAST, UNLEARNED = 0.1, 1e-3
 MARK = "▁"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,6 +109,16 @@ class LanguageModel:
     pieces: np.ndarray
     prior: np.ndarray
 
+    def with_none(self) -> LanguageModel:
+        """The same with a last row for texts of no learned language: all pieces equally probable."""
+        flat = np.full((1, self.pieces.shape[1]), 1 / self.pieces.shape[1])
+        return replace(self, languages=(*self.languages, UNDETERMINED), pieces=np.concatenate([self.pieces, flat]))
+
+    def told(self) -> np.ndarray:
+        """Log odds of each language's own texts against pieces of equal probability, a letter."""
+        letters = np.array([len(p.removeprefix(MARK)) for p in vocabulary(self.path).pieces])
+        return (self.pieces * np.log(self.pieces * len(letters))).sum(axis=1) / (self.pieces @ letters)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, over all its segmentations."""
         out = np.zeros((len(words), len(self.languages)))
@@ -193,12 +206,15 @@ def learn(docs: DataFrame, path: str, label: str = "lang") -> LanguageModel:
     )
 
 
-def classify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` of every document.
+def classify(docs: DataFrame, model: LanguageModel, keep: list[str], learned: bool = False) -> DataFrame:
+    """``keep``, ``lang_pred`` and ``score`` of every document, and its ``learned`` if asked for.
 
     ``score`` is the probability of the predicted language among those learned.
     Texts that are null or have no letter are ``und`` with score 0, and so are
     all where nothing was learned; equal scores go to the first language by name.
+    ``learned`` tells whether the text is of a learned language at all, by its log odds
+    against pieces of equal probability, which do not depend on how the learned
+    languages compare; a text of few letters is taken for one, ``und`` is not.
     Repeated rows and null ids are kept; an empty table gives no rows; other
     columns are not read.
     """
@@ -206,6 +222,8 @@ def classify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        scorer = model.with_none() if learned else model
+        told = model.told()
         for block in blocks(batches):
             with no_collector():
                 pieces = Pieces(block["text"])
@@ -213,27 +231,34 @@ def classify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             counts = np.array([len(w) for w in words], np.int64)
             distinct = list(dict.fromkeys(w for ws in words for w in ws))
             place = dict(zip(distinct, range(len(distinct))))
-            scores = model.word_scores(distinct)
+            scores = scorer.word_scores(distinct)
             flat = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
             upto = np.concatenate([[0], np.cumsum(counts)])
             logs = pieces.per_text(sums(scores[flat], upto))
             letters = pieces.per_text(counts) > 0
-            names, sure = [UNDETERMINED] * len(logs), np.zeros(len(logs))
+            names, sure, enough = [UNDETERMINED] * len(logs), np.zeros(len(logs)), np.zeros(len(logs), bool)
             if model.languages and len(logs):
-                logs += np.log(model.prior)
+                if learned:
+                    odds, logs = logs[:, :-1] - logs[:, -1:], logs[:, :-1]
+                logs = logs + np.log(model.prior)
                 best = logs.argmax(axis=1)
                 top = logs[np.arange(len(logs)), best]
                 share = 1 / np.exp(logs - top[:, None]).sum(axis=1)
                 names = [model.languages[b] if some else UNDETERMINED for b, some in zip(best, letters)]
                 sure = np.where(letters, share, 0.0)
+                if learned:
+                    sizes = np.array([sum(len(w.removeprefix(MARK)) for w in ws) for ws in words], np.int64)
+                    wanted = LEAST * told[best] * pieces.per_text(sizes) + np.log(UNLEARNED)
+                    enough = letters & (odds[np.arange(len(logs)), best] > wanted)
             yield pa.RecordBatch.from_arrays(
-                [*(block[c].combine_chunks() for c in keep), pa.array(names, pa.string()), pa.array(sure)],
-                names=[*keep, "lang_pred", "score"],
+                [*(block[c].combine_chunks() for c in keep), pa.array(names, pa.string()), pa.array(sure),
+                 *[pa.array(enough)] * learned],
+                names=[*keep, "lang_pred", "score", *["learned"] * learned],
             )
 
     narrow = slim(docs, *keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name in keep)
-    return narrow.mapInArrow(run, f"{kinds}lang_pred string, score double")
+    return narrow.mapInArrow(run, f"{kinds}lang_pred string, score double" + ", learned boolean" * learned)
 
 
 def held_out(key: str = "doc_id") -> Column:

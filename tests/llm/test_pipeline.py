@@ -147,3 +147,17 @@ def test_near_blocks(spark, monkeypatch):
         for r in near.near_copies(held, "_row").collect():
             groups[r.root].add(r.doc_id)
         assert sorted(map(sorted, groups.values())) == [list(range(40)), *([100 + i] for i in range(5)), [200, 201]]
+
+
+def test_unlearned_languages_go(spark):
+    """Texts of languages that no labelled row has are dropped, those of learned ones stay."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*pipeline.COLUMNS)
+    others = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由在尊严和权利上一律平等", "มนุษย์ทั้งหลายเกิดมามีอิสระ", "ሀለሐመሠረሰሸቀበተ" * 20,
+    ]
+    more = spark.createDataFrame([(10_000 + i, t, None, "x", len(t)) for i, t in enumerate(others)], known.schema)
+    found = pipeline.language(spark, known.unionByName(more), SMALL)
+    assert ids(found) == ids(known.filter("text rlike '[a-zA-Z]'"))
