@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flighttone.llm import id_files, languages, licenses, lines, packing, phrases, piece_model, recipes, simhash, urls
+from flighttone.llm import (
+    id_files,
+    languages,
+    licenses,
+    line_rules,
+    lines,
+    negatives,
+    packing,
+    phrases,
+    piece_model,
+    recipes,
+    simhash,
+    turns,
+    urls,
+)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +70,18 @@ def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return recipes.exact_copies(_documents(spark, folder)).drop("n_chunks")
 
 
+def op11_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.judge(_documents(spark, folder))
+
+
+def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.digests(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_id_files": op2_id_files,
@@ -67,6 +93,9 @@ QUERIES = {
     "op8_languages": op8_languages,
     "op9_phrases": op9_phrases,
     "op10_exact_copies": op10_exact_copies,
+    "op11_line_rules": op11_line_rules,
+    "op12_turns": op12_turns,
+    "op13_negatives": op13_negatives,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,4 +116,6 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op11_line_rules": line_rules.sql(),
+    "op13_negatives": negatives.sql(),
 }

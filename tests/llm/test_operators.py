@@ -71,10 +71,11 @@ def nothing(spark):
     return table(spark, [])
 
 
-def duck(sql, rows):
+def duck(sql, rows, tables=None):
     con = duckdb.connect()
-    con.execute("create table documents(doc_id bigint, text varchar)")
-    con.executemany("insert into documents values (?, ?)", rows)
+    for name, (columns, held) in (tables or {"documents": ("doc_id bigint, text varchar", rows)}).items():
+        con.execute(f"create table {name}({columns})")
+        con.executemany(f"insert into {name} values ({', '.join('?' * len(columns.split(',')))})", held)
     return con.execute(sql).fetchall()
 
 
