@@ -2,9 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.
 The probability of a word is the sum over all ways to cut it into pieces, found by
-the forward algorithm; a text is the product of its words.  Words are runs of
+the forward algorithm; a text is the product of its words.  Words are whole runs of
 letters, lower-cased, with the vocabulary's mark of a word's beginning in front.
-Runs of more than ``LONGEST`` letters are taken ``LONGEST`` at a time.
 
 Learning counts the pieces into which the vocabulary's own tokenizer cuts the
 words of each language, over all labelled rows; learning and scoring
@@ -14,6 +13,7 @@ are maps over blocks of texts in which every distinct word is met once.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from flighttone.llm.texts import Pieces, blocks, no_collector, slim, sums
 from flighttone.scale import materialize
 
-LONGEST = 32
 #: Added to the count of every piece of every language.
 SMOOTHING = 0.5
 #: Probability of a letter no piece has, against the language's rarest piece.
@@ -34,6 +33,8 @@ UNDETERMINED = "und"
 #: A text is of no learned language where its log odds against equally probable pieces are under this
 #: share of what the language's own counts let expect, by more than what ``UNLEARNED`` such texts in all allow.
 LEAST, UNLEARNED = 0.1, 1e-3
+#: Words of one length are scored together where there are as many, and so many letters at a time.
+TOGETHER, LETTERS = 8, 1 << 18
 MARK = "▁"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,11 +43,7 @@ _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 def words_of(text: str) -> list[str]:
     """Marked words of a text, as they are scored."""
-    return [
-        MARK + run[i : i + LONGEST] if i == 0 else run[i : i + LONGEST]
-        for run in map(str.lower, _LETTERS(text))
-        for i in range(0, len(run), LONGEST)
-    ]
+    return [MARK + run.lower() for run in _LETTERS(text)]
 
 
 class Vocabulary:
@@ -125,20 +122,45 @@ class LanguageModel:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes):
             of = np.flatnonzero(sizes == size)
-            for at in range(0, len(of), 20_000):
-                part = of[at : at + 20_000]
+            step = LETTERS // size
+            if min(len(of), step) < TOGETHER:
+                for i in of:
+                    out[i] = self._one(words[i])
+                continue
+            for at in range(0, len(of), step):
+                part = of[at : at + step]
                 joined = "".join([words[i] for i in part])
                 codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(-1, size)
                 out[part] = self._forward(codes)
         return out
 
+    def _logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the pieces' probabilities and those of unknown letters, as products of many rare pieces underflow."""
+        return np.log(self.pieces.T), np.log(self.pieces.min(axis=1)) + np.log(UNKNOWN)
+
+    def _one(self, word: str) -> np.ndarray:
+        """The same for a single word of any length, of which the last few places are held."""
+        known = vocabulary(self.path)
+        table, unknown = self._logs()
+        last = deque([np.zeros(len(self.languages))], known.longest)
+        for end in range(1, len(word) + 1):
+            ways = []
+            for k in range(1, len(last) + 1):
+                piece = known.index.get(word[end - k : end])
+                if piece is not None:
+                    ways.append(last[-k] + table[piece])
+                elif k == 1:
+                    ways.append(last[-1] + unknown)
+            held = np.array(ways)
+            top = held.max(axis=0)
+            last.append(top + np.log(np.exp(held - top).sum(axis=0)))
+        return last[-1]
+
     def _forward(self, codes: np.ndarray) -> np.ndarray:
         known = vocabulary(self.path)
         n, size = codes.shape
         letters = codes.astype(np.uint64)
-        # In logarithms, as products of many rare pieces underflow.
-        table = np.log(self.pieces.T)
-        unknown = np.log(self.pieces.min(axis=1)) + np.log(UNKNOWN)
+        table, unknown = self._logs()
         hashes = np.zeros((n, size), np.uint64)
         found = []
         for k in range(1, min(known.longest, size) + 1):

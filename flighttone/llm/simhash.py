@@ -31,8 +31,8 @@ from flighttone.scale import join_unique, materialize
 GENERATOR = 0b110001110101
 LENGTH, CHECKS, RADIUS = 23, 11, 3
 WORDS, SEED, THRESHOLD = 3, 42, 2
-#: Pairs compared at a time.
-STRIP = 1 << 22
+#: Pairs compared and rows looked at, at a time.
+STRIP, MET_ROWS = 1 << 22, 50_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], words: int = WORDS) -> DataFrame:
     """``keep`` and the fingerprint as signed ``fp`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
             raw, bounds = utf8(block["text"])
             data = raw.tobytes()
             at = bounds.tolist()
-            found = np.array([fingerprint(data[a:b]) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)
+            found = np.array([fingerprint(data[a:b], words) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*(block[c].combine_chunks() for c in keep), pa.array(found)], names=[*keep, "fp"]
             )
@@ -202,44 +202,39 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                     [pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"]
                 )
 
-    conf = distinct.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     copied = distinct.select("fp").mapInArrow(replicate, "key long, fp long")
-    n = int(conf.get("spark.sql.shuffle.partitions"))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = copied.repartition(n, F.shiftright("key", 1)).sortWithinPartitions("key")
     return placed.mapInArrow(compare, "u long, v long")
 
 
-def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches cut so that no anchor is torn apart."""
-    keys, fps = [], []
+def _whole_anchors(batches: Iterator[pa.RecordBatch], rows: int = MET_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some ``rows`` rows at a time, cut so that no anchor is torn apart."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
             continue
-        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = whole.column(0).to_numpy()
         at = int(np.searchsorted(key, key[-1] & ~1))
-        if at or (keys and keys[-1][-1] >> 1 != key[0] >> 1):
-            if keys and keys[-1][-1] >> 1 != key[0] >> 1 and not at:
-                yield np.concatenate(keys), np.concatenate(fps)
-                keys, fps = [key], [fp]
-                continue
-            yield np.concatenate([*keys, key[:at]]), np.concatenate([*fps, fp[:at]])
-            keys, fps = [key[at:]], [fp[at:]]
-        else:
-            keys.append(key)
-            fps.append(fp)
-    if keys:
-        yield np.concatenate(keys), np.concatenate(fps)
-
-
-def near_copies(docs: DataFrame, row: str | None = None, threshold: int = THRESHOLD) -> DataFrame:
+        if at:
+            yield key[:at], whole.column(1).to_numpy()[:at]
+        held = [whole.slice(at)]
+    left = [b for b in held if b.num_rows]
+    if left:
+        table = pa.Table.from_batches(left)
+        yield table.column(0).to_numpy(), table.column(1).to_numpy()
+
+
+def near_copies(docs: DataFrame, row: str | None = None, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document, and ``row`` and ``root`` if ``row`` is named.
 
     ``root`` is the component's smallest fingerprint: it tells components apart
     also where ids are null or repeated.
 
     A-Z are lower-cased, words are runs of what is not ASCII white space,
-    shingles are ``WORDS`` words joined by a blank.  A text with fewer words is one
+    shingles are ``words`` words joined by a blank.  A text with fewer words is one
     shingle, a text without words (null or empty too) has fingerprint 0 and is
     linked like any other.  ``component_id`` is the smallest ``doc_id`` reachable
     over links of up to ``threshold`` differing bits; null ids count only where
@@ -247,7 +242,7 @@ def near_copies(docs: DataFrame, row: str | None = None, threshold: int = THRESH
     cost nothing.  An empty table gives no rows; other columns are not read.
     """
     keep = ["doc_id"] + [row] * bool(row)
-    marked = materialize(fingerprints(docs, keep))
+    marked = materialize(fingerprints(docs, keep, words))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     found = components(materialize(links(distinct, threshold)))
     member = distinct.join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")

@@ -42,8 +42,13 @@ for _bit, _spans in (
 
 
 def slim(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
-    """The named columns and the text, null as empty, and nothing else of the table."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The named columns and the text, null as empty, and nothing else of the table.
+
+    Batches are made no longer than ``BATCH_ROWS``; shorter ones that the session asks for stay.
+    """
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
     return df.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flighttone.scale import materialize
+from flighttone.scale import join_unique, materialize
 
 #: Rules as verdict, host and path.
 RULES = (
@@ -32,8 +32,10 @@ TERMS = (
     "adult", "ads", "bets", "betting", "casino", "crack", "escort", "lottery", "malware", "payday", "phishing",
     "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx",
 )
-#: Letters of the longest word looked for, and of a name split at once.
-LONGEST, NAME = 24, 64
+#: Letters of the longest word looked for; longer words of the pages are not counted.
+LONGEST = 24
+#: One in so many names tells how often each word is met, to find the words that are met very often.
+SAMPLED = 64
 #: Times each term is added to the words of the pages, so that names are split at it.
 TERM_COUNT = 100
 SMOOTHING = 1.0
@@ -93,6 +95,15 @@ def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def _spans(names: DataFrame) -> DataFrame:
+    """Substrings of at most ``LONGEST`` letters: ``n1, n2, word``, each once for a name; names by hash, as they may be long."""
+    return (
+        names.withColumn("begin", F.explode(F.sequence(F.lit(1), F.length("name"))))
+        .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("begin") + 1))))
+        .select("n1", "n2", F.substr("name", "begin", "size").alias("word")).distinct()
+    )
+
+
 def split_names(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Words of each distinct ``name``: ``name, words``."""
 
@@ -103,26 +114,23 @@ def split_names(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
             ]
             yield pd.DataFrame({"name": frame["name"], "words": words})
 
-    # At most LONGEST substrings begin at each of NAME letters.
-    spans = (
-        names.withColumn("begin", F.explode(F.sequence(F.lit(1), F.length("name"))))
-        .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("begin") + 1))))
-        .select("name", F.substr("name", "begin", "size").alias("word")).distinct()
-    )
-    known = spans.join(counts, "word").groupBy("name").agg(
+    hashed = names.withColumns({"n1": F.xxhash64("name"), "n2": F.xxhash64(F.lit(1), "name")})
+    # Single letters and the like are in nearly all names.
+    some = _spans(hashed.filter(F.pmod("n1", F.lit(SAMPLED)) == 0)).groupBy("word").agg((F.count(F.lit(1)) * SAMPLED).alias("met"))
+    weighted = materialize(counts.join(some, "word", "left").withColumn("met", F.coalesce("met", F.lit(0))))
+    known = join_unique(_spans(hashed), weighted, ["word"], "met").groupBy("n1", "n2").agg(
         F.sort_array(F.collect_list(F.struct("word", "n"))).alias("held")
     )
-    each = names.join(known, "name", "left").select(
+    each = hashed.join(known, ["n1", "n2"], "left").select(
         "name", F.coalesce(F.col("held.word"), F.array()).alias("held"), F.coalesce(F.col("held.n"), F.array()).alias("times")
     )
     return each.mapInPandas(run, "name string, words array<string>")
 
 
 def names_of(host: str = "host", path: str = "path") -> Column:
-    """Names of host and path in order, those of more than ``NAME`` letters in runs of ``NAME``."""
+    """Names of host and path in order, each a whole run of letters."""
     runs = F.concat(
-        F.regexp_extract_all(F.col(host), F.lit(f"[a-z]{{1,{NAME}}}"), 0),
-        F.regexp_extract_all(lowered(F.col(path)), F.lit(f"[a-z]{{1,{NAME}}}"), 0),
+        F.regexp_extract_all(F.col(host), F.lit("[a-z]+"), 0), F.regexp_extract_all(lowered(F.col(path)), F.lit("[a-z]+"), 0)
     )
     return F.concat_ws(" ", runs)
 
@@ -149,15 +157,17 @@ def judge(
     counts = materialize(word_counts(pages))
     total = counts.agg(F.sum("n")).first()[0]
     each = keys.select("names", "pages", F.posexplode(F.split("names", " ")).alias("at", "name")).filter("name <> ''")
-    split = split_names(each.select("name").distinct(), counts, total)
+    met = materialize(each.groupBy("name").agg(F.count(F.lit(1)).alias("met")))
+    split = split_names(met.select("name"), counts, total).join(met, "name")
     words = materialize(
-        each.join(split, "name").select("names", "pages", F.explode("words").alias("word"))
+        join_unique(each, materialize(split), ["name"], "met").select("names", "pages", F.explode("words").alias("word"))
         .groupBy("names", "pages", "word").agg(F.count(F.lit(1)).alias("times"))
     )
     marked = words.groupBy("names").agg(F.max(F.col("word").isin(*terms)).alias("bad"))
     learned = words.join(marked, "names").groupBy("word").agg(
         F.sum(F.when(F.col("bad"), F.col("pages") * F.col("times")).otherwise(0)).alias("bad"),
         F.sum(F.when(~F.col("bad"), F.col("pages") * F.col("times")).otherwise(0)).alias("good"),
+        F.count(F.lit(1)).alias("met"),
     )
     sums = learned.agg(F.sum("bad"), F.sum("good"), F.count(F.lit(1))).first()
     bad, good, size = (float(x or 0) for x in sums)
@@ -165,11 +175,11 @@ def judge(
     n_bad, n_all = (float(x or 0) for x in of)
     prior = math.log(n_bad + 1) - math.log(n_all - n_bad + 1)
     odds = learned.select(
-        "word",
+        "word", "met",
         (F.log((F.col("bad") + SMOOTHING) / (bad + SMOOTHING * size + 1e-300))
          - F.log((F.col("good") + SMOOTHING) / (good + SMOOTHING * size + 1e-300))).alias("odds"),
     )
-    scores = words.join(odds, "word").groupBy("names").agg((F.sum(F.col("times") * F.col("odds")) + prior).alias("score"))
+    scores = join_unique(words, materialize(odds), ["word"], "met").groupBy("names").agg((F.sum(F.col("times") * F.col("odds")) + prior).alias("score"))
     scored = urls.join(scores, "names", "left")
     method = F.when(F.coalesce(F.col("score"), F.lit(prior)) > 0, "block").otherwise("allow")
     return scored.select(

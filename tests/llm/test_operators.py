@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import fractions
 import hashlib
 import itertools
 import math
@@ -371,6 +372,27 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(1, 31)}, 300: 0, 101: 100}
 
 
+def test_anchors_stay_whole():
+    import pyarrow as pa
+
+    key = np.repeat(np.arange(40), [1, 90] * 20) << 1
+    batches = [pa.record_batch({"key": key[i : i + 7], "fp": np.arange(len(key))[i : i + 7]}) for i in range(0, len(key), 7)]
+    for rows in (1, 50, 10_000):
+        met = list(simhash._whole_anchors(batches, rows))
+        assert np.concatenate([f for _, f in met]).tolist() == list(range(len(key)))
+        assert sum(len(np.unique(k)) for k, _ in met) == 40
+    assert not list(simhash._whole_anchors([batches[0].slice(0, 0)]))
+
+
+def test_settings_of_the_session_stay(spark, docs):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "7")
+    simhash.near_copies(docs).count()
+    assert spark.conf.get(rows) == "7"
+    spark.conf.set(rows, before)
+
+
 def test_simhash_nothing(nothing):
     assert simhash.near_copies(nothing).count() == 0
 
@@ -405,7 +427,7 @@ def brute_urls(rows):
     total = sum(counts.values())
     words = {}
     for i, (host, path) in rest.items():
-        names = re.findall("[a-z]{1,64}", host) + re.findall("[a-z]{1,64}", path.lower())
+        names = re.findall("[a-z]+", host) + re.findall("[a-z]+", path.lower())
         words[i] = [w for n in names for w in urls.viterbi(n, counts, total)]
     bad = {i for i, found in words.items() if set(found) & set(urls.TERMS)}
     seen = {True: collections.Counter(), False: collections.Counter()}
@@ -431,6 +453,25 @@ def test_urls(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_terms_anywhere_in_long_names(spark):
+    """A verdict does not depend on where in a long run of letters a term stands."""
+    fill = "the cat and dog looked at a mat in this house on that day".replace(" ", "")
+    held = [(f"http://a{i}.net/{fill[:i]}casino{fill * 3}", "casino the cat and dog looked at a mat in this house on that day") for i in range(len(fill))]
+    held += [(f"http://b{i}.net/{fill[i:]}{fill * 3}", "the cat and dog") for i in range(20)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(held)], "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in urls.judge(frame).collect()}
+    assert [found[i] for i in range(len(held))] == ["block"] * len(fill) + ["allow"] * 20
+
+
+def test_hot_names_and_words(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLED", 1)
+    kept, met = urls.join_unique, []
+    monkeypatch.setattr(urls, "join_unique", lambda *a: met.append(a[2]) or kept(*a, hot_rows=2))
+    frame = spark.createDataFrame([(*p, "x", 1) for p in PAGES], "page_id long, url string, html string, names string, n int")
+    found = [(*r[:5], None if r[5] is None else round(r[5], 6)) for r in map(tuple, urls.judge(frame).collect())]
+    assert sorted(found, key=str) == sorted(brute_urls(PAGES), key=str) and met == [["word"], ["name"], ["word"]]
+
+
 def test_urls_learn_unwanted_words(spark):
     rows = queries.op7_urls(spark, "/root/testdata/sf0.01").filter("rule is null").collect()
     unwanted = ("pills", "casino", "adult", "spam", "ads", "bets")
@@ -465,8 +506,25 @@ def test_every_segmentation_counts(spark):
     words = ["▁the", "▁strasse", "▁ßtz", "▁日", "été"]
     expected = np.log([[total(w, row) for row in model.pieces] for w in words])
     assert np.allclose(model.word_scores(words), expected)
-    long = languages.words_of("x" * 70 + " Ab1c")
-    assert long == ["▁" + "x" * 32, "x" * 32, "x" * 6, "▁ab", "▁c"]
+    assert np.allclose(model.word_scores(words * languages.TOGETHER), np.concatenate([expected] * languages.TOGETHER))
+    assert languages.words_of("x" * 70 + " Ab1c") == ["▁" + "x" * 70, "▁ab", "▁c"]
+
+    def whole(word, row):
+        """From the end, in whole numbers of great size, so without rounding at any length."""
+        at = [fractions.Fraction(1)]
+        exact = [fractions.Fraction(p) for p in row]
+        unknown = min(exact) * fractions.Fraction(languages.UNKNOWN)
+        for end in range(1, len(word) + 1):
+            ways = [at[b] * exact[place[word[b:end]]] for b in range(max(0, end - 20), end) if word[b:end] in place]
+            if word[end - 1 : end] not in place:
+                ways.append(at[end - 1] * unknown)
+            at.append(sum(ways))
+        return math.log(at[-1].numerator) - math.log(at[-1].denominator)
+
+    long = ["▁donaudampfschifffahrtselektrizitätenhauptbetriebswerk", "▁" + "人人生而自由在尊严和权利上一律平等" * 6, "▁" + "x" * 150]
+    expected = [[whole(w, row) for row in model.pieces] for w in long]
+    assert np.allclose(model.word_scores(long), expected)
+    assert np.allclose(model.word_scores([w for w in long for _ in range(9)])[::9], expected)
 
 
 def test_languages_without_labels(docs, nothing):
