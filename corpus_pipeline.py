@@ -2,23 +2,34 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.
+
+In every stage null and empty texts are equal, rows with a null id or with equal ids are documents
+of their own, a row that is read twice from one file is one document in the stages that remove copies,
+an empty table gives an empty table, columns of ``documents`` that are missing are null, and other columns are not read.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flighttone.llm import id_files, languages, near, packing, recipes
+from flighttone.llm import id_files, languages, packing, recipes, simhash
 from flighttone.plans.pipeline import ship
 from flighttone.scale import materialize
 
 #: Columns of ``documents``, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KINDS = ("long", "string", "string", "string", "long")
 #: Documents go when no learned language is more probable than this, of those learned.
 SURE = 0.5
+#: Words of a shingle and differing bits of near copies.
+WORDS, BITS = 3, 2
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(c) if c in docs.columns else F.lit(None).cast(k).alias(c) for c, k in zip(COLUMNS, KINDS)]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -29,18 +40,22 @@ def _numbered(docs: DataFrame) -> DataFrame:
     """
     try:
         place = docs.metadataColumn("_metadata")
-        return docs.select(*COLUMNS, F.concat_ws(":", F.md5(place["file_path"]), place["row_index"]).alias("_row"))
+        return docs.select(*_columns(docs), F.concat_ws(":", F.md5(place["file_path"]), place["row_index"]).alias("_row"))
     except AnalysisException:
-        return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+        return materialize(docs.select(*_columns(docs), F.monotonically_increasing_id().alias("_row")))
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.select("_row"), "_row", "left_semi").select(*COLUMNS)
+    """Rows that are kept, one of those with the same place in the same file."""
+    same = Window.partitionBy("_row").orderBy("_row")
+    found = docs.join(kept.select("_row"), "_row", "left_semi")
+    return found.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those of no learned language."""
+    """Drop documents without a letter and those of no learned language; where no row has a language, all go."""
     ship(spark)
+    docs = docs.select(*_columns(docs))
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = languages.learn(docs.filter(~languages.held_out()), path)
     found = languages.classify(docs.select(*COLUMNS, F.col("text").alias("_text")), model, ["_text", *(c for c in COLUMNS if c != "text")], learned=True)
@@ -49,23 +64,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text keep the one with the largest id."""
+    """Of documents with equal text, A-Z lower-cased, keep the one with the largest id, a null id only where there is no other."""
     ship(spark)
     rows = _numbered(docs)
     return _only(rows, recipes.exact_copies(rows, row="_row").filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of the five-word shingles shared) keep the document with the smallest id."""
+    """Of each group of documents linked by SimHash keep the one with the smallest id, a null id only where there is no other.
+
+    Documents without a word have one fingerprint and are a group.
+    """
     ship(spark)
     rows = _numbered(docs)
-    groups = near.near_copies(rows, "_row")
+    groups = simhash.near_copies(rows, "_row", threshold=BITS, words=WORDS)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
     return _only(rows, first.select(F.col("first._row").alias("_row")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, packed into windows."""
+    """Pieces of the documents that are left, packed into windows; a null or empty text is its end id alone."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
