@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline as pipeline
-from flighttone.llm import languages, near
+from flighttone.llm import languages
 from tests.conftest import SMALL
 from tests.llm.test_operators import BYTE_BPE, brute_roots, brute_simhash, check_packed, tokenizer
 
@@ -116,37 +116,24 @@ def test_tables_without_files(spark):
     assert ids(pipeline.near_dedup(spark, held, "")) == ids(held.filter("doc_id is null").unionByName(held.filter("doc_id = 1").limit(1)))
 
 
-def test_near_stage_by_shingles(spark, docs, written):
-    """Pairs of five-word Jaccard 0.8 or more meet however many bits of a SimHash they differ in."""
-
-    def shingles(text):
-        words = text.encode().translate(bytes(LOWER.get(b, b) for b in range(256))).split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    before, after = written["near_dedup"]
-    rows = sorted(ids(before).elements(), key=lambda r: (r[0] is None, r[0] or 0))
-    sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    assert ids(after) == collections.Counter(rows[r] for r in set(root))
-
-
-def test_near_blocks(spark, monkeypatch):
-    """A group cut into many blocks gives the same components."""
-    words = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join([*words[:i * 4], f"x{i}", *words[i * 4 + 1:]])) for i in range(40)]
-    rows += [(100 + i, " ".join(f"y{i}_{k}" for k in range(60))) for i in range(5)] + [(200, ""), (201, None)]
-    held = spark.createDataFrame([(i, t, str(i)) for i, t in rows], "doc_id long, text string, _row string")
-    for members in (1000, 7):
-        monkeypatch.setattr(near, "MEMBERS", members)
-        groups = collections.defaultdict(set)
-        for r in near.near_copies(held, "_row").collect():
-            groups[r.root].add(r.doc_id)
-        assert sorted(map(sorted, groups.values())) == [list(range(40)), *([100 + i] for i in range(5)), [200, 201]]
+def test_a_file_read_twice(spark, docs, tmp_path):
+    """Repeated rows are one document, the same for a table with fewer and with other columns."""
+    path = str(tmp_path / "docs")
+    docs.repartition(2).write.parquet(path)
+    once, twice = spark.read.parquet(path), spark.read.parquet(path, path)
+    for stage in (pipeline.exact_dedup, pipeline.near_dedup):
+        assert ids(stage(spark, twice, "")) == ids(stage(spark, once, ""))
+
+
+def test_missing_columns(spark, docs, tmp_path):
+    path = str(tmp_path / "docs")
+    docs.select("text", "doc_id", "fp").write.parquet(path)
+    held = spark.read.parquet(path)
+    for stage in (pipeline.exact_dedup, pipeline.near_dedup):
+        assert tuple(stage(spark, held, "").columns) == pipeline.COLUMNS
+        assert ids(stage(spark, held, "")) == ids(stage(spark, docs, ""))
+    assert pipeline.language(spark, held, "").count() == 0
+    assert pipeline.pack(spark, held, "").agg({"length": "sum"}).first()[0] == pipeline.pack(spark, docs, "").agg({"length": "sum"}).first()[0]
 
 
 def test_unlearned_languages_go(spark):
