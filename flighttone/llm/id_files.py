@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -45,6 +46,7 @@ LEVEL = 3
 #: Compressed bytes of one file, about.
 FILE_BYTES = 128 << 20
 _NULL = np.iinfo(np.int64).min
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/").match
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -56,7 +58,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, dtype: np.dtype, train_doc
     """Dictionary of at most ``DICTIONARY_BYTES`` from a bounded sample of serialised documents.
 
     Only the dictionary depends on the sample: about ``train_docs`` documents, at
-    most twice as many, chosen by the hash of their id, and at most ``TRAIN_IDS``
+    most twice as many, chosen by the hash of id and text, and at most ``TRAIN_IDS``
     ids of each.
     """
 
@@ -68,7 +70,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, dtype: np.dtype, train_doc
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["ids"])
 
     share = min(1.0, train_docs / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     found = slim(docs.filter(chosen).limit(2 * train_docs)).mapInArrow(serialise, "ids binary")
     samples = [bytes(r.ids) for r in found.collect() if len(r.ids) >= 8]
     try:
@@ -82,14 +84,14 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path) if _SCHEME(path) else (pafs.LocalFileSystem(), path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the folder that ``spark.checkpoint.dir`` names."""
     ensure_checkpoint_dir(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # Spark has qualified this path, so that tasks open it in the file system Spark uses.
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -97,12 +99,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_bytes:
 
     Rows: ``file``, ``path``, ``n_docs``, ``n_ids``.  Null texts are empty, so the
     end id alone; null ids come first; rows with one id are ordered by their
-    bytes, so equal rows keep one place.  An empty table writes no file.  Other
-    columns are not read.
+    bytes, and also they are spread over files.  An empty table writes no file.  Other
+    columns are not read.  On a cluster ``folder`` must name its file system.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    if not _SCHEME(folder) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{folder} names no file system, so each executor would take its own disk")
     dtype = id_type(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
     trained = train_dictionary(docs, tokenizer, dtype)
     digest = hashlib.sha256(trained).digest()
@@ -170,7 +174,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_bytes:
             {"file": [task.partitionId()], "path": [uri], "n_docs": [len(columns[0])], "n_ids": [int(columns[2].sum())]}
         )
 
-    placed = frames.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "crc", "frame")
+    # Rows that are equal, or have no id, could not be split between files but for the last key; written rows keep it.
+    order = ("doc_id", "n", "crc", "tie")
+    placed = frames.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(files, *order)
+    placed = placed.sortWithinPartitions("doc_id", "n", "crc", "frame", "tie").drop("tie")
     return materialize(placed.mapInArrow(store, "file long, path string, n_docs long, n_ids long"))
 
 

@@ -209,6 +209,33 @@ def test_id_file_refuses_another_dictionary(spark, docs, tmp_path):
         id_files.IdFile(files.first().path)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_id_files_of_one_id(spark, key, tmp_path):
+    """Rows without an id, with the same one, and equal rows are spread over files."""
+    encode = tokenizer(WORD_BPE)
+    rows = [(key, "the same text")] * 150 + [(key, f"text {i} of {i % 7}") for i in range(150)]
+    files = id_files.write(table(spark, rows), f"file://{tmp_path}", WORD_BPE, end_id=2)
+    assert files.count() > 2 and max(r.n_docs for r in files.collect()) < 150
+    found = id_files.read(files, with_ids=True).orderBy("start").collect()
+    assert collections.Counter(tuple(r.ids) for r in found) == collections.Counter((*encode(t), 2) for _, t in rows)
+    assert [r.start for r in found] == list(np.cumsum([0] + [r.n_tokens for r in found])[:-1])
+
+
+def test_id_files_refuse_local_disks():
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Docs:
+        sparkSession = type("S", (), {"sparkContext": Cluster})  # noqa: N815
+
+    with pytest.raises(ValueError, match="names no file system"):
+        id_files.write(Docs, "/data/ids", WORD_BPE, end_id=2)
+
+
+def test_shared_folder_is_qualified(spark):
+    assert re.match("[a-z0-9]+:/", id_files.shared_folder(spark, "x"))
+
+
 def test_id_files_of_nothing(nothing, tmp_path):
     files = id_files.write(nothing, f"file://{tmp_path}", WORD_BPE, end_id=2)
     assert files.count() == 0 and id_files.read(files).count() == 0
