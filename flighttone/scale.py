@@ -137,6 +137,18 @@ def with_previous(
     )
 
 
+#: Intervals an octave and an interval are cut into, in the first and in later passes of a selection.
+OCTAVE, FINER = 64, 1 << 16
+
+
+def _first_cut(value: Column) -> Column:
+    """Numbers of intervals in the order of the values: parts of octaves, one for each infinity and for NaN."""
+    size = F.abs(value)
+    part = F.floor(F.log2(size) * OCTAVE) + OCTAVE * 1100  # the smallest double is 2 ** -1074
+    part = F.when(F.isnan(value), OCTAVE * 4000).when(size == float("inf"), OCTAVE * 3000).when(size > 0, part).otherwise(0)
+    return F.when(value < 0, -part).otherwise(part).cast("long")
+
+
 def percentiles(
     df: DataFrame,
     by: Sequence[str],
@@ -145,42 +157,63 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation for each group in ``by``.
 
-    One group could exceed a task's memory, so its distinct values are ranked by
-    a range sort and only the two neighbours of each rank are aggregated.
+    Values are selected as by radix: a pass counts, on the map side, the values in
+    intervals, the wanted ranks choose theirs, and the next pass cuts only these, until each
+    holds one value.  Nothing is sorted and no group is collected; a task sends as many counts for a group as there
+    are intervals, at most.  ``df`` is read in each pass, of which there are two to five, so store what is dear to
+    compute.  The group of null is one; groups without a value have no row.
     """
-    if not by:
-        whole = df.withColumn("_all", F.lit(1))
-        return percentiles(whole, ["_all"], column, shares).drop("_all")
-    values = df.select(*by, F.col(column).alias("_v")).filter("_v is not null")
-    counted = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    ranked = with_running_totals(counted, [*by, "_v"], {"_upto": F.col("_w")})
-    sizes = ranked.groupBy(*by).agg(
-        F.sum("_w").alias("_n"), F.min(F.col("_upto") - F.col("_w")).alias("_start")
-    )
-    ranked = ranked.alias("l").join(
-        small_side(sizes).alias("r"), [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]
-    )
-    joined = ranked.select(*[F.col(f"l.{b}").alias(b) for b in by], "_v", "_w", "_upto", "_n", "_start")
-    hi = F.col("_upto") - F.col("_start")
-    lo = hi - F.col("_w")
-    aggs = []
-    for name, q in shares.items():
+    spark = df.sparkSession
+    wanted = {f"{n}_{part}": (q, part) for n, q in shares.items() for part in ("lo", "hi")}
+    # A field that is never null, so that the group of null joins like any other.
+    rows = df.select(F.struct(F.lit(0).alias("_"), *by).alias("_g"), F.col(column).cast("double").alias("_v")).filter("_v is not null")
+    rows = rows.withColumn("_f", _first_cut(F.col("_v")))
+
+    def counted(values: DataFrame, keys: list[str], cut: Column) -> DataFrame:
+        counts = values.groupBy(*keys, cut.alias("_d")).agg(
+            F.count(F.lit(1)).alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        return counts.withColumn("_upto", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_d")))
+
+    def chosen(counts: DataFrame) -> tuple[DataFrame, bool]:
+        """Intervals with the ranks that fall into them, counted from their start: at most BROADCAST_ROWS rows, or a table."""
+        start = F.col("_upto") - F.col("_w")
+        inside = F.filter("_ranks", lambda x: (start <= x["rank"]) & (x["rank"] < F.col("_upto")))
+        moved = F.transform(inside, lambda x: F.struct(x["t"].alias("t"), (x["rank"] - start).alias("rank")))
+        found = counts.select("_g", "_f", "_n", "_lo", "_hi", moved.alias("_ranks")).filter(F.size("_ranks") > 0)
+        some = found.coalesce(1).limit(BROADCAST_ROWS + 1).toArrow()
+        if some.num_rows > BROADCAST_ROWS:
+            return materialize(found), False
+        return spark.createDataFrame(some, found.schema), True
+
+    counts = counted(rows, ["_g"], F.col("_f")).withColumnRenamed("_d", "_f")
+    counts = counts.withColumn("_n", F.sum("_w").over(Window.partitionBy("_g")))
+    ranks = []
+    for name, (q, part) in wanted.items():
         rank = F.lit(q) * (F.col("_n") - 1)
-        for part, wanted in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            held = F.when((lo <= wanted) & (wanted < hi), F.col("_v"))
-            aggs.append(F.max(held).alias(f"_{name}_{part}"))
-        aggs.append(F.max(rank - F.floor(rank)).alias(f"_{name}_share"))
-    found = joined.groupBy(*by).agg(*aggs)
-    return found.select(
-        *by,
-        *[
-            # Equal neighbours are the value itself, so infinities do not cancel out.
-            F.when(F.col(f"_{n}_lo") == F.col(f"_{n}_hi"), F.col(f"_{n}_lo")).otherwise(
-                F.col(f"_{n}_lo") * (1 - F.col(f"_{n}_share")) + F.col(f"_{n}_hi") * F.col(f"_{n}_share")
-            ).alias(n)
-            for n in shares
-        ],
+        ranks.append(F.struct(F.lit(name).alias("t"), (F.floor(rank) if part == "lo" else F.ceil(rank)).alias("rank")))
+    targets, few = chosen(counts.withColumn("_ranks", F.array(*ranks)))
+    settled = targets.filter("_lo = _hi")
+    targets = targets.filter("_lo < _hi")
+    while not targets.isEmpty():
+        asked = targets.select("_g", "_f", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), "_ranks", "_n")
+        known = asked.select("_g", "_f", "_a", "_b")
+        near = rows.join(F.broadcast(known) if few else known, ["_g", "_f"]).filter("_v between _a and _b")
+        cut = F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * (FINER - 1))
+        counts = counted(near, ["_g", "_f", "_a"], cut)
+        targets, few = chosen(counts.join(F.broadcast(asked) if few else asked, ["_g", "_f", "_a"]))
+        settled = settled.unionByName(targets.filter("_lo = _hi"))
+        targets = targets.filter("_lo < _hi")
+    settled = settled.withColumn("_r", F.explode("_ranks")).withColumn("_t", F.col("_r.t"))
+    ends = settled.groupBy("_g").agg(
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_t") == name, F.col("_lo"))).alias(f"_{name}") for name in wanted]
     )
+    between = {}
+    for name, q in shares.items():
+        lo, hi, rank = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.lit(q) * (F.col("_n") - 1)
+        share = rank - F.floor(rank)
+        # Equal neighbours are the value itself, so infinities do not cancel out.
+        between[name] = F.when(lo == hi, lo).otherwise(lo * (1 - share) + hi * share)
+    return ends.select(*[F.col("_g")[b].alias(b) for b in by], *[c.alias(n) for n, c in between.items()])
 
 
 #: Rows of one join key above which it is joined on its own.

@@ -50,6 +50,32 @@ def test_percentiles_by_rank_are_those_of_the_aggregate(skewed):
     assert whole["mid"] == np.median([r["v"] for r in skewed.collect()])
 
 
+@pytest.mark.parametrize("rows", [scale.BROADCAST_ROWS, 3])
+def test_percentiles_of_awkward_values(spark, monkeypatch, rows):
+    """All scales, signs, neighbours a bit apart, ties, infinities, NaN, null; also where the ranks are too many to hold."""
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(4)
+    inf, one = float("inf"), 1.0
+    groups = {
+        "scales": [float(s * 10.0**e) for s, e in zip(rng.choice([-1, 1], 301), rng.uniform(-320, 308, 301))],
+        "near": [float(x) for x in np.nextafter(one, 2) * np.ones(5)] + [one] * 4 + [float(np.nextafter(one, 0))] * 4,
+        "zero": [0.0, -0.0, 5e-324, -5e-324, 0.0], "ends": [inf, -inf, 1.0], "nan": [float("nan"), 1.0, 2.0, float("nan")],
+        "ties": [7.25] * 50 + [8.0] * 50, "one": [3.5], "powers": [2.0**k for k in range(-20, 20)], None: [1e300, -1e300, 1.7e308], "none": [None],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    shares = {"lo": 0.0, "a": 0.3, "mid": 0.5, "b": 0.77, "hi": 1.0}
+    found = {r["k"]: r for r in scale.percentiles(df, ["k"], "v", shares).collect()}
+    assert set(found) == set(groups) - {"none"}
+    for k, vs in groups.items():
+        for name, q in shares.items() if k in found else ():
+            ordered = sorted(vs, key=lambda v: (np.isnan(v), v))
+            rank = q * (len(vs) - 1)
+            lo, hi = ordered[int(np.floor(rank))], ordered[int(np.ceil(rank))]
+            share = rank - np.floor(rank)
+            want = lo if lo == hi or np.isnan(lo) else lo * (1 - share) + hi * share
+            assert found[k][name] == want or np.isnan(found[k][name]) and np.isnan(want)
+
+
 def test_hot_keys_join_on_their_own(skewed):
     sizes = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
     plain = skewed.join(sizes, "k").orderBy("rec_id").select("rec_id", "k", "w").collect()
