@@ -152,9 +152,9 @@ def _meet(anchors: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
     names = [r.r for r in rows.select("r").collect()], [r.a for r in anchors.select("a").collect()]  # ids of blocks
     if not all(names):
         return rows.sparkSession.createDataFrame([], schema)
-    number = F.array(*[F.lit(x) for x in names[1]])
-    left = anchors.withColumn("r", F.explode(F.array(*[F.lit(x) for x in names[0]])))
-    right = rows.withColumn("a", F.explode(number))
+    # Both sides need keys of one type.
+    left = anchors.withColumn("r", F.explode(F.array(*[F.lit(x).cast("long") for x in names[0]])))
+    right = rows.withColumn("a", F.explode(F.array(*[F.lit(x).cast("long") for x in names[1]])))
     return left.groupBy("a", "r").cogroup(right.groupBy("a", "r")).applyInArrow(run, schema)
 
 
