@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import EV, SIG, SIG_SAMPLES, big, ev, grouped, prob, r, sig, table
 from checks.tables import scratch
 from flighttone.functions import names, spectrum
-from flighttone.operators import affinity, classify, cluster, features, pairwise
+from flighttone.operators import affinity, classify, cluster, features, neighbours, pairwise
 from flighttone.sources import sinks
 
 QUERIES: dict = {}
@@ -189,7 +189,7 @@ def silhouette_squared(spark: SparkSession, d: str) -> DataFrame:
   row_number() OVER (PARTITION BY id ORDER BY dist, other) AS place FROM pairs WHERE id <> other)
 SELECT id AS rec_id, other, round(dist, 6) AS distance, place FROM ranked WHERE place <= 4""")
 def nearest(spark: SparkSession, d: str) -> DataFrame:
-    found = pairwise.nearest(sig(spark, d), 4)
+    found = neighbours.nearest(sig(spark, d), 4)
     return found.select("rec_id", "other", r("distance").alias("distance"), big("place").alias("place"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flighttone.functions.batches import matrices
-from flighttone.operators.pairwise import nearest
+from flighttone.operators.neighbours import nearest
 
 
 def _bandwidths(d2: np.ndarray, target: float) -> np.ndarray:

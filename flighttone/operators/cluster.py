@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from flighttone.operators.joins import cycle_label, relabel
 from flighttone.operators.mixture import SEED as MIXTURE_SEED
 from flighttone.operators.mixture import apply_mixture, fit_mixture
-from flighttone.operators.pairwise import density_clusters, nearest, silhouette
+from flighttone.operators.neighbours import nearest
+from flighttone.operators.pairwise import density_clusters, silhouette
 from flighttone.scale import materialize, small_side, with_running_totals
 
 __all__ = [

@@ -1,20 +1,20 @@
-"""Work on all pairs of recordings, and on all pairs within a distance.
+"""Mean distances to the labels of recordings, and all pairs within a distance.
 
-Rows are dealt into blocks of bounded size and every pair of blocks is one
-task.  A task answers with sums, counts, the k best or a spanning forest, never
-with the pairs themselves, so what is shuffled grows with rows times blocks.
-The arithmetic is still quadratic: ``silhouette(..., method="squared")`` is the
-linear way for large collections.
+Rows are dealt into blocks of bounded size and every pair of blocks that has to meet is a
+group.  A group answers with sums, counts or a spanning forest, never with the pairs
+themselves.  Where labels or points crowd, the arithmetic is still quadratic:
+``silhouette(..., method="squared")`` is the linear way for large collections.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +24,13 @@ from flighttone.scale import (
     is_small,
     join_unique,
     materialize,
-    small_side,
     with_position,
 )
 
 #: Bytes of features in one block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of the means of labels a task holds at once.
+LABEL_BYTES = 32 << 20
 #: Rows aimed at in one cell of the grid for pairs within a distance.
 CELL_ROWS = 1000
 #: Rows of a block compared at once inside a task.
@@ -60,34 +61,71 @@ def _within(x: np.ndarray, y: np.ndarray, d2: np.ndarray, eps: float) -> np.ndar
     return near
 
 
-def _block_count(df: DataFrame, block_rows: int | None) -> int:
-    n, width = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
-    fits = block_rows or max(256, BLOCK_BYTES // (8 * max(width or 1, 1)))
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    busy = min(math.ceil(math.sqrt(4 * slots)), math.ceil(n / 256))
-    return max(1, math.ceil(n / fits), busy if block_rows is None else 1)
+def _label_facts(df: DataFrame) -> DataFrame:
+    """``label, size, mean, spread``: spread is the mean squared distance from the mean."""
+    facts = df.groupBy("label").agg(
+        Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features")).alias("m"))
+    total = F.aggregate(vector_to_array("m.variance"), F.lit(0.0), lambda a, x: a + x)
+    return facts.select(
+        "label", F.col("m.count").alias("size"), vector_to_array("m.mean").alias("mean"),
+        (total * (F.col("m.count") - 1) / F.col("m.count")).alias("spread"),
+    )
 
 
-def _tiled(df: DataFrame, blocks: int):
-    """Rows grouped by pairs of blocks; ``_home`` is a row's own block."""
-    home = F.pmod(F.xxhash64("rec_id"), F.lit(blocks)).cast("int")
-    spread = df.withColumn("_home", home).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    spread = spread.withColumns(
-        {"_a": F.least("_home", "_other"), "_b": F.greatest("_home", "_other")}
-    ).drop("_other")
-    tasks = min(blocks * (blocks + 1) // 2, 20_000)
-    return spread.repartition(tasks, "_a", "_b").groupBy("_a", "_b")
+def _label_chunks(facts: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, means and spreads, as many at a time as ``LABEL_BYTES`` hold."""
+    rows: list = []
+    for row in facts.toLocalIterator():
+        rows.append(row)
+        if len(rows) * 8 * width >= LABEL_BYTES:
+            yield np.array([r.label for r in rows]), np.array([r["mean"] for r in rows]), np.array([r.spread for r in rows])
+            rows = []
+    if rows:
+        yield np.array([r.label for r in rows]), np.array([r["mean"] for r in rows]), np.array([r.spread for r in rows])
+
+
+def _open_labels(df: DataFrame, facts: DataFrame, width: int) -> DataFrame:
+    """Rows with ``asked``: their own label and the others that may be the nearest on average.
 
+    The mean distance to a label's rows is at least the distance to their mean, and at
+    most the root of the mean squared distance, both by Jensen's inequality.
+    """
+    spark = df.sparkSession
+
+    def run_with(chunk, last: bool):
+        sent = spark.sparkContext.broadcast(chunk)  # LABEL_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, means, spreads = sent.value
+            step = max(1, STRIP * STRIP // len(names))
+            for batch in batches:
+                x, own = _stack(batch.column("features").to_pandas()), batch.column("label").to_numpy()
+                least, asked = batch.column("least").to_numpy().copy(), batch.column("asked").to_pylist()
+                for i in range(0, len(x), step):
+                    part = slice(i, i + step)
+                    d2 = _squared(x[part], means)
+                    other = own[part, None] != names
+                    if not last:
+                        most = np.where(other, np.sqrt(d2 + spreads), np.inf).min(axis=1)
+                        least[part] = np.minimum(least[part], most)
+                        continue
+                    near = other & (np.sqrt(d2) <= least[part, None] * (1 + 1e-9) + 1e-7 * np.sqrt(d2.max(initial=0)))
+                    for row, col in zip(*np.nonzero(near)):
+                        asked[i + row].append(int(names[col]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("rec_id", "label", "features")), pa.array(least), pa.array(asked, pa.list_(pa.int32()))],
+                    names=["rec_id", "label", "features", "least", "asked"],
+                )
 
-def _sides(tile: pd.DataFrame) -> list[tuple[pd.DataFrame, pd.DataFrame]]:
-    """The one or two directions in which a tile's rows look at each other."""
-    a, b = tile["_a"].iat[0], tile["_b"].iat[0]
-    if a == b:
-        return [(tile, tile)]
-    left, right = tile[tile["_home"] == a], tile[tile["_home"] == b]
-    return [(left, right), (right, left)]
+        return run
+
+    schema = "rec_id long, label int, features array<double>, least double, asked array<int>"
+    out = df.withColumns({"least": F.lit(float("inf")), "asked": F.array("label")})
+    chunks = list(_label_chunks(facts, width)) if facts.count() * 8 * width <= LABEL_BYTES else None
+    for last in (False, True):
+        for chunk in chunks or _label_chunks(facts, width):
+            out = out.mapInArrow(run_with(chunk, last), schema)
+    return out.drop("least")
 
 
 # --- silhouette ----------------------------------------------------------------
@@ -97,44 +135,61 @@ def silhouette(df: DataFrame, ignore_noise: bool = False, method: str = "euclide
                block_rows: int | None = None) -> DataFrame:
     """Mean silhouette of ``(rec_id, label, features)`` as one row.
 
-    ``euclidean`` is exact over all pairs.  ``squared`` uses squared distances,
-    which need one pass only.  Fewer than two labels give NaN, and a label with
-    one member counts as 0.
+    ``euclidean`` is exact: a row adds up its distances to its own label, and to those
+    others that bounds leave open as the nearest, in pairs of blocks of one label.
+    ``squared`` uses squared distances, which need one pass only.  Fewer than two
+    labels give NaN, and a label with one member counts as 0.
     """
     used = df.filter("label <> -1") if ignore_noise else df
     if method == "squared":
         return _squared_silhouette(used)
-    used = used.select("rec_id", "label", "features")
-
-    def distances(tile: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for mine, theirs in _sides(tile):
-            if mine.empty or theirs.empty:
-                continue
-            x, y = _stack(mine["features"]), _stack(theirs["features"])
-            names, codes = np.unique(theirs["label"], return_inverse=True)
-            member = np.eye(len(names))[codes]
-            sums = [np.sqrt(_squared(x[i : i + STRIP], y)) @ member for i in range(0, len(x), STRIP)]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "rec_id": np.repeat(mine["rec_id"].to_numpy(), len(names)),
-                        "label": np.repeat(mine["label"].to_numpy(), len(names)),
-                        "other": np.tile(names, len(mine)),
-                        "d": np.vstack(sums).ravel(),
-                    }
-                )
-            )
-        if parts:
-            return pd.concat(parts)
-        return pd.DataFrame({"rec_id": [], "label": [], "other": [], "d": []})
-
-    tiles = _tiled(used, _block_count(used, block_rows))
-    partial = tiles.applyInPandas(distances, "rec_id long, label int, other int, d double")
+    used = used.select(F.col("rec_id").cast("long"), F.col("label").cast("int"), F.col("features").cast("array<double>"))
+    n, width = used.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    facts = materialize(_label_facts(used))
+    if facts.limit(2).count() < 2:
+        return df.sparkSession.createDataFrame([(float("nan"),)], "silhouette double")
+    rows = block_rows or max(256, min(BLOCK_BYTES // (8 * max(width or 1, 1)), math.ceil(n / 8)))
+    asking = materialize(_open_labels(used, facts, max(width or 1, 1)))
+    asks = asking.select("rec_id", "label", "features", F.explode("asked").alias("other"))
+    wanted = asks.groupBy(F.col("other").alias("label")).agg(F.count(F.lit(1)).alias("asks"))
+    sized = facts.select("label", "size").join(wanted, "label")
+    blocks = sized.select(
+        F.col("label").alias("other"), "size", "asks", F.ceil(F.col("asks") / rows).cast("int").alias("rows"),
+        F.ceil(F.col("size") / rows).cast("int").alias("members"),
+    )
+    small = (F.col("rows") == 1) & (F.col("members") == 1)
+    bins = blocks.agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(small, F.col("asks"))), F.lit(0)) / rows))).first()[0]
+    # Labels of few rows share a group; one of many has groups of its own, for pairs of blocks.
+    group = F.when(small, F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("other"), F.lit(bins)).alias("id"))).otherwise(
+        F.struct(F.lit(1).alias("kind"), F.col("other").cast("long").alias("id")))
+    blocks = materialize(blocks.withColumn("group", group))
+
+    def dealt(frame: DataFrame, weight: str, own: str, to: str, names: list[str]) -> DataFrame:
+        known = join_unique(frame, blocks.select("other", "group", "rows", "members", F.col(weight).alias("_w")), ["other"], "_w")
+        home = F.pmod(F.xxhash64("rec_id"), F.col(own)).cast("int").alias(own)
+        spread = F.explode(F.sequence(F.lit(0), F.col(to) - 1)).alias(to)
+        # A name of its own on each side of the pair.
+        return known.select(F.col("group").alias("group"), *names, home, spread).groupBy("group", "rows", "members")
+
+    def distances(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = mine.sort_values("other", kind="stable"), theirs.sort_values("other", kind="stable")
+        x, y, out = _stack(mine["features"]), _stack(theirs["features"]), np.zeros(len(mine))
+        names, first = np.unique(mine["other"].to_numpy(), return_index=True)
+        members = theirs["other"].to_numpy()
+        for name, a, b in zip(names, first, [*first[1:], len(mine)]):
+            those = y[np.searchsorted(members, name) : np.searchsorted(members, name, "right")]
+            for i in range(a, b, STRIP) if len(those) else ():
+                end = min(i + STRIP, b)
+                out[i:end] = np.sqrt(_squared(x[i:end], those)).sum(axis=1)
+        return pd.DataFrame({"rec_id": mine["rec_id"], "label": mine["label"], "other": mine["other"], "d": out})
+
+    members = used.select("rec_id", F.col("label").alias("other"), "features")
+    partial = dealt(asks, "asks", "rows", "members", ["rec_id", "label", "other", "features"]).cogroup(
+        dealt(members, "size", "members", "rows", ["rec_id", "other", "features"])
+    ).applyInPandas(distances, "rec_id long, label int, other int, d double")
     sums = partial.groupBy("rec_id", "label", "other").agg(F.sum("d").alias("d"))
-    sizes = used.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("size"))
     own = F.col("label") == F.col("other")
-    per_row = sums.join(small_side(sizes), "other").groupBy("rec_id").agg(
+    per_row = join_unique(sums, blocks.select("other", "size", "asks"), ["other"], "asks").groupBy("rec_id").agg(
         F.max(F.when(own, F.try_divide("d", F.col("size") - 1))).alias("a"),
         F.max(F.when(own, F.col("size"))).alias("size"),
         F.min(F.when(~own, F.col("d") / F.col("size"))).alias("b"),
@@ -159,39 +214,6 @@ def _squared_silhouette(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(score,)], "silhouette double")
 
 
-# --- nearest neighbours ------------------------------------------------------------
-
-
-def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
-    """The ``k`` nearest other recordings: ``rec_id, other, distance, place`` (1 is nearest)."""
-    used = df.select("rec_id", "features")
-
-    def best(tile: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"rec_id": [], "other": [], "distance": []})]
-        for mine, theirs in _sides(tile):
-            if mine.empty or theirs.empty:
-                continue
-            x, y = _stack(mine["features"]), _stack(theirs["features"])
-            ids, others = mine["rec_id"].to_numpy(), theirs["rec_id"].to_numpy()
-            for i in range(0, len(x), STRIP):
-                mine_ids = ids[i : i + STRIP]
-                d2 = _squared(x[i : i + STRIP], y)
-                d2[mine_ids[:, None] == others] = np.inf
-                last = np.partition(d2, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
-                rows, cols = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
-                block = pd.DataFrame(
-                    {"rec_id": mine_ids[rows], "other": others[cols], "distance": np.sqrt(d2[rows, cols])}
-                ).sort_values(["rec_id", "distance", "other"])
-                # ties at the last place are told apart by id
-                parts.append(block[block.groupby("rec_id").cumcount() < k])
-        return pd.concat(parts)
-
-    tiles = _tiled(used, _block_count(used, block_rows))
-    found = tiles.applyInPandas(best, "rec_id long, other long, distance double")
-    order = Window.partitionBy("rec_id").orderBy("distance", "other")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-
-
 # --- pairs within a distance ----------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flighttone.operators import affinity, classify, cluster, features, joins, pairwise
+from flighttone.operators import affinity, classify, cluster, features, joins, neighbours, pairwise
 from flighttone.operators.features import FeatureSpec
 from tests.conftest import blobs, matrix
 
@@ -87,12 +87,59 @@ def test_nearest(spark, block_rows):
     x, _ = blobs(2, 40)
     d = distances(x)
     np.fill_diagonal(d, np.inf)
-    found = pairwise.nearest(matrix(spark, x), 3, block_rows).collect()
+    found = neighbours.nearest(matrix(spark, x), 3, block_rows).collect()
     assert len(found) == 240
     for r in found:
         assert r["distance"] == pytest.approx(np.sort(d[r["rec_id"]])[r["place"] - 1])
 
 
+def test_nearest_across_blocks(spark, monkeypatch):
+    """Ties, copies, lone rows and groups of all sizes, the table of blocks cut as well; far blocks are never met."""
+    monkeypatch.setattr(neighbours, "CHUNK", 3)
+    x, _ = blobs(12, 40, d=6, apart=60)
+    x = np.round(np.vstack([x, np.repeat(x[:1], 30, axis=0), np.full((1, 6), 500.0), x[5:9] + 1e-9]), 3)
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    df = matrix(spark, x)
+    found = neighbours.nearest(df, 5, 16).orderBy("rec_id", "place").collect()
+    assert [r["place"] for r in found] == [1, 2, 3, 4, 5] * len(x)
+    np.testing.assert_allclose([r["distance"] for r in found], np.sort(d, axis=1)[:, :5].ravel(), atol=1e-5)
+    row = neighbours.met_share(df, 5, 16).first()
+    assert row["pairs"] == row["blocks"] * (row["blocks"] - 1) and 0 < row["share"] < 0.2
+
+
+def test_nearest_of_few(spark):
+    found = neighbours.nearest(matrix(spark, np.arange(6.0).reshape(3, 2)), 5).collect()
+    assert len(found) == 6 and max(r["place"] for r in found) == 2
+    assert neighbours.nearest(matrix(spark, np.zeros((0, 2))), 2).count() == 0
+    assert neighbours.nearest(matrix(spark, np.ones((1, 2))), 2).count() == 0
+
+
+@pytest.mark.parametrize("held", [pairwise.LABEL_BYTES, 100_000])
+def test_silhouette_of_many_labels(spark, monkeypatch, held):
+    """Ten thousand labels, one of them with a third of all rows; means also in several pieces."""
+    monkeypatch.setattr(pairwise, "LABEL_BYTES", held)
+    rng = np.random.default_rng(8)
+    centres = rng.uniform(0, 300, (10_000, 3))
+    y = np.concatenate([np.arange(10_000), rng.integers(0, 10_000, 2000), np.full(6000, 17)])
+    x = centres[y] + rng.normal(0, 1, (len(y), 3)) * np.where(y == 17, 40, 1)[:, None]
+    order = np.argsort(y, kind="stable")
+    x, y = x[order], y[order]
+    first = np.searchsorted(y, np.arange(10_000))
+    sizes = np.bincount(y)
+    out = np.zeros(len(x))
+    for i in range(0, len(x), 500):
+        d = np.sqrt(((x[i : i + 500, None] - x[None]) ** 2).sum(-1))
+        sums, rows = np.add.reduceat(d, first, axis=1), np.arange(len(d))
+        own = y[i : i + 500]
+        a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+        means = sums / sizes
+        means[rows, own] = np.inf
+        b = means.min(axis=1)
+        out[i : i + 500] = np.where(sizes[own] == 1, 0, (b - a) / np.maximum(a, b))
+    assert pairwise.silhouette(matrix(spark, x, y), block_rows=1000).first()[0] == pytest.approx(out.mean())
+
+
 @pytest.mark.parametrize("eps, block_rows", [(1.2, 4096), (1.8, 16), (2.6, 16), (50.0, 64)])
 def test_dbscan_by_brute_force(spark, eps, block_rows, monkeypatch):
     monkeypatch.setattr(pairwise, "CELL_ROWS", 5)
