@@ -24,6 +24,8 @@ from flighttone.scale import join_unique, materialize, small_side
 LIMIT_DOCS, LIMIT_SHARE = 10, 0.01
 #: A document is depleted with fewer words left, or a smaller share of its words.
 LEAST_WORDS, LEAST_SHARE = 20, 0.5
+#: Bytes of text looked at together: numbers of all words, windows and lines take some twenty times as much.
+BLOCK = 4 << 20
 #: Words of a window looked for twice, per cent of a text's words in such windows, characters counted.
 WINDOW, REPEATED = 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -129,7 +131,7 @@ def facts(docs: DataFrame, host: str = "source") -> DataFrame:
     """``doc_id, host``, the numbers of the rules and ``lines``, an array of hashes and words: a map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK):
             with no_collector():
                 found = _facts(block)
             inner = pa.StructArray.from_arrays([pa.array(found[c]) for c in ("h1", "h2", "words")], names=["h1", "h2", "words"])
