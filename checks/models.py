@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,10 +274,10 @@ def spectral(spark: SparkSession, d: str) -> DataFrame:
 _PARTS = "SELECT vec_id AS rec_id, min(vec_id) OVER (PARTITION BY label % 4) AS first FROM embeddings"
 
 
-def _apart(spark: SparkSession, d: str) -> DataFrame:
-    """Four values of each embedding, moved ten apart by label."""
+def _moved(spark: SparkSession, d: str, groups: int, values: int = 64) -> DataFrame:
+    """The first values of each embedding, moved ten apart by label."""
     x = sig(spark, d)
-    moved = F.array(*[F.col("features")[i] + F.when(F.col("label") % 4 == i, 10.0).otherwise(0.0) for i in range(4)])
+    moved = F.transform(F.slice("features", 1, values), lambda v, i: v + F.when(F.col("label") % groups == i, 10.0).otherwise(0.0))
     return x.select("rec_id", moved.alias("features"))
 
 
@@ -287,12 +289,19 @@ def _first_of_each(found: DataFrame) -> DataFrame:
 
 @check("kmeans_apart", _PARTS)
 def kmeans_apart(spark: SparkSession, d: str) -> DataFrame:
-    return _first_of_each(cluster.kmeans(_apart(spark, d), 4))
+    return _first_of_each(cluster.kmeans(_moved(spark, d, 4), 4))
 
 
 @check("gaussian_mixture_apart", _PARTS)
 def gaussian_mixture_apart(spark: SparkSession, d: str) -> DataFrame:
-    return _first_of_each(cluster.gaussian_mixture(_apart(spark, d), 4))
+    return _first_of_each(cluster.gaussian_mixture(_moved(spark, d, 4, values=4), 4))
+
+
+@check("spectral_apart", """SELECT k, vec_id AS rec_id, min(vec_id) OVER (PARTITION BY k, label % k) AS first
+FROM embeddings, (SELECT unnest([2, 3, 4, 5]) AS k)""")
+def spectral_apart(spark: SparkSession, d: str) -> DataFrame:
+    found = [_first_of_each(cluster.spectral(_moved(spark, d, k), k)).select(F.lit(k).alias("k"), "rec_id", "first") for k in (2, 3, 4, 5)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @check("clustering_summary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from flighttone.operators.joins import cycle_label, relabel
 from flighttone.operators.mixture import SEED as MIXTURE_SEED
 from flighttone.operators.mixture import apply_mixture, fit_mixture
-from flighttone.operators.neighbours import nearest
 from flighttone.operators.pairwise import density_clusters, silhouette
+from flighttone.operators.spectral import spectral_labels
 from flighttone.scale import materialize, small_side, with_running_totals
 
 __all__ = [
@@ -58,20 +58,8 @@ def gaussian_mixture(df: DataFrame, k: int, seed: int = MIXTURE_SEED) -> DataFra
 
 
 def spectral(df: DataFrame, k: int, neighbours: int = 4) -> DataFrame:
-    """Power iteration on the graph of nearest neighbours.
-
-    A recording counts among its own ``neighbours``; links in one direction
-    only weigh half.
-    """
-    near = nearest(df, neighbours - 1).select("rec_id", "other")
-    both = near.select(
-        F.least("rec_id", "other").alias("src"), F.greatest("rec_id", "other").alias("dst")
-    )
-    graph = materialize(both.groupBy("src", "dst").agg((F.count(F.lit(1)) / 2).alias("weight")))
-    found = PowerIterationClustering(
-        k=k, maxIter=40, initMode="random", weightCol="weight"
-    ).assignClusters(graph)
-    return _assigned(found.select(F.col("id").alias("rec_id"), F.col("cluster").alias("label")))
+    """Slowest modes of a walk on the graph of nearest neighbours, clustered by k-means."""
+    return _assigned(spectral_labels(df, k, neighbours))
 
 
 # --- density -----------------------------------------------------------------

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flighttone.operators import affinity, classify, cluster, features, joins, neighbours, pairwise
+from flighttone.operators import affinity, classify, cluster, features, joins, neighbours, pairwise, spectral
 from flighttone.operators.features import FeatureSpec
 from tests.conftest import blobs, matrix
 
@@ -197,6 +197,30 @@ def test_blobs_are_found(spark, method, k):
     assert brute_silhouette(x, found) > 0.6
 
 
+@pytest.mark.parametrize("k, coarse", [(2, 1500), (3, 1500), (5, 1500), (4, 40)])
+def test_separated_groups_are_the_spectral_clusters(spark, monkeypatch, k, coarse):
+    """Their graphs of few neighbours fall apart; also where the graph is made smaller first."""
+    monkeypatch.setattr(spectral, "COARSE", coarse)
+    rng = np.random.default_rng(k)
+    y = rng.permutation(np.repeat(np.arange(k), 60))
+    x = 10 * np.eye(5)[y] + rng.normal(0, 0.3, (len(y), 5))
+    found = labels_of(cluster.spectral(matrix(spark, x), k))
+    first = [int(np.flatnonzero(y == c)[0]) for c in y]
+    np.testing.assert_array_equal(found, [sorted(set(first)).index(f) for f in first])
+
+
+def test_shortest_tree_joins_the_parts(spark):
+    """Copies, parts of one row, and the links a shortest tree has."""
+    x = np.array([[0, 0], [0, 0], [0, 0], [1, 0], [1, 0], [1, 0], [9, 0], [9, 1], [9.5, 0], [30, 0], [31, 0], [30, 1]], float)
+    held = spectral.joined_graph(matrix(spark, x), 3, block_rows=5).collect()
+    across = {(r["src"], r["dst"]): r["w"] for r in held if r["src"] < r["dst"] and x[r["dst"], 0] - x[r["src"], 0] >= 1}
+    assert sorted(x[b, 0] - x[a, 0] for a, b in across if x[b, 0] - x[a, 0] > 1.2) == [8, 20.5]
+    assert len(across) == 3 or len(across) == 4
+    assert all(r["w"] == 1 for r in held if r["src"] == r["dst"]) and len({r["src"] for r in held}) == len(x)
+    modes = np.array([r["x"] for r in spectral.slowest_modes(spark.createDataFrame(held), 2).orderBy("id").collect()])
+    assert np.ptp(modes[:, 0]) == pytest.approx(0, abs=1e-9) and (modes[:9, 1] * modes[9:, 1].mean() < 0).all()
+
+
 def test_mixture_drops_what_it_does_not_need(spark):
     x, y = blobs(2, 150, d=4, apart=15)
     found = labels_of(cluster.gaussian_mixture(matrix(spark, x), 5))
