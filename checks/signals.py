@@ -194,6 +194,20 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", F.explode("peak_idx").alias("k")).select("rec_id", big("k").alias("k"))
 
 
+@check("peaks_flat", f"""WITH {_PSD}, q AS (SELECT rec_id, k, floor(level / 4) AS v FROM db),
+turns AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY rec_id ORDER BY k) THEN 0 ELSE 1 END AS t FROM q),
+runs AS (SELECT rec_id, min(k) AS b, max(k) AS e, any_value(v) AS v
+  FROM (SELECT *, sum(t) OVER (PARTITION BY rec_id ORDER BY k) AS run FROM turns) GROUP BY rec_id, run),
+near AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS c, min(v) OVER (PARTITION BY rec_id) AS lo,
+  max(v) OVER (PARTITION BY rec_id) AS hi FROM runs WINDOW o AS (PARTITION BY rec_id ORDER BY b))
+SELECT rec_id, CAST(b + (e - b) // 2 AS BIGINT) AS k FROM near WHERE v > a AND v > c AND v > lo + 0.25 * (hi - lo)""")
+def peaks_flat(spark: SparkSession, d: str) -> DataFrame:
+    """Levels in steps of 4 dB, so that most tops are flat."""
+    stepped = _spectra(spark, d).withColumn("psd_db", F.transform("psd_db", lambda x: F.floor(x / 4).cast("double")))
+    found = spectrum.find_peaks(stepped, "psd_db", SIG.peak_threshold)
+    return found.select("rec_id", F.explode("peak_idx").alias("k")).select("rec_id", big("k").alias("k"))
+
+
 @check("peaks_apart", f"""WITH RECURSIVE {_PEAKS}, ranked AS (SELECT rec_id, k,
   row_number() OVER (PARTITION BY rec_id ORDER BY level DESC, k DESC) AS place FROM found),
 greedy(rec_id, place, kept) AS (SELECT rec_id, place, [k] FROM ranked WHERE place = 1

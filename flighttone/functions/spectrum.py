@@ -138,19 +138,27 @@ def spectral_baseline(df: DataFrame, deg: int = 9) -> DataFrame:
 
 def _spaced(row: np.ndarray, found: np.ndarray, min_dist: int) -> np.ndarray:
     """Highest peak first, each clearing ``min_dist`` places on both sides."""
-    kept: list[int] = []
+    taken, kept = np.zeros(len(row), bool), np.zeros(len(row), bool)
     for i in found[np.lexsort((found, row[found]))[::-1]]:
-        if all(abs(i - k) > min_dist for k in kept):
-            kept.append(i)
-    return np.sort(np.array(kept, dtype=found.dtype))
+        if not taken[i]:
+            kept[i] = True
+            taken[max(0, i - min_dist) : i + min_dist + 1] = True
+    return np.flatnonzero(kept).astype(found.dtype)
 
 
 def _peak_lists(x: np.ndarray, thres: float, min_dist: int) -> list[np.ndarray]:
     low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
-    middle = x[:, 1:-1]
-    at = (middle > low + thres * (high - low)) & (middle > x[:, :-2]) & (middle > x[:, 2:])
-    rows, cols = np.nonzero(at)
-    lists = np.split(cols + 1, np.searchsorted(rows, np.arange(1, len(x))))
+    steps = np.diff(x, axis=1)
+    # Where the values change next, so that a flat top is followed to its end.
+    places = np.where(steps != 0, np.arange(steps.shape[1]), steps.shape[1])
+    end = np.minimum.accumulate(places[:, ::-1], axis=1)[:, ::-1]
+    rows, cols = np.nonzero(steps[:, :-1] > 0)
+    begin = cols + 1
+    end = end[rows, begin]
+    falls = (end < steps.shape[1]) & (steps[rows, np.minimum(end, steps.shape[1] - 1)] < 0)
+    tall = (x[rows, begin] > low[rows, 0] + thres * (high - low)[rows, 0]) & falls
+    rows, found = rows[tall], (begin + (end - begin) // 2)[tall]
+    lists = np.split(found, np.searchsorted(rows, np.arange(1, len(x))))
     if min_dist > 1:
         lists = [_spaced(row, found, min_dist) for row, found in zip(x, lists)]
     return lists
@@ -166,6 +174,7 @@ def find_peaks(
 ) -> DataFrame:
     """Indices of local maxima above ``min + thres * (max - min)``, ascending.
 
+    A flat top is one peak, in its middle, the left one of two.
     With ``min_dist`` over 1 the highest peak goes first and clears that many
     places on both sides.  ``below`` names a column to take off the values first.
     """
@@ -194,7 +203,7 @@ def refine_peaks(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     vertex = F.expr(
         "transform(transform(peak_idx, i -> struct(i, psd_db[i - 1] as a, psd_db[i] as b,"
         " psd_db[i + 1] as c)), t -> struct(t.i, t.a, t.b, t.c,"
-        " 0.5D * (t.a - t.c) / (t.a - 2D * t.b + t.c) as s))"
+        " coalesce(try_divide(0.5D * (t.a - t.c), t.a - 2D * t.b + t.c), 0D) as s))"  # the middle of a flat top
     )
     refined = F.expr(
         f"transform(_vertex, t -> struct(cast(t.i as int) as idx, (t.i + t.s) * {p.df!r}D as freq,"

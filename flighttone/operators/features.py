@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from flighttone.functions.batches import row_map
 from flighttone.functions.wavelets import dwt_features
 from flighttone.params import DEFAULT, Params
-from flighttone.scale import percentiles
+from flighttone.scale import materialize, percentiles
 
 # Fixed names of the scalers offered.
 SCALERS = ("NoScaler", "StandardScaler", "Normalizer", "RobustScaler")
@@ -26,6 +28,10 @@ SCALERS = ("NoScaler", "StandardScaler", "Normalizer", "RobustScaler")
 FEATURES = {"PSD": "psd", "PSD_DB": "psd_db", "MFCC": "mfcc", "f1": "f1", "RAW": "rawdata"}
 
 
+def _tuples(x: object) -> object:
+    return tuple(map(_tuples, x)) if isinstance(x, (list, tuple, np.ndarray)) else float(x)
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
     """What a feature matrix is made of."""
@@ -35,9 +41,11 @@ class FeatureSpec:
     temp: bool = False
     power: bool = False
     scaler: str = "NoScaler"
-    filters: Mapping[str, tuple] | None = field(default=None, compare=False)
+    filters: Mapping[str, tuple] | None = field(default=None, hash=False)
 
     def __post_init__(self) -> None:
+        if self.filters is not None:
+            object.__setattr__(self, "filters", {name: _tuples(taps) for name, taps in self.filters.items()})
         if self.reduce not in (None, "pca", "rbm"):
             raise ValueError("reduce by 'pca' or 'rbm', not both")
         if self.scaler not in SCALERS:
@@ -45,7 +53,9 @@ class FeatureSpec:
 
     @property
     def descriptor(self) -> str:
-        parts = [self.use, self.reduce, "temp" if self.temp else None, "pwr" if self.power else None]
+        # Taps of one's own are told apart by what they are, as names do not.
+        own = self.filters and hashlib.md5(json.dumps(self.filters, sort_keys=True).encode()).hexdigest()[:12]
+        parts = [self.use, own, self.reduce, "temp" if self.temp else None, "pwr" if self.power else None]
         return "_".join([*[p for p in parts if p], self.scaler])
 
 
@@ -204,54 +214,117 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_rbm(df: DataFrame, units: int, rate: float = 0.1, rounds: int = 100, seed: int = RBM_SEED) -> dict:
-    """Contrastive divergence over the whole table: one pass adds up each round's gradient.
+#: Rows of a block, and blocks whose sums are added up at once.
+RBM_ROWS, RBM_FAN = 2048, 32
+
+
+def _draws(seed: int, turn: int, ids: np.ndarray, units: int) -> np.ndarray:
+    """Uniform numbers of each row and unit in a round, from these alone."""
+    key = (seed * 1_000_003 + turn) * 0xD6E8FEB86659FD93 % (1 << 64)
+    x = (ids.view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(units, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    # splitmix64, once for the row and unit and once more with the round.
+    for add in (0, key):
+        x = x + np.uint64((add + 0x9E3779B97F4A7C15) % (1 << 64))
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x = x ^ x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def _blocks_of(df: DataFrame) -> DataFrame:
+    """``block, ids, rows``: the rows of each block in the order of their ids, as bytes; a row's block hangs on its id alone."""
+    blocks = max(1, -(-df.count() // RBM_ROWS))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["rec_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x = np.stack(table["features"].to_pandas().to_numpy())[order]
+        block = table["block"][0].as_py()
+        return pa.table({"block": pa.array([block], pa.int64()), "ids": [ids[order].tobytes()], "rows": [x.astype(float).tobytes()]})
+
+    dealt = df.select(F.col("rec_id").cast("long"), F.col("features").cast("array<double>"),
+                      F.pmod(F.xxhash64("rec_id"), F.lit(blocks)).alias("block"))
+    return materialize(dealt.groupBy("block").applyInArrow(run, "block long, ids binary, rows binary"))
 
-    ``loss`` holds the mean reconstruction error of every round.
+
+def _tree_sum(parts: DataFrame, size: int, blocks: int) -> np.ndarray:
+    """Sum of ``sums`` (bytes of ``size`` doubles), in an order that hangs on ``block`` alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        total = np.zeros(size)
+        for part in table["sums"].to_pylist():
+            total = total + np.frombuffer(part)
+        return pa.table({"block": pa.array([table["block"][0].as_py() // RBM_FAN], pa.int64()), "sums": [total.tobytes()]})
+
+    for _ in range(math.ceil(math.log(max(blocks, 1), RBM_FAN)) - 1):
+        parts = parts.groupBy(F.floor(F.col("block") / RBM_FAN).alias("_up")).applyInArrow(
+            lambda _, table: run(table.select(["block", "sums"])), "block long, sums binary")
+    total = np.zeros(size)
+    for row in sorted(parts.collect(), key=lambda r: r.block):  # at most RBM_FAN rows
+        total = total + np.frombuffer(row.sums)
+    return total
+
+
+def fit_rbm(df: DataFrame, units: int, rate: float = 0.1, rounds: int = 100, seed: int = RBM_SEED, batch_rows: int = 10) -> dict:
+    """Contrastive divergence of ``(rec_id, features)`` by batches of ``batch_rows``.
+
+    Rows are dealt to blocks by the hash of their ids.  In each round every block learns from its batches one after the
+    other, starting from the same weights, and the blocks' changes are averaged by their rows.  The weights are
+    the same however the table is laid out: a row's draws come from seed, round, id and unit, and sums
+    are added up in one order.  Where features leave 0 to 1, each is brought there first by its own
+    range, which ``low`` and ``range`` hold.  ``loss`` holds the mean reconstruction error of every round.
     """
-    data = df.select("features").persist()
-    rng = np.random.default_rng(seed)
-    width = len(data.first()["features"])
-    weights = rng.normal(0, 0.01, (width, units))
-    seen, hidden = np.zeros(width), np.zeros(units)
-    losses: list[float] = []
     spark = df.sparkSession
+    width = check_width(df)
+    if width is None:
+        raise ValueError("an empty table cannot be learned")
+    ends = df.agg(*[f(F.col("features")[i]) for i in range(width) for f in (F.min, F.max)]).first()
+    low, high = np.array(ends[::2], float), np.array(ends[1::2], float)
+    if low.min() >= 0 and high.max() <= 1:
+        low, high = np.zeros(width), np.ones(width)
+    scale = np.where(high > low, high - low, 1.0)
+    held = _blocks_of(df)
+    blocks = held.count()
+    size = (width + 1) * (units + 1)
+    # Weights with the biases of hidden units below and of seen ones beside them.
+    model = np.zeros((width + 1, units + 1))
+    model[:-1, :-1] = np.random.default_rng(seed).normal(0, 0.01, (width, units))
+    losses: list[float] = []
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, seen, hidden))
-
-        def gradient(batches: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
-            w, a, b = shared.value
-            total, loss, n = np.zeros((w.shape[0] + 1) * (w.shape[1] + 1)), 0.0, 0
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                v = np.stack(pdf["features"].to_numpy())
-                h = _sigmoid(v @ w + b)
-                # the draw depends on the data only, so a lost task gives the same sums again
-                draw = np.random.default_rng([seed, turn, len(v), int(abs(v.sum() * 1e6)) % 2**31])
-                back = _sigmoid((draw.random(h.shape) < h) @ w.T + a)
-                again = _sigmoid(back @ w + b)
-                one = np.ones((len(v), 1))
-                total += (np.hstack([v, one]).T @ np.hstack([h, one])
-                          - np.hstack([back, one]).T @ np.hstack([again, one])).ravel()
-                loss += ((v - back) ** 2).sum()
-                n += len(v)
-            if n:
-                yield pd.DataFrame({"pos": np.arange(len(total)), "g": total, "loss": loss, "n": n})
-
-        parts = data.mapInPandas(gradient, "pos int, g double, loss double, n long")
-        rows = parts.groupBy("pos").agg(F.sum("g"), F.sum("loss"), F.sum("n")).toPandas().sort_values("pos")
-        step = rows.iloc[:, 1].to_numpy().reshape(width + 1, units + 1) * rate / rows.iloc[0, 3]
-        weights, seen, hidden = weights + step[:-1, :-1], seen + step[:-1, -1], hidden + step[-1, :-1]
-        losses.append(float(rows.iloc[0, 2] / rows.iloc[0, 3]))
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(parts: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for block, ids, rows in zip(*(part.column(c).to_pylist() for c in ("block", "ids", "rows"))):
+                    keys, x = np.frombuffer(ids, np.int64), (np.frombuffer(rows).reshape(-1, width) - low) / scale
+                    draws = _draws(seed, turn, keys, units + 1)
+                    order = np.argsort(draws[:, units], kind="stable")
+                    m, loss = shared.value.copy(), 0.0
+                    for at in range(0, len(x), batch_rows):
+                        own = order[at : at + batch_rows]
+                        v, one = x[own], np.ones((len(own), 1))
+                        h = _sigmoid(v @ m[:-1, :-1] + m[-1, :-1])
+                        back = _sigmoid((draws[own, :units] < h) @ m[:-1, :-1].T + m[:-1, -1])
+                        again = _sigmoid(back @ m[:-1, :-1] + m[-1, :-1])
+                        change = np.hstack([v, one]).T @ np.hstack([h, one]) - np.hstack([back, one]).T @ np.hstack([again, one])
+                        loss += ((v - back) ** 2).sum()
+                        m += change * rate / len(own)
+                    sums = np.concatenate([((m - shared.value) * len(x)).ravel(), [loss, len(x)]])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums.tobytes()])], names=["block", "sums"])
+
+        sums = _tree_sum(held.mapInArrow(learn, "block long, sums binary"), size + 2, blocks)
         shared.unpersist()
-    data.unpersist()
-    return {"weights": weights.tolist(), "hidden": hidden.tolist(), "loss": losses}
+        model = model + sums[:size].reshape(model.shape) / sums[-1]
+        losses.append(float(sums[-2] / sums[-1]))
+    return {"weights": model[:-1, :-1].tolist(), "hidden": model[-1, :-1].tolist(), "loss": losses,
+            "low": low.tolist(), "range": scale.tolist()}
 
 
 def apply_rbm(df: DataFrame, fitted: dict) -> DataFrame:
     w, b = np.asarray(fitted["weights"]), np.asarray(fitted["hidden"])
-    return df.withColumn("features", row_map(lambda v: _sigmoid(v @ w + b))("features"))
+    low, scale = np.asarray(fitted.get("low", 0.0)), np.asarray(fitted.get("range", 1.0))
+    return df.withColumn("features", row_map(lambda v: _sigmoid((v - low) / scale @ w + b))("features"))
 
 
 # --- temperature slots --------------------------------------------------------------------

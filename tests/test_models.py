@@ -345,6 +345,42 @@ def test_machine_learns(recordings):
     assert got.shape == (100, 12) and ((got > 0) & (got < 1)).all()
 
 
+def test_machine_does_not_hang_on_the_layout(spark, monkeypatch):
+    """Any number of partitions and any order of rows gives the same weights, also from many blocks added up in steps."""
+    monkeypatch.setattr(features, "RBM_ROWS", 16)
+    monkeypatch.setattr(features, "RBM_FAN", 3)
+    rng = np.random.default_rng(2)
+    x = np.where(np.arange(200)[:, None] % 2, rng.normal(5, 1, (200, 6)), rng.normal(-3, 1, (200, 6)))
+    df = matrix(spark, x)
+    fits = [features.fit_rbm(d, 4, rate=1.0, rounds=6) for d in (df.coalesce(1), df.repartition(4), df.orderBy(F.desc("rec_id")).repartition(8))]
+    assert fits[0] == fits[1] == fits[2] and fits[0]["loss"][-1] < fits[0]["loss"][0]
+    np.testing.assert_allclose(fits[0]["low"], x.min(axis=0))
+    np.testing.assert_allclose(fits[0]["range"], np.ptp(x, axis=0))
+    held = features._blocks_of(df)
+    parts = held.select("block", "rows").withColumnRenamed("rows", "sums").collect()
+    sums = spark.createDataFrame([(i, np.full(2, float(i)).tobytes()) for i in range(50)], "block long, sums binary")
+    assert features._tree_sum(sums, 2, 50).tolist() == [1225, 1225] and len(parts) == 13
+
+
+def test_draws_are_uniform():
+    u = features._draws(3, 5, np.arange(2000, dtype=np.int64), 50)
+    assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002 and len(np.unique(u)) == u.size
+    assert abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.1 and abs(np.corrcoef(u[:-1, 0], u[1:, 0])[0, 1]) < 0.1
+    assert (features._draws(3, 6, np.arange(2000, dtype=np.int64), 50) != u).all()
+
+
+def test_cache_tells_taps_apart(recordings):
+    _, df = recordings
+    waves = df.withColumnRenamed("rawdata", "waveform")
+    one, two = (FeatureSpec("DWT_own", filters={"own": ([a, a], [a, -a])}) for a in (0.7, 0.5))
+    assert one != two and one.descriptor != two.descriptor and one == FeatureSpec("DWT_own", filters={"own": ((0.7, 0.7), (0.7, -0.7))})
+    cache = features.FeatureCache()
+    (a, fit), (b, _) = cache.get(waves, one), cache.get(waves, two)
+    assert values(a).tolist() != values(b).tolist() and cache.get(waves, one)[0] is a
+    assert features.FittedFeatures.from_json(fit.to_json()).spec == one
+    cache.reset()
+
+
 def test_cache_by_descriptor(recordings):
     _, df = recordings
     cache = features.FeatureCache()

@@ -1,5 +1,6 @@
 """Signals with known answers."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -108,6 +109,24 @@ def test_highest_peak_clears_its_neighbours(spark):
     assert spectrum.find_peaks(rows, "y", 0.1, 5).first()["peak_idx"] == [3]
 
 
+@pytest.mark.parametrize(
+    "y, found",
+    [([0, 1, 3, 3, 1, 0, 2, 0], [2, 6]), ([0, 3, 3, 3, 0], [2]), ([0, 3, 3, 3, 3, 0], [2]), ([3, 3, 0, 1, 1], []),
+     ([0, 2, 2, 3, 3, 2, 2, 0], [3]), ([1, 1, 1, 1], []), ([0, 2, 1, 1, 2, 0], [1, 4])],
+)
+def test_a_flat_top_is_one_peak(spark, y, found):
+    rows = spark.createDataFrame([(1, [float(v) for v in y])], "rec_id long, y array<double>")
+    assert spectrum.find_peaks(rows, "y", 0.1).first()["peak_idx"] == found
+
+
+def test_the_middle_of_a_flat_top_is_its_vertex(spark):
+    y = [-90.0, -90.0, -50.0, -50.0, -50.0, -90.0, -90.0]
+    rows = spark.createDataFrame([(1, y)], "rec_id long, psd_db array<double>")
+    p = dataclasses.replace(DEFAULT, f1_min=50)
+    found = spectrum.refine_peaks(spectrum.find_peaks(rows, "psd_db", 0.25), p).first()
+    assert found["peak_idx"] == [3] and [(k["idx"], k["freq"]) for k in found["peaks"]] == [(3, pytest.approx(3 * p.df))]
+
+
 def test_harmonic_rule_by_hand(spark):
     peaks = [(13, 400.0, -20.0), (26, 800.0, -25.0), (38, 1200.0, -30.0), (52, 1610.0, -40.0)]
     rows = spark.createDataFrame([(1, peaks), (2, [(0, 0.0, -100.0)])], f"rec_id long, peaks {spectrum.PEAK_TYPE}")
