@@ -8,8 +8,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
@@ -17,9 +15,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flighttone.functions.batches import row_map
+from flighttone.operators.boosting import Booster, boost
 from flighttone.operators.features import FittedFeatures, descriptor_of
 from flighttone.operators.stats import accuracy, balance_report, binary_metrics, class_metrics, confusion
-from flighttone.scale import materialize, with_position
+from flighttone.scale import with_position
 
 __all__ = [
     "CLASSIFIERS", "Model", "balance_report", "evaluate", "feature_importance", "holdout_split",
@@ -29,8 +29,6 @@ __all__ = [
 # Fixed values.
 SPLIT_SEED = 2017
 MIN_PROBABILITIES = (0.6, 0.7, 0.8, 0.9)
-#: Trees looked at in one pass of the training curves.
-CURVE_TREES = 25
 
 
 def holdout_split(df: DataFrame, share: float = 0.2, seed: int = SPLIT_SEED) -> DataFrame:
@@ -92,45 +90,17 @@ def _best_round(losses: Sequence[float], tolerance: float, patience: int) -> tup
     return best + 1, False
 
 
-def _fit_boosted(base: GBTClassifier, data: DataFrame, rounds: int, tolerance: float,
-                 patience: int) -> GBTClassificationModel:
-    """As many rounds as the held-out loss asks for.
-
-    Rounds are tried in doubling numbers; as trees do not depend on later ones,
-    each attempt begins with the trees of the one before.
-    """
-    seen, held = data.filter("not is_test"), data.filter("is_test")
-    if held.isEmpty():
-        return base.setMaxIter(rounds).fit(seen)
-    tried = min(rounds, 2 * patience)
-    while True:
-        model = base.setMaxIter(tried).fit(seen)
-        best, stopped = _best_round(model.evaluateEachIteration(held), tolerance, patience)
-        if stopped or tried == rounds:
-            return model if best == tried else base.setMaxIter(best).fit(seen)
-        tried = min(rounds, 2 * tried)
-
-
 def train_boosted(df: DataFrame, rounds: int = 1000, tolerance: float = 0.0, depth: int = 6,
                   rate: float = 0.3, patience: int = 10, features: FittedFeatures | None = None) -> Model:
-    """Boosted trees, one model per class beyond two classes.
+    """Boosted trees with one loss for all classes.
 
     ``is_test`` rows only decide when to stop: when ``patience`` rounds have not
     improved their loss by more than ``tolerance``.  The rounds up to the best
     one are kept.
     """
     classes, width = _shape(df)
-    data = _ready(df).persist()
-    base = GBTClassifier(
-        featuresCol="_v", labelCol="_y", maxDepth=depth, stepSize=rate, seed=SPLIT_SEED,
-    )
-    wanted = [1] if classes == 2 else range(classes)
-    parts = [
-        _fit_boosted(base, data.withColumn("_y", (F.col("label") == c).cast("double")), rounds, tolerance, patience)
-        for c in wanted
-    ]
-    data.unpersist()
-    return Model("boosted", parts, classes, width, descriptor_of(df), features=features)
+    booster = boost(df, max(classes, 2), width, rounds, depth, rate, lambda losses: _best_round(losses, tolerance, patience))
+    return Model("boosted", [booster], max(classes, 2), width, descriptor_of(df), features=features)
 
 
 def train_mlp(df: DataFrame, hidden: int = 100, rounds: int = 200,
@@ -159,32 +129,15 @@ def train(df: DataFrame, kind: str = "boosted", **options) -> tuple[Model, DataF
 # --- applying ---------------------------------------------------------------------
 
 
-def _margin(part: GBTClassificationModel, df: DataFrame, name: str) -> DataFrame:
-    part.setFeaturesCol("_v").setRawPredictionCol("_raw").setProbabilityCol("_p").setPredictionCol("_y")
-    scored = part.transform(df)
-    return scored.withColumn(name, vector_to_array("_raw")[1] * 2).drop("_raw", "_p", "_y")
-
-
 def probabilities(model: Model, df: DataFrame) -> DataFrame:
     """Add ``probability array<double>``, one share per class."""
-    ready = _ready(df)
-    if model.kind == "mlp":
-        net = model.parts[0]
-        net.setFeaturesCol("_v").setRawPredictionCol("_raw").setProbabilityCol("_p").setPredictionCol("_y")
-        scored = net.transform(ready)
-        return scored.withColumn("probability", vector_to_array("_p")).drop("_v", "_raw", "_p", "_y")
-    names = [f"_m{i}" for i in range(len(model.parts))]
-    for part, name in zip(model.parts, names):
-        ready = _margin(part, ready, name)
-    if model.n_classes == 2:
-        yes = F.lit(1.0) / (1 + F.exp(-F.col("_m0")))
-        return ready.withColumn("probability", F.array(1 - yes, yes)).drop("_v", *names)
-    highest = F.greatest(*names)
-    weights = F.array(*[F.exp(F.col(n) - highest) for n in names])
-    ready = ready.withColumn("_w", weights)
-    ready = ready.withColumn("_sum", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x))
-    shares = F.transform("_w", lambda x: x / F.col("_sum"))
-    return ready.withColumn("probability", shares).drop("_v", "_w", "_sum", *names)
+    if model.kind == "boosted":
+        booster = model.parts[0]
+        return df.withColumn("probability", row_map(lambda x: booster.probabilities(x))(F.col("features").cast("array<double>")))
+    net = model.parts[0]
+    net.setFeaturesCol("_v").setRawPredictionCol("_raw").setProbabilityCol("_p").setPredictionCol("_y")
+    scored = net.transform(_ready(df))
+    return scored.withColumn("probability", vector_to_array("_p")).drop("_v", "_raw", "_p", "_y")
 
 
 def _argmax(column: str) -> Column:
@@ -238,46 +191,21 @@ def evaluate(scored: DataFrame) -> dict[str, DataFrame]:
 
 
 def training_curves(model: Model, df: DataFrame) -> DataFrame:
-    """``class, round, is_test, logloss, error`` after every round of boosting.
-
-    A class of its own is judged against the rest; margins of the trees are
-    added up row by row, a few trees per pass.
-    """
+    """``round, is_test, logloss, error`` after every round, as the training itself saw them; ``df`` gives the session."""
     if model.kind != "boosted":
         raise ValueError("only boosted trees are trained in rounds")
-    out = None
-    for c, part in enumerate(model.parts):
-        positive = 1 if model.n_classes == 2 else c
-        rows = _ready(df).select("is_test", "_v", (F.col("label") == positive).alias("_yes"), F.lit(0.0).alias("_m"))
-        trees, weights = part.trees, part.treeWeights
-        for start in range(0, len(trees), CURVE_TREES):
-            margins = []
-            for i in range(start, min(start + CURVE_TREES, len(trees))):
-                tree = trees[i].setFeaturesCol("_v").setPredictionCol("_t")
-                rows = tree.transform(rows)
-                rows = rows.withColumn("_m", F.col("_m") + F.col("_t") * weights[i]).drop("_t")
-                rows = rows.withColumn(f"_m{i}", F.col("_m"))
-                margins.append(i)
-            points = F.array(*[F.struct(F.lit(i + 1).alias("round"), F.col(f"_m{i}").alias("m")) for i in margins])
-            cells = rows.select("is_test", "_yes", F.inline(points))
-            signed = F.when(F.col("_yes"), F.col("m")).otherwise(-F.col("m")) * 2
-            loss = F.when(signed > 0, F.log1p(F.exp(-signed))).otherwise(F.log1p(F.exp(signed)) - signed)
-            curve = cells.groupBy("round", "is_test").agg(
-                F.avg(loss).alias("logloss"),
-                F.avg(((F.col("m") > 0) != F.col("_yes")).cast("int")).alias("error"),
-            ).select(F.lit(positive).alias("class"), "round", "is_test", "logloss", "error")
-            out = curve if out is None else out.unionByName(curve)
-            # Written, so that the next pass does not evaluate these trees again.
-            rows = materialize(rows.drop(*[f"_m{i}" for i in margins]))
-    return out
+    rows = [
+        (i, test, curve[2 * test], curve[2 * test + 1])
+        for i, curve in enumerate(model.parts[0].curves, 1) for test in (False, True) if not math.isnan(curve[2 * test])
+    ]
+    return df.sparkSession.createDataFrame(rows, "round int, is_test boolean, logloss double, error double")
 
 
 def feature_importance(spark: SparkSession, model: Model) -> DataFrame:
-    """``feature, importance`` averaged over the models of the classes (gain)."""
-    total = sum(part.featureImportances.toArray() for part in model.parts) / len(model.parts)
-    return spark.createDataFrame(
-        [(i, float(v)) for i, v in enumerate(total)], "feature int, importance double"
-    )
+    """``feature, splits, importance``: how often trees split by a feature, and its share."""
+    counts = model.parts[0].split_counts()
+    rows = [(i, int(n), float(n / max(1, counts.sum()))) for i, n in enumerate(counts)]
+    return spark.createDataFrame(rows, "feature int, splits long, importance double")
 
 
 # --- storing --------------------------------------------------------------------------
@@ -286,10 +214,10 @@ def feature_importance(spark: SparkSession, model: Model) -> DataFrame:
 def save_model(spark: SparkSession, model: Model, folder: str) -> str:
     """Write the model below ``folder``; the descriptor is part of its name."""
     path = f"{folder.rstrip('/')}/{model.kind}_{model.descriptor or 'features'}"
-    for i, part in enumerate(model.parts):
-        part.write().overwrite().save(f"{path}/part-{i}")
+    if model.kind == "mlp":
+        model.parts[0].write().overwrite().save(f"{path}/part-0")
     facts = {
-        "kind": model.kind, "parts": len(model.parts), "n_classes": model.n_classes,
+        "kind": model.kind, "trees": model.parts[0].to_dict() if model.kind == "boosted" else None, "n_classes": model.n_classes,
         "n_features": model.n_features, "descriptor": model.descriptor,
         "class_names": model.class_names,
         "features": model.features.to_json() if model.features else None,
@@ -303,7 +231,7 @@ def save_model(spark: SparkSession, model: Model, folder: str) -> str:
 
 def load_model(spark: SparkSession, path: str) -> Model:
     facts = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    reader = GBTClassificationModel if facts["kind"] == "boosted" else MultilayerPerceptronClassificationModel
-    parts = [reader.load(f"{path}/part-{i}") for i in range(facts.pop("parts"))]
+    trees = facts.pop("trees")
+    parts = [Booster.from_dict(trees) if trees else MultilayerPerceptronClassificationModel.load(f"{path}/part-0")]
     stored = facts.pop("features")
     return Model(parts=parts, features=FittedFeatures.from_json(stored) if stored else None, path=path, **facts)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flighttone.operators import affinity, classify, cluster, features, joins, neighbours, pairwise, spectral
+from flighttone.operators import affinity, boosting, classify, cluster, features, joins, neighbours, pairwise, spectral
 from flighttone.operators.features import FeatureSpec
 from tests.conftest import blobs, matrix
 
@@ -461,6 +461,66 @@ def test_two_classes_curves_and_importance(spark):
     assert {r["is_test"]: r["e"] for r in wrong.collect()} == pytest.approx(last)
 
 
+def marked(spark, x, y, share=0.25):
+    test = np.arange(len(y)) % int(1 / share) == 0
+    rows = [(i, [float(v) for v in r], int(c), bool(t)) for i, (r, c, t) in enumerate(zip(x, y, test))]
+    return spark.createDataFrame(rows, "rec_id long, features array<double>, label int, is_test boolean"), test
+
+
+def test_classes_share_one_loss(spark, monkeypatch):
+    """Curves are those of the kept model's own probabilities, margins stored in between; any layout gives the same trees."""
+    monkeypatch.setattr(boosting, "STORED", 2)
+    monkeypatch.setattr(boosting, "FAN", 2)
+    monkeypatch.setattr(boosting, "CHUNK_BYTES", 4000)
+    rng = np.random.default_rng(6)
+    x = np.hstack([rng.normal(0, 1, (300, 4)), np.full((300, 1), 2.0)])
+    y = (x[:, 0] + rng.normal(0, 0.3, 300) > 0).astype(int) + (x[:, 1] * x[:, 2] > 0.2)
+    x[::17, 3] = np.nan
+    df, test = marked(spark, x, y)
+    models = [classify.train_boosted(d, rounds=5, depth=3) for d in (df.coalesce(1), df.orderBy(F.desc("rec_id")).repartition(7))]
+    one, two = (m.parts[0] for m in models)
+    assert [vars(t) for r in one.trees for t in r] == [vars(t) for r in two.trees for t in r] and one.curves == two.curves
+    assert {len(r) for r in one.trees} == {3}
+    p = one.probabilities(x)
+    np.testing.assert_allclose(p.sum(axis=1), 1)
+    for part, at in ((~test, 0), (test, 2)):
+        loss, error = one.curves[-1][at : at + 2]
+        assert loss == pytest.approx(-np.log(p[part, y[part]]).mean(), abs=1e-4)
+        assert error == pytest.approx((p[part].argmax(axis=1) != y[part]).mean())
+    assert one.curves[-1][0] < one.curves[0][0] and one.split_counts()[4] == 0
+    again = boosting.Booster.from_dict(json.loads(json.dumps(one.to_dict())))
+    np.testing.assert_array_equal(again.probabilities(x), p)
+
+
+def test_root_splits_are_the_best(spark):
+    """Every cut of every feature tried by hand, with the leaves' values."""
+    rng = np.random.default_rng(7)
+    x, y = np.round(rng.normal(0, 1, (80, 3)), 1), rng.integers(0, 2, 80)
+    df, test = marked(spark, x, y)
+    tree = classify.train_boosted(df, rounds=1, depth=1).parts[0].trees[0][0]
+    g, h, seen = 0.5 - y[~test], np.full((~test).sum(), 0.25), x[~test]
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max(
+        (round(score(seen[:, f] < c) + score(seen[:, f] >= c), 9), -f, -c)
+        for f in range(3) for a, b in zip(np.unique(seen[:, f]), np.unique(seen[:, f])[1:]) for c in [(a + b) / 2]
+        if min((seen[:, f] < c).sum(), (seen[:, f] >= c).sum()) >= 4
+    )
+    assert (tree.feature[0], tree.cut[0]) == (-best[1], pytest.approx(-best[2]))
+    low = seen[:, tree.feature[0]] < tree.cut[0]
+    want = [-0.3 * g[m].sum() / (h[m].sum() + 1) for m in (low, ~low)]
+    assert tree.value[1:] == pytest.approx(want, abs=1e-4)
+
+
+def test_training_ends_where_nothing_splits(spark):
+    x = np.repeat(np.arange(3.0), 40)[:, None]
+    df, _ = marked(spark, x, np.repeat(np.arange(3), 40))
+    model = classify.train_boosted(df)
+    assert 3 < len(model.parts[0].trees) < 60
+    assert classify.predict(model, df).join(df.withColumnRenamed("label", "y"), "rec_id").filter("label <> y").count() == 0
+    with pytest.raises(ValueError, match="learn"):
+        classify.train_boosted(df.withColumn("is_test", F.lit(True)))
+
+
 def test_boosting_stops_after_rounds_without_gain():
     losses = [5, 4, 4.5, 4.6, 3, 3.5, 3.4, 3.3, 2]
     assert classify._best_round(losses, 0.0, 10) == (9, False)
