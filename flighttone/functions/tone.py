@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +104,12 @@ def _lag_correlation(x: np.ndarray, stop: int) -> np.ndarray:
 def autocorrelation_curve(df: DataFrame, p: Params = DEFAULT, column: str = "waveform") -> DataFrame:
     """Curve ``ac`` by lag and its peaks ``ac_peak_idx``.
 
-    The curve ends with the first lag out of range, where it is 0 by definition.
+    The curve ends with the first lag out of range, where it is 0 by definition.  With
+    ``use_unbiased`` the smooth bias under the waveform is taken off first.
     """
+    if p.use_unbiased:
+        free = als_baseline(df, column=column).withColumn("_free", F.zip_with(column, "bias", lambda x, b: x - b))
+        return autocorrelation_curve(free, dataclasses.replace(p, use_unbiased=False), "_free").drop("_free", "bias")
     curve = df.withColumn("ac", row_map(lambda x: _lag_correlation(x, p.lag_stop))(column))
     return find_peaks(curve, "ac", p.ac_threshold, name="ac_peak_idx")
 
@@ -116,7 +122,7 @@ def best_lag(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """
     vertex = F.expr(
         f"transform(slice(filter(ac_peak_idx, l -> l >= {p.lag_start}), 1, {p.ac_peaks}), l -> struct(l,"
-        " ac[l] as b, 0.5D * (ac[l - 1] - ac[l + 1]) / (ac[l - 1] - 2D * ac[l] + ac[l + 1]) as s,"
+        " ac[l] as b, coalesce(try_divide(0.5D * (ac[l - 1] - ac[l + 1]), ac[l - 1] - 2D * ac[l] + ac[l + 1]), 0D) as s,"
         " ac[l - 1] - ac[l + 1] as d))"
     )
     refined = df.withColumn("_vertex", vertex).withColumn(

@@ -28,12 +28,16 @@ def _bandwidths(d2: np.ndarray, target: float) -> np.ndarray:
     return np.exp((low + high) / 2)
 
 
-def conditional_affinity(df: DataFrame, perplexity: float = 50) -> DataFrame:
-    """``rec_id, other, p``: shares of the three-times-perplexity nearest neighbours.
+#: Neighbours looked at for each unit of perplexity; affinities beyond them are 0.
+NEIGHBOURS = 3.0
+
+
+def conditional_affinity(df: DataFrame, perplexity: float = 50, neighbours: float = NEIGHBOURS) -> DataFrame:
+    """``rec_id, other, p``: shares of the ``neighbours * perplexity`` nearest neighbours, all others having none.
 
     The neighbours of one recording are a short list, so each search stays in a row.
     """
-    near = nearest(df, int(3 * perplexity))
+    near = nearest(df, int(neighbours * perplexity))
     lists = near.groupBy("rec_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "other", "distance"))).alias("near")
     )
@@ -56,9 +60,9 @@ def conditional_affinity(df: DataFrame, perplexity: float = 50) -> DataFrame:
     )
 
 
-def neighbour_affinity(df: DataFrame, perplexity: float = 50) -> DataFrame:
+def neighbour_affinity(df: DataFrame, perplexity: float = 50, neighbours: float = NEIGHBOURS) -> DataFrame:
     """Symmetric affinities ``rec_id, other, p`` that add up to 1."""
-    one_way = conditional_affinity(df, perplexity)
+    one_way = conditional_affinity(df, perplexity, neighbours)
     both = one_way.unionByName(
         one_way.select(F.col("other").alias("rec_id"), F.col("rec_id").alias("other"), "p")
     )

@@ -266,24 +266,25 @@ def _tree_sum(parts: DataFrame, size: int, blocks: int) -> np.ndarray:
     return total
 
 
-def fit_rbm(df: DataFrame, units: int, rate: float = 0.1, rounds: int = 100, seed: int = RBM_SEED, batch_rows: int = 10) -> dict:
+def fit_rbm(df: DataFrame, units: int, rate: float = 0.1, rounds: int = 100, seed: int = RBM_SEED, batch_rows: int = 10,
+            minmax: bool = False) -> dict:
     """Contrastive divergence of ``(rec_id, features)`` by batches of ``batch_rows``.
 
     Rows are dealt to blocks by the hash of their ids.  In each round every block learns from its batches one after the
     other, starting from the same weights, and the blocks' changes are averaged by their rows.  The weights are
     the same however the table is laid out: a row's draws come from seed, round, id and unit, and sums
-    are added up in one order.  Where features leave 0 to 1, each is brought there first by its own
+    are added up in one order.  With ``minmax`` each feature is brought to 0 to 1 first by its own
     range, which ``low`` and ``range`` hold.  ``loss`` holds the mean reconstruction error of every round.
     """
     spark = df.sparkSession
     width = check_width(df)
     if width is None:
         raise ValueError("an empty table cannot be learned")
-    ends = df.agg(*[f(F.col("features")[i]) for i in range(width) for f in (F.min, F.max)]).first()
-    low, high = np.array(ends[::2], float), np.array(ends[1::2], float)
-    if low.min() >= 0 and high.max() <= 1:
-        low, high = np.zeros(width), np.ones(width)
-    scale = np.where(high > low, high - low, 1.0)
+    low, scale = np.zeros(width), np.ones(width)
+    if minmax:
+        ends = df.agg(*[f(F.col("features")[i]) for i in range(width) for f in (F.min, F.max)]).first()
+        low, high = np.array(ends[::2], float), np.array(ends[1::2], float)
+        scale = np.where(high > low, high - low, 1.0)
     held = _blocks_of(df)
     blocks = held.count()
     size = (width + 1) * (units + 1)

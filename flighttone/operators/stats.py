@@ -93,9 +93,15 @@ def group_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def load_report(df: DataFrame) -> DataFrame:
-    """Files per group and the total on every row; no rows means no data."""
+def load_report(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Files per group and the total on every row; no rows means no data.
+
+    ``groups``, a table of group names as ``order.group_dim`` gives it, adds those without a readable file, counted 0.
+    """
     counts = df.groupBy("group_name").agg(F.count(F.lit(1)).alias("n"))
+    if groups is not None:
+        none = groups.select("group_name", F.lit(0).cast("long").alias("n"))
+        counts = counts.unionByName(none).groupBy("group_name").agg(F.sum("n").alias("n"))
     return counts.withColumn("total", counts.agg(F.sum("n")).scalar())
 
 

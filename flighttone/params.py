@@ -46,6 +46,7 @@ class Params:
     # autocorrelation
     ac_threshold: float = 0.1
     ac_peaks: int = 2
+    use_unbiased: bool = False
     # harmonic analysis
     ha_hypotheses: int = 3
     ha_peaks: int = 5

@@ -18,6 +18,9 @@ CSV_HEADER = (
     "Power", "Fs[Hz]", "Waveform",
 )
 
+#: Bytes of a part file, about, and of one value in it.
+PART_BYTES, VALUE_BYTES = 128 << 20, 20
+
 
 def _laid_out(df: DataFrame, key: str, compact: bool) -> DataFrame:
     """Rows as they are, so nothing is shuffled and a task writes a file per value of ``key``.
@@ -41,14 +44,24 @@ def export_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """CSV in load order.  Rows are as wide as their waveform; every part file has the header."""
-    rows = export_rows(df.orderBy("load_seq")).drop("rec_id")
-    cells = [F.col(c).cast("string") for c in rows.columns if c != "waveform"]
+def write_results(df: DataFrame, path: str, rows: int | None = None) -> None:
+    """CSV in load order, some ``rows`` to a part file; every part has the header.
+
+    Parts are planned from the narrow ``load_seq`` alone, so waveforms are read and moved once,
+    each straight to its part, and only the rows of one part are sorted.
+    """
+    first, last = df.agg(F.min("load_seq"), F.max("load_seq")).first()
+    first, last = first or 0, last or 0
+    one = df.select(F.size("waveform").alias("n")).first()
+    rows = rows or max(1, PART_BYTES // (VALUE_BYTES * (len(CSV_HEADER) + max(one.n if one else 0, 0))))
+    parts = -(-(last - first + 1) // rows)
+    placed = df.repartitionById(parts, F.floor((F.col("load_seq") - first) / rows).cast("int")).sortWithinPartitions("load_seq")
+    found = export_rows(placed).drop("rec_id")
+    cells = [F.col(c).cast("string") for c in found.columns if c != "waveform"]
     samples = F.array_join(F.transform("waveform", lambda x: x.cast("string")), ",")
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells], samples)
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    lines = rows.select(line.alias("value"), first.alias("first")).select(
+    head = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = found.select(line.alias("value"), head.alias("first")).select(
         F.explode(
             F.when(F.col("first"), F.array(F.lit(",".join(CSV_HEADER)), F.col("value"))).otherwise(
                 F.array("value")

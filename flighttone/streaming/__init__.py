@@ -24,6 +24,7 @@ FILES = StructType(
 def stream_recordings(spark: SparkSession, root: str, group_dim: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """New files below ``root`` as recordings, with the ids of the groups known in ``group_dim``.
 
+    Files directly below ``root`` are left out, as in a finished tree, unless ``group_dim`` holds the root's own name, which is then their group.
     Files of a new group are kept; their ``group_id`` is null until the group is known.
 
     Decoding and every attribute are maps over files, so they need no state and
@@ -39,6 +40,9 @@ def stream_recordings(spark: SparkSession, root: str, group_dim: DataFrame, p: P
     placed = files.withColumns(
         {"rec_id": F.xxhash64("path"), "group_name": F.regexp_extract(inside, r"^([^/]+)/", 1)}
     )
-    # As in a finished tree, files beside the groups are left out.
+    own = plain.rsplit("/", 1)[-1]
+    if not group_dim.filter(F.col("group_name") == own).isEmpty():
+        loose = (F.col("group_name") == "") & (inside != "")
+        placed = placed.withColumn("group_name", F.when(loose, F.lit(own)).otherwise(F.col("group_name")))
     grouped = placed.filter("group_name <> ''")
     return decode_files(grouped.join(small_side(group_dim), "group_name", "left"), p)

@@ -352,7 +352,7 @@ def test_machine_does_not_hang_on_the_layout(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.where(np.arange(200)[:, None] % 2, rng.normal(5, 1, (200, 6)), rng.normal(-3, 1, (200, 6)))
     df = matrix(spark, x)
-    fits = [features.fit_rbm(d, 4, rate=1.0, rounds=6) for d in (df.coalesce(1), df.repartition(4), df.orderBy(F.desc("rec_id")).repartition(8))]
+    fits = [features.fit_rbm(d, 4, rate=1.0, rounds=6, minmax=True) for d in (df.coalesce(1), df.repartition(4), df.orderBy(F.desc("rec_id")).repartition(8))]
     assert fits[0] == fits[1] == fits[2] and fits[0]["loss"][-1] < fits[0]["loss"][0]
     np.testing.assert_allclose(fits[0]["low"], x.min(axis=0))
     np.testing.assert_allclose(fits[0]["range"], np.ptp(x, axis=0))

@@ -264,3 +264,14 @@ def test_mother_wavelets_have_unit_norm():
 def test_default_image_size():
     f = wavelets.cwt_frequencies()
     assert len(f) == 381 and f[0] == 200 and f[-1] == 4000
+
+
+def test_unbiased_waveforms_are_correlated_on_request(spark):
+    """A slow bias hides the tone unless it is taken off."""
+    t = np.arange(1600) / 8000
+    biased = np.sin(2 * np.pi * 400 * t) * 0.1 + 3 * np.exp(-((t - 0.1) ** 2) / 0.002)
+    rows = waves(spark, biased=biased)
+    p = dataclasses.replace(DEFAULT, use_unbiased=True)
+    with_bias, without = (tones.autocorrelation(rows, q).first() for q in (DEFAULT, p))
+    assert without["ac_f1"] == pytest.approx(400, rel=0.01) and without["ac_coeff"] > with_bias["ac_coeff"] - 1e-9
+    assert without.asDict().keys() == with_bias.asDict().keys() and not np.allclose(with_bias["ac"], without["ac"])

@@ -235,3 +235,21 @@ def test_group_follows_the_root_as_a_prefix(spark):
     assert sorted(found.values()) == ["g1", "g2"]
     uris = spark.createDataFrame([("file:///home/wav/g1/x.wav",)], "path string")
     assert with_group(uris, "file:/home/wav/").first().group_name == "g1"
+
+
+def test_export_is_in_load_order(spark, tmp_path):
+    """Parts follow each other, each in order with its header, also after rows were dropped and for a shuffled table."""
+    n = F.col("load_seq")
+    rows = spark.range(200).select(F.col("id").alias("load_seq"), F.col("id").alias("rec_id")).filter(n % 7 != 3)
+    rows = rows.filter(~n.between(40, 59)).withColumns(
+        {c: F.lit(1.0) for c in ("temp", "rh", "ac_f1", "ac_coeff", "ha_f1", "dur_ms", "s2n", "s2n_freq", "fd_power", "fs")}
+    ).withColumns({"dt": F.lit("2022-01-01").cast("timestamp"), "elapsed_s": n, "label": F.lit(0), "ha_count": F.lit(1), "waveform": F.array(n * 1.0)})
+    sinks.write_results(rows.repartition(5), str(tmp_path / "csv"), rows=20)
+    met = []
+    for part in sorted((tmp_path / "csv").glob("part-*")):
+        lines = part.read_text().splitlines()
+        assert lines[0].split(",") == list(sinks.CSV_HEADER) and len(lines) <= 21
+        met += [int(line.split(",")[1]) for line in lines[1:]]
+    assert met == [i for i in range(200) if i % 7 != 3 and not 40 <= i <= 59]
+    sinks.write_results(rows.limit(0), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
