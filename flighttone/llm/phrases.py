@@ -12,11 +12,14 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flighttone.llm.texts import slim
@@ -25,6 +28,8 @@ SIZE = 64
 #: Rows of one range of ids, at most about; there are ``RANGES`` ranges for each shuffle partition at least.
 RANGE_ROWS = 100_000
 RANGES = 8
+#: Keys looked at for each range, and bytes of a text in a key.
+SAMPLED, HEAD_BYTES = 10, 32
 
 
 def parse(text: bytes, phrases: set[bytes], fresh: list[bytes], begin: int = 0) -> int:
@@ -87,30 +92,63 @@ def _hex(found: list[int]) -> str:
     return np.array(found, ">u4").tobytes().hex()
 
 
-def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Ends of ranges of ids with some ``rows`` rows each, and ``(range, least id)`` of those not empty.
+#: A place in the order of documents: id, first bytes and hash of the text; a null id comes first.
+_Key = tuple[int, bytes, int]
+_NONE = -(1 << 63) - 1
 
-    The driver holds two numbers for each range.
-    """
-    ids = docs.select("doc_id")
-    n = ids.count()
-    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-n // rows), min(n // 50, RANGES * shuffled))
-    ends = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    ends = [int(e) for e in ends]
-    found = ids.groupBy(_range_of(ends).alias("range")).agg(
-        F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none")
-    )
-    heads = [(r.range, None if r.none else r.least) for r in found.collect()]
-    return ends, sorted(heads, key=lambda x: x[0])
 
+def _keys() -> list[Column]:
+    return [F.substring(F.col("text").cast("binary"), 1, HEAD_BYTES).alias("head"), F.xxhash64("text").alias("hash")]
+
+
+@dataclass
+class Ranges:
+    """Ranges of keys with some rows each; a key of very many rows, which are equal, has ``parts`` numbers of its own."""
+
+    ends: list[_Key]
+    parts: dict[int, int]
+    first: list[int]
+
+    @staticmethod
+    def of(ends: list[_Key], hot: dict[_Key, int]) -> Ranges:
+        ends = sorted({*ends, *hot, *((i, head, h + 1) for i, head, h in hot)})
+        parts = {bisect_right(ends, key): n for key, n in hot.items()}
+        sizes = [parts.get(r, 1) for r in range(len(ends) + 1)]
+        return Ranges(ends, parts, [0, *accumulate(sizes)])
+
+    def followers(self, heads: dict[int, _Key]) -> dict[_Key, list[int]]:
+        """Numbers to whose end the first document of each range goes: that before it, and those of equal rows but the last."""
+        met = sorted(heads)
+        out = {}
+        for before, r in zip([*met[-1:], *met], met):
+            last = self.first[before] + self.parts.get(before, 1) - 1
+            out[heads[r]] = [last, *range(self.first[r], self.first[r] + self.parts.get(r, 1) - 1)]
+        return out
+
+
+def _plan(rows: DataFrame, range_rows: int) -> tuple[Ranges, dict[_Key, list[int]]]:
+    """Ranges of some ``range_rows`` rows, and the followers.  The driver holds some ten keys for each range."""
+    keys = rows.select("doc_id", *_keys())
+    n = keys.count()
+    shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // range_rows), min(n // 50, RANGES * shuffled))
+    own = lambda r: (_NONE if r.doc_id is None else r.doc_id, bytes(r.head), r.hash)
+    some = sorted(map(own, keys.sample(min(1.0, SAMPLED * parts / n), seed=1).collect())) if parts > 1 else []
+    ends = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
+    each = -(-n // parts)
+    # At most half as many as there are ranges.
+    counts = keys.groupBy("doc_id", "head", "hash").count().filter(F.col("count") > 2 * each).collect() if parts > 1 else []
+    ranges = Ranges.of(ends, {own(r): -(-r["count"] // each) for r in counts})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bisect_right(ranges.ends, (_NONE if i is None else i, head, h)) for i, head, h in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *batch.columns], names=["range", "doc_id", "head", "hash"])
 
-def _range_of(ends: list[int]):
-    """Number of the range of ``doc_id``; null ids are in the first."""
-    search = F.pandas_udf(lambda ids: ids.map(lambda x: bisect_right(ends, x)), "int")
-    # A column with nulls would come as doubles, which are too coarse for large ids.
-    below = F.lit(-(1 << 63)).cast("long")
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(search(F.coalesce("doc_id", below))) if ends else F.lit(0)
+    placed = keys.mapInArrow(place, "range int, doc_id long, head binary, hash long")
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "head", "hash")).alias("first")
+    heads = {r.range: own(r.first) for r in placed.groupBy("range").agg(first).select("range", "first").collect()}
+    return ranges, ranges.followers(heads)
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -119,36 +157,50 @@ def fingerprints(docs: DataFrame, size: int = SIZE, range_rows: int = RANGE_ROWS
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``.  The edited text has the last quarter of its code points
     (rounded down) replaced by as many of the next document's first.  Documents are
-    ordered by id, null first, then by text; after the last comes the first, and
+    ordered by id, null first, then by the first bytes and a hash of the text; after the last comes the first, and
     a single document follows itself.  Null texts are empty; a text without a phrase has an
     empty fingerprint.  Repeated rows are documents of their own; an empty table
     gives no rows; other columns are not read.
 
-    Documents are dealt to ranges of ids once; the first document of a range
-    goes to the end of the range before as well, so tasks need no other rows.
+    Documents are dealt to ranges once; the first document of a range goes to the end of the range
+    before as well, so tasks need no other rows.  Very many equal rows are dealt to ranges of their own, in each of which
+    they follow each other; the last of these, which every task deals to first, is where the next document follows.
     """
     rows = slim(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    ends, heads = _ranges(rows, range_rows)
-    ranges = [r for r, _ in heads]
-    before = {least: ranges[i - 1] for i, (_, least) in enumerate(heads)}
-    last = ranges[-1] if ranges else 0
+    ranges, followers = _plan(rows, range_rows)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[_Key] = set()
+        dealt: dict[int, int] = {}
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            home = [0 if i is None else bisect_right(ends, i) for i in ids]
-            again = [n for n, i in enumerate(ids) if i in before]
-            take = pa.array([*range(len(ids)), *again])
-            where = [*home, *(before[ids[n]] for n in again)]
-            follows = [False] * len(ids) + [True] * len(again)
+            take, where, follows = [], [], []
+            for n, (i, _, head, h) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                key = (_NONE if i is None else i, head, h)
+                r = bisect_right(ranges.ends, key)
+                number = ranges.first[r]
+                if r in ranges.parts:
+                    many = ranges.parts[r] - 1
+                    turn = dealt.setdefault(r, -1)
+                    number += many if turn < 0 else turn % many
+                    dealt[r] = TaskContext.get().partitionId() if turn < 0 else turn + 1
+                take.append(n)
+                where.append(number)
+                follows.append(False)
+                if key in followers and key not in sent:
+                    sent.add(key)
+                    for to in followers[key]:
+                        take.append(n)
+                        where.append(to)
+                        follows.append(True)
+            chosen = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), pa.array(follows), *(c.take(take) for c in batch.columns)],
+                [pa.array(where, pa.int32()), pa.array(follows, pa.bool_()), batch.column("doc_id").take(chosen), batch.column("text").take(chosen)],
                 names=["range", "follows", "doc_id", "text"],
             )
 
-    dealt = rows.mapInArrow(deal, "range int, follows boolean, doc_id long, text string")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(ranges) // RANGES)
-    placed = dealt.repartition(parts, "range").sortWithinPartitions("range", "follows", "doc_id", "text")
+    dealt = rows.select("doc_id", "text", *_keys()).mapInArrow(deal, "range int, follows boolean, doc_id long, text string")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges.first[-1] // RANGES)
+    placed = dealt.repartition(parts, "range").sortWithinPartitions("range", "follows", "doc_id", *_keys())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

@@ -587,6 +587,33 @@ def test_phrases(docs, awkward, rows):
     assert collections.Counter(map(tuple, found)) == expected
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_phrases_of_one_id(spark, key):
+    """Rows of one id and equal rows are dealt to many ranges, and each is followed by the next."""
+    rows = [(key, "the same text, again and again")] * 300 + [(key, f"{'x' * 40} {i}") for i in range(150)] + [(9, "the end")]
+    held = table(spark, rows).repartition(5)
+    ranges, _ = phrases._plan(texts.slim(held, "doc_id"), 20)
+    assert len(ranges.parts) == 1 and ranges.parts.popitem()[1] >= 7 and len(ranges.ends) > 6
+    found = phrases.fingerprints(held, range_rows=20).collect()
+    assert len(found) == len(rows)
+    same = sum(r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"the same text, again anthe sam").hexdigest() for r in found)
+    assert same == 299
+    fit = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()
+    said = collections.Counter(r.edited_sha256 for r in found)
+    assert said[fit("the end", rows[0][1])] == 1
+    # Of the others every one but the last is followed by one of them, all of which begin alike.
+    assert sum(said[x] for x in {fit(t, "x" * 40) for _, t in rows[300:450]}) == 149
+
+
+def test_hub_of_many_links(spark, monkeypatch):
+    kept, met = graph.join_unique, []
+    monkeypatch.setattr(graph, "HOT_ROWS", 10)
+    monkeypatch.setattr(graph, "join_unique", lambda *a: met.append(1) or kept(*a, hot_rows=10))
+    links = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 130)] + [(59, 60), (60, 61), (200, 201)]
+    found = dict(map(tuple, graph.components(spark.createDataFrame(links, "u long, v long")).collect()))
+    assert met and found == {**{i: 0 for i in range(1, 62)}, **{i: 100 for i in range(101, 130)}, 201: 200}
+
+
 def test_phrases_edges(spark, nothing):
     assert phrases.fingerprints(nothing).count() == 0
     alone = phrases.fingerprints(table(spark, [(1, "abcdefgh")])).first()
