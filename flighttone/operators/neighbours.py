@@ -11,7 +11,7 @@ them is how far a row has to look at most, and blocks beyond that are never met.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flighttone.operators.pairwise import BLOCK_BYTES, STRIP, _squared, _stack
+from flighttone.operators.blocks import BLOCK_BYTES, STRIP, squared, stack
 from flighttone.scale import materialize, with_position
 
 #: Pivots, cells, and rows and bytes of the sample they are taken from, at most.
@@ -35,7 +35,7 @@ def _sample(df: DataFrame, width: int) -> np.ndarray:
     """Features of the rows with the smallest hashes of their ids."""
     rows = min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * width)))
     found = df.orderBy(F.xxhash64("rec_id"), "rec_id").limit(rows).select("features").toPandas()
-    return _stack(found["features"])
+    return stack(found["features"])
 
 
 def _apart(sample: np.ndarray, count: int) -> np.ndarray:
@@ -61,48 +61,57 @@ def _sizes(df: DataFrame, k: int, block_rows: int | None) -> tuple[int, int, int
     return n, width, block_rows or max(4 * k, 256, min(most, math.ceil(n / busy)))
 
 
-def _placed(df: DataFrame, width: int, n: int, k: int, block_rows: int) -> DataFrame:
-    """``rec_id, features, pivots, bound, block``, written once.
+def place_rows(df: DataFrame, width: int, n: int, block_rows: int, cells: int, k: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """``rec_id, features, pivots, bound, block`` and the ``extra`` columns, written once.
 
     The centres of the cells are rows as well, so the ``k``-th neighbour is no farther than ``bound``, that of the centres.
     """
     sample = _sample(df, width)
-    pivots, cells = _apart(sample, PIVOTS), sample[: min(CELLS, math.ceil(n / block_rows))]
-    sent = df.sparkSession.sparkContext.broadcast((pivots, cells))  # bounded by SAMPLE_BYTES
+    pivots, centres = _apart(sample, PIVOTS), sample[: min(CELLS, max(1, cells))]
+    sent = df.sparkSession.sparkContext.broadcast((pivots, centres))  # bounded by SAMPLE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, cells = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _stack(batch.column("features").to_pandas())
+            x = stack(batch.column("features").to_pandas())
             to_pivots = np.sqrt([((x - p) ** 2).sum(axis=1) for p in pivots]).T
             to_cells = np.stack([((x - c) ** 2).sum(axis=1) for c in cells], axis=1)
             cell = to_cells.argmin(axis=1)
-            # A centre is the nearest to itself, hence one place more.
-            bound = np.sqrt(np.partition(to_cells, k, axis=1)[:, k]) if len(cells) > k else np.full(len(x), np.inf)
+            bound = np.full(len(x), np.inf)
+            if k is not None and len(cells) > k:
+                # A centre is the nearest to itself, hence one place more.
+                bound = np.sqrt(np.partition(to_cells, k, axis=1)[:, k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rec_id"), batch.column("features"), pa.array(list(to_pivots), pa.list_(pa.float64())),
+                [*batch.columns, pa.array(list(to_pivots), pa.list_(pa.float64())),
                  pa.array(bound), pa.array(cell.astype(np.int64)), pa.array(to_cells[np.arange(len(x)), cell])],
-                names=["rec_id", "features", "pivots", "bound", "cell", "far"],
+                names=[*batch.schema.names, "pivots", "bound", "cell", "far"],
             )
 
-    schema = "rec_id long, features array<double>, pivots array<double>, bound double, cell long, far double"
-    dealt = df.select(F.col("rec_id").cast("long"), F.col("features").cast("array<double>")).mapInArrow(run, schema)
-    placed = with_position(dealt, ["cell", "far", "rec_id"], "_at")
+    narrow = df.select(F.col("rec_id").cast("long"), F.col("features").cast("array<double>"), *[F.col(c).cast("long") for c in extra])
+    schema = "rec_id long, features array<double>, " + "".join(f"{c} long, " for c in extra) + "pivots array<double>, bound double, cell long, far double"
+    placed = with_position(narrow.mapInArrow(run, schema), ["cell", "far", "rec_id"], "_at")
     # A block is within one cell; there are at most CELLS of these.
     starts = placed.groupBy("cell").agg(F.min("_at").alias("_start"), F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
     before = F.sum("_blocks").over(Window.orderBy("cell")) - F.col("_blocks")
     starts = starts.select("cell", "_start", before.alias("_before"))
     block = F.col("_before") + F.floor((F.col("_at") - F.col("_start")) / block_rows)
-    return placed.join(F.broadcast(starts), "cell").select("rec_id", "features", "pivots", "bound", block.alias("block"))
+    return placed.join(F.broadcast(starts), "cell").select("rec_id", "features", *extra, "pivots", "bound", block.alias("block"))
+
+
+def pivot_ranges(placed: DataFrame) -> DataFrame:
+    """``block, low, high``: the ranges of its rows' distances to each pivot."""
+    cells = placed.select("block", F.posexplode("pivots").alias("p", "d")).groupBy("block", "p").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    packed = F.sort_array(F.collect_list(F.struct("p", "low", "high")))
+    return materialize(cells.groupBy("block").agg(packed.alias("r")).select("block", F.col("r.low").alias("low"), F.col("r.high").alias("high")))
 
 
 def _best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The ``k`` nearest of ``y`` for each row of ``x``: row, other id, distance, in this order; ties by id."""
     parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for i in range(0, len(x), STRIP):
-        d2 = _squared(x[i : i + STRIP], y)
+        d2 = squared(x[i : i + STRIP], y)
         d2[ids[i : i + STRIP, None] == others] = np.inf
         at = min(k, len(others)) - 1
         last = np.partition(d2, at, axis=1)[:, at]
@@ -119,14 +128,14 @@ def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
     """Rows with ``reach`` and their neighbours in the block; one row of each block has the ranges of its pivot distances."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _stack(table["features"]), table["rec_id"].to_numpy()
+        x, ids = stack(table["features"]), table["rec_id"].to_numpy()
         rows, others, distances = _best(x, ids, x, ids, k)
         first = np.searchsorted(rows, np.arange(len(x) + 1))
         reach = table["bound"].to_numpy().copy()
         full = np.diff(first) == k
         reach[full] = np.minimum(reach[full], distances[first[1:][full] - 1])
         cut = list(zip(first, first[1:]))
-        pivots = _stack(table["pivots"])
+        pivots = stack(table["pivots"])
         head = [None] * (len(x) - 1)
         return table.drop(columns="bound").assign(
             reach=reach, others=[others[a:b] for a, b in cut], distances=[distances[a:b] for a, b in cut],
@@ -152,17 +161,16 @@ def _slack(high: np.ndarray) -> float:
     return SLACK * float(high.max(initial=0))
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Blocks ``a`` and those ``b`` that may hold neighbours of their rows."""
-    blocks = rows.filter("low is not null").select("block", "low", "high", "most")
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Of ``block, low, high, most`` the blocks ``a`` and others ``b`` that may have rows within ``most`` of a's."""
     chunks = F.sequence(F.lit(0).cast("long"), F.floor(blocks.agg(F.max("block")).scalar() / CHUNK))
     own = F.floor(F.col("block") / CHUNK)
     left = blocks.withColumns({"ca": own, "cb": F.explode(chunks)})
     right = blocks.select(*[F.col(c).alias(c) for c in blocks.columns], own.alias("cb"), F.explode(chunks).alias("ca"))
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        low, high, there = _stack(mine["low"]), _stack(mine["high"]), _stack(theirs["high"])
-        gap = _gap(low, high, _stack(theirs["low"]), there)
+        low, high, there = stack(mine["low"]), stack(mine["high"]), stack(theirs["high"])
+        gap = _gap(low, high, stack(theirs["low"]), there)
         near = gap <= mine["most"].to_numpy()[:, None] + max(_slack(high), _slack(there))
         a, b = mine["block"].to_numpy(), theirs["block"].to_numpy()
         i, j = np.nonzero(near & (a[:, None] != b))
@@ -171,6 +179,10 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return left.groupBy("ca", "cb").cogroup(right.groupBy("ca", "cb")).applyInPandas(run, "a long, b long")
 
 
+def _heads(rows: DataFrame) -> DataFrame:
+    return rows.filter("low is not null").select("block", "low", "high", "most")
+
+
 def _across(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Neighbours of rows in the other blocks they have to look at."""
     mine = rows.select("rec_id", "features", "pivots", "reach", F.col("block").alias("a")).join(pairs, "a")
@@ -178,13 +190,13 @@ def _across(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     theirs = rows.select(*[F.col(c).alias(c) for c in ("rec_id", "features", "pivots")], F.col("block").alias("b")).join(pairs, "b")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, there = _stack(left["pivots"]), _stack(right["pivots"])
+        own, there = stack(left["pivots"]), stack(right["pivots"])
         gap = _gap(own, own, there.min(axis=0)[None], there.max(axis=0)[None])[:, 0]
         left = left[gap <= left["reach"].to_numpy() + max(_slack(own), _slack(there))]
         if left.empty:
             return pd.DataFrame({"rec_id": [], "other": [], "distance": []})
         ids = left["rec_id"].to_numpy()
-        found, others, distances = _best(_stack(left["features"]), ids, _stack(right["features"]), right["rec_id"].to_numpy(), k)
+        found, others, distances = _best(stack(left["features"]), ids, stack(right["features"]), right["rec_id"].to_numpy(), k)
         return pd.DataFrame({"rec_id": ids[found], "other": others, "distance": distances})
 
     return mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(run, "rec_id long, other long, distance double")
@@ -196,10 +208,10 @@ def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     n, width, size = _sizes(used, k, block_rows)
     if not n:
         return df.sparkSession.createDataFrame([], "rec_id long, other long, distance double, place int")
-    rows = materialize(_within_blocks(_placed(used, width, n, k, size), k))
+    rows = materialize(_within_blocks(place_rows(used, width, n, size, math.ceil(n / size), k), k))
     found = rows.select("rec_id", F.explode(F.arrays_zip("others", "distances")).alias("o")).select(
         "rec_id", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"))
-    found = found.unionByName(_across(rows, materialize(_block_pairs(rows)), k))
+    found = found.unionByName(_across(rows, materialize(block_pairs(_heads(rows))), k))
     order = Window.partitionBy("rec_id").orderBy("distance", "other")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
@@ -208,8 +220,8 @@ def met_share(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame
     """One row: ``blocks``, ``pairs`` of different blocks, ``met`` of them, and the ``share`` met in a search for ``k`` neighbours."""
     used = df.select("rec_id", "features")
     n, width, size = _sizes(used, k, block_rows)
-    rows = materialize(_within_blocks(_placed(used, width, n, k, size), k))
+    rows = materialize(_within_blocks(place_rows(used, width, n, size, math.ceil(n / size), k), k))
     blocks = rows.agg((F.max("block") + 1).alias("blocks")).scalar()
-    met = _block_pairs(rows).agg(F.count(F.lit(1)).alias("met")).select(blocks.alias("blocks"), "met")
+    met = block_pairs(_heads(rows)).agg(F.count(F.lit(1)).alias("met")).select(blocks.alias("blocks"), "met")
     pairs = F.col("blocks") * (F.col("blocks") - 1)
     return met.select("blocks", pairs.alias("pairs"), "met", F.try_divide("met", pairs).alias("share"))

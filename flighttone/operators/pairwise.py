@@ -19,6 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flighttone.operators import neighbours
+from flighttone.operators.blocks import BLOCK_BYTES, STRIP, squared, stack
 from flighttone.scale import (
     BROADCAST_ROWS,
     is_small,
@@ -27,26 +29,10 @@ from flighttone.scale import (
     with_position,
 )
 
-#: Bytes of features in one block.
-BLOCK_BYTES = 8 << 20
 #: Bytes of the means of labels a task holds at once.
 LABEL_BYTES = 32 << 20
-#: Rows aimed at in one cell of the grid for pairs within a distance.
+#: Rows aimed at in one cell where pairs within a distance are looked for.
 CELL_ROWS = 1000
-#: Rows of a block compared at once inside a task.
-STRIP = 1024
-
-
-def _stack(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()) if len(values) else np.empty((0, 0))
-
-
-def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances; the common offset is taken off first to keep digits."""
-    centre = x.mean(axis=0)
-    x, y = x - centre, y - centre
-    d2 = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-    return np.maximum(d2, 0, out=d2)
 
 
 def _within(x: np.ndarray, y: np.ndarray, d2: np.ndarray, eps: float) -> np.ndarray:
@@ -78,14 +64,18 @@ def _label_chunks(facts: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np
     for row in facts.toLocalIterator():
         rows.append(row)
         if len(rows) * 8 * width >= LABEL_BYTES:
-            yield np.array([r.label for r in rows]), np.array([r["mean"] for r in rows]), np.array([r.spread for r in rows])
+            yield _arrays(rows)
             rows = []
     if rows:
-        yield np.array([r.label for r in rows]), np.array([r["mean"] for r in rows]), np.array([r.spread for r in rows])
+        yield _arrays(rows)
+
 
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([r.label for r in rows]), np.array([r["mean"] for r in rows]), np.array([r.spread for r in rows])
 
-def _open_labels(df: DataFrame, facts: DataFrame, width: int) -> DataFrame:
-    """Rows with ``asked``: their own label and the others that may be the nearest on average.
+
+def _open_labels(df: DataFrame, facts: DataFrame, rows: list | None, width: int) -> DataFrame:
+    """``rows`` are the facts where they are few.  Rows with ``asked``: their own label and the others that may be the nearest on average.
 
     The mean distance to a label's rows is at least the distance to their mean, and at
     most the root of the mean squared distance, both by Jensen's inequality.
@@ -99,11 +89,11 @@ def _open_labels(df: DataFrame, facts: DataFrame, width: int) -> DataFrame:
             names, means, spreads = sent.value
             step = max(1, STRIP * STRIP // len(names))
             for batch in batches:
-                x, own = _stack(batch.column("features").to_pandas()), batch.column("label").to_numpy()
+                x, own = stack(batch.column("features").to_pandas()), batch.column("label").to_numpy()
                 least, asked = batch.column("least").to_numpy().copy(), batch.column("asked").to_pylist()
                 for i in range(0, len(x), step):
                     part = slice(i, i + step)
-                    d2 = _squared(x[part], means)
+                    d2 = squared(x[part], means)
                     other = own[part, None] != names
                     if not last:
                         most = np.where(other, np.sqrt(d2 + spreads), np.inf).min(axis=1)
@@ -121,9 +111,8 @@ def _open_labels(df: DataFrame, facts: DataFrame, width: int) -> DataFrame:
 
     schema = "rec_id long, label int, features array<double>, least double, asked array<int>"
     out = df.withColumns({"least": F.lit(float("inf")), "asked": F.array("label")})
-    chunks = list(_label_chunks(facts, width)) if facts.count() * 8 * width <= LABEL_BYTES else None
     for last in (False, True):
-        for chunk in chunks or _label_chunks(facts, width):
+        for chunk in _label_chunks(facts, width) if rows is None else [_arrays(rows)]:
             out = out.mapInArrow(run_with(chunk, last), schema)
     return out.drop("least")
 
@@ -144,43 +133,48 @@ def silhouette(df: DataFrame, ignore_noise: bool = False, method: str = "euclide
     if method == "squared":
         return _squared_silhouette(used)
     used = used.select(F.col("rec_id").cast("long"), F.col("label").cast("int"), F.col("features").cast("array<double>"))
-    n, width = used.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     facts = materialize(_label_facts(used))
-    if facts.limit(2).count() < 2:
+    labels, n, width = facts.agg(F.count(F.lit(1)), F.sum("size"), F.max(F.size("mean"))).first()
+    if labels < 2:
         return df.sparkSession.createDataFrame([(float("nan"),)], "silhouette double")
-    rows = block_rows or max(256, min(BLOCK_BYTES // (8 * max(width or 1, 1)), math.ceil(n / 8)))
-    asking = materialize(_open_labels(used, facts, max(width or 1, 1)))
+    few = labels * 8 * width <= LABEL_BYTES
+    rows = block_rows or max(256, min(BLOCK_BYTES // (8 * width), math.ceil(n / 8)))
+    asking = materialize(_open_labels(used, facts, facts.collect() if few else None, width))
     asks = asking.select("rec_id", "label", "features", F.explode("asked").alias("other"))
     wanted = asks.groupBy(F.col("other").alias("label")).agg(F.count(F.lit(1)).alias("asks"))
-    sized = facts.select("label", "size").join(wanted, "label")
+    sized = facts.select("label", "size").join(F.broadcast(wanted) if few else wanted, "label")
     blocks = sized.select(
         F.col("label").alias("other"), "size", "asks", F.ceil(F.col("asks") / rows).cast("int").alias("rows"),
         F.ceil(F.col("size") / rows).cast("int").alias("members"),
     )
+    blocks = df.sparkSession.createDataFrame(blocks.toArrow(), blocks.schema) if few else materialize(blocks)
     small = (F.col("rows") == 1) & (F.col("members") == 1)
-    bins = blocks.agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(small, F.col("asks"))), F.lit(0)) / rows))).first()[0]
+    bins = blocks.agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(small, F.col("asks"))), F.lit(0)) / rows))).scalar()
     # Labels of few rows share a group; one of many has groups of its own, for pairs of blocks.
-    group = F.when(small, F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("other"), F.lit(bins)).alias("id"))).otherwise(
+    group = F.when(small, F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("other"), bins).alias("id"))).otherwise(
         F.struct(F.lit(1).alias("kind"), F.col("other").cast("long").alias("id")))
-    blocks = materialize(blocks.withColumn("group", group))
+    blocks = blocks.withColumn("group", group)
+
+    def known(frame: DataFrame, facts: DataFrame, weight: str) -> DataFrame:
+        return frame.join(F.broadcast(facts), "other") if few else join_unique(frame, facts, ["other"], weight)
 
     def dealt(frame: DataFrame, weight: str, own: str, to: str, names: list[str]) -> DataFrame:
-        known = join_unique(frame, blocks.select("other", "group", "rows", "members", F.col(weight).alias("_w")), ["other"], "_w")
+        met = known(frame, blocks.select("other", "group", "rows", "members", F.col(weight).alias("_w")), "_w")
         home = F.pmod(F.xxhash64("rec_id"), F.col(own)).cast("int").alias(own)
         spread = F.explode(F.sequence(F.lit(0), F.col(to) - 1)).alias(to)
         # A name of its own on each side of the pair.
-        return known.select(F.col("group").alias("group"), *names, home, spread).groupBy("group", "rows", "members")
+        return met.select(F.col("group").alias("group"), *names, home, spread).groupBy("group", "rows", "members")
 
     def distances(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = mine.sort_values("other", kind="stable"), theirs.sort_values("other", kind="stable")
-        x, y, out = _stack(mine["features"]), _stack(theirs["features"]), np.zeros(len(mine))
+        x, y, out = stack(mine["features"]), stack(theirs["features"]), np.zeros(len(mine))
         names, first = np.unique(mine["other"].to_numpy(), return_index=True)
         members = theirs["other"].to_numpy()
         for name, a, b in zip(names, first, [*first[1:], len(mine)]):
             those = y[np.searchsorted(members, name) : np.searchsorted(members, name, "right")]
             for i in range(a, b, STRIP) if len(those) else ():
                 end = min(i + STRIP, b)
-                out[i:end] = np.sqrt(_squared(x[i:end], those)).sum(axis=1)
+                out[i:end] = np.sqrt(squared(x[i:end], those)).sum(axis=1)
         return pd.DataFrame({"rec_id": mine["rec_id"], "label": mine["label"], "other": mine["other"], "d": out})
 
     members = used.select("rec_id", F.col("label").alias("other"), "features")
@@ -189,7 +183,7 @@ def silhouette(df: DataFrame, ignore_noise: bool = False, method: str = "euclide
     ).applyInPandas(distances, "rec_id long, label int, other int, d double")
     sums = partial.groupBy("rec_id", "label", "other").agg(F.sum("d").alias("d"))
     own = F.col("label") == F.col("other")
-    per_row = join_unique(sums, blocks.select("other", "size", "asks"), ["other"], "asks").groupBy("rec_id").agg(
+    per_row = known(sums, blocks.select("other", "size", "asks"), "asks").groupBy("rec_id").agg(
         F.max(F.when(own, F.try_divide("d", F.col("size") - 1))).alias("a"),
         F.max(F.when(own, F.col("size"))).alias("size"),
         F.min(F.when(~own, F.col("d") / F.col("size"))).alias("b"),
@@ -220,47 +214,23 @@ def _squared_silhouette(df: DataFrame) -> DataFrame:
 def _near_tiles(points: DataFrame, eps: float, block_rows: int) -> DataFrame:
     """Spread points over tiles so that all pairs within ``eps`` meet in exactly one.
 
-    Cells at least as wide as ``eps`` on the two widest axes bound where neighbours
-    can be; a crowded cell is cut into blocks.
+    A tile is a pair of blocks whose distances to the pivots do not rule such pairs out.
     """
-    facts = points.select(
-        Summarizer.metrics("variance", "count").summary(array_to_vector("features")).alias("m")
-    ).first()["m"]
-    spread = np.sqrt(np.maximum(np.nan_to_num(facts["variance"].toArray()), 0))
-    axes = [int(a) for a in np.argsort(-spread, kind="stable")[:2]]
-    # a rounded quotient must not push a neighbour two cells away, and sparse points share a cell
-    least = eps * (1 + 1e-9)
-    cuts = max((facts["count"] / CELL_ROWS) ** (1 / len(axes)), 1)
-    sides = [max(least, 4 * float(spread[a]) / cuts) for a in axes]
-    cell = F.array(*[F.floor(F.col("features")[a] / side).cast("long") for a, side in zip(axes, sides)])
-    placed = points.withColumn("_cell", cell)
-    counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
-    step = F.sequence(F.lit(-1), F.lit(1))
-    near = counts.select("_cell", "_n", "_blocks")
-    for i in range(len(axes)):
-        near = near.withColumn(f"_s{i}", F.explode(step))
-    beside = F.array(*[F.col("_cell")[i] + F.col(f"_s{i}") for i in range(len(axes))])
-    near = near.select("_cell", "_n", F.col("_blocks").alias("_own"), beside.alias("_beside"))
-    around = near.join(
-        counts.select(F.col("_cell").alias("_beside"), "_blocks"), "_beside"
-    ).groupBy("_cell", "_n", "_own").agg(F.collect_list(F.struct("_beside", "_blocks")).alias("_around"))
-    known = join_unique(placed, materialize(around), ["_cell"], "_n")
-    home = F.struct(
-        F.col("_cell").alias("c"), F.pmod(F.xxhash64("id"), F.col("_own")).cast("int").alias("b")
-    )
-    all_around = F.expr(
-        "flatten(transform(_around, t -> transform(sequence(0, t._blocks - 1),"
-        " b -> struct(t._beside as c, b as b))))"
-    )
-    return (
-        known.withColumn("_home", home)
-        .withColumn("_to", F.explode(all_around))
-        .withColumns({"_a": F.least("_home", "_to"), "_b": F.greatest("_home", "_to")})
-        .withColumn("_first", F.col("_home") == F.col("_a"))
-        .withColumn("_same", F.col("_a") == F.col("_b"))
-        .drop("_cell", "_n", "_own", "_around", "_home", "_to")
-    )
+    n, width = points.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    if n <= block_rows:
+        alone = {"_a": F.lit(0).cast("long"), "_b": F.lit(0).cast("long"), "_first": F.lit(True), "_same": F.lit(True)}
+        return points.select("id", "features", "w", *[c.alias(name) for name, c in alone.items()])
+    held = points.select(F.col("id").alias("rec_id"), "features", "w")
+    placed = neighbours.place_rows(held, width, n, block_rows, cells=math.ceil(n / CELL_ROWS), extra=("w",))
+    ranges = neighbours.pivot_ranges(placed).withColumn("most", F.lit(float(eps)))
+    near = materialize(neighbours.block_pairs(ranges).filter("a < b").select("a", "b"))
+    alone = ranges.select(F.col("block").alias("a"), F.col("block").alias("b"))
+    pairs = materialize(near.unionByName(alone))
+    rows = placed.select(F.col("rec_id").alias("id"), "features", "w", "block")
+    left = rows.withColumnRenamed("block", "a").join(pairs, "a").withColumn("_first", F.lit(True))
+    right = rows.withColumnRenamed("block", "b").join(pairs.filter("a < b"), "b").withColumn("_first", F.lit(False))
+    return left.unionByName(right).select(
+        "id", "features", "w", F.col("a").alias("_a"), F.col("b").alias("_b"), "_first", (F.col("a") == F.col("b")).alias("_same"))
 
 
 def _pair_up(tile: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -280,7 +250,7 @@ def _forest(x: np.ndarray, y: np.ndarray | None, eps: float) -> list[tuple[int,
     kept: list[tuple[int, int]] = []
     for i in range(0, len(x), STRIP):
         part = x[i : i + STRIP]
-        near = _within(part, others, _squared(part, others), eps)
+        near = _within(part, others, squared(part, others), eps)
         for u, row in enumerate(near, start=i):
             cols = np.flatnonzero(row) + shift
             cols = cols[root[cols] != root[u]]
@@ -300,14 +270,14 @@ def neighbour_counts(tiles: DataFrame, eps_list: Sequence[float]) -> DataFrame:
         out = [pd.DataFrame({"e": [], "id": [], "near": []})]
         if left.empty or right.empty:
             return out[0]
-        x, y = _stack(left["features"]), _stack(right["features"])
+        x, y = stack(left["features"]), stack(right["features"])
         # sums of whole numbers are exact in doubles, and much faster
         wx, wy = left["w"].to_numpy(float), right["w"].to_numpy(float)
         for e, eps in enumerate(eps_list):
             mine, theirs = np.zeros(len(x)), np.zeros(len(y))
             for i in range(0, len(x), STRIP):
                 part = x[i : i + STRIP]
-                near = _within(part, y, _squared(part, y), eps).astype(float)
+                near = _within(part, y, squared(part, y), eps).astype(float)
                 mine[i : i + STRIP] = near @ wy
                 theirs += wx[i : i + STRIP] @ near
             out.append(pd.DataFrame({"e": e, "id": left["id"].to_numpy(), "near": mine.astype(np.int64)}))
@@ -333,7 +303,7 @@ def neighbour_links(tiles: DataFrame, eps_list: Sequence[float]) -> DataFrame:
         out = [pd.DataFrame({"e": [], "u": [], "v": [], "border": []})]
         if left.empty or right.empty:
             return out[0]
-        x, y = _stack(left["features"]), _stack(right["features"])
+        x, y = stack(left["features"]), stack(right["features"])
         idx, idy = left["id"].to_numpy(), right["id"].to_numpy()
         for e, eps in enumerate(eps_list):
             core_x = np.array([e in c for c in left["cores"]])
@@ -353,7 +323,7 @@ def neighbour_links(tiles: DataFrame, eps_list: Sequence[float]) -> DataFrame:
                 edge, middle = here[~is_core], there[other_core]
                 for i in range(0, len(edge) if len(middle) else 0, STRIP):
                     part = edge[i : i + STRIP]
-                    u, v = np.nonzero(_within(part, middle, _squared(part, middle), eps))
+                    u, v = np.nonzero(_within(part, middle, squared(part, middle), eps))
                     out.append(
                         pd.DataFrame(
                             {"e": e, "u": ids[~is_core][u + i], "v": others[other_core][v], "border": True}

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flighttone.operators.blocks import STRIP, squared, stack
 from flighttone.operators.neighbours import nearest
-from flighttone.operators.pairwise import STRIP, _squared, _stack, components
+from flighttone.operators.pairwise import components
 from flighttone.scale import join_unique, materialize
 
 #: Nodes of a graph that is solved whole.
@@ -71,10 +72,10 @@ def _shortest_out(rows: DataFrame, blocks: int) -> DataFrame:
         out = [pd.DataFrame({"root": [], "src": [], "dst": [], "distance": []})]
         if left.empty or right.empty:
             return out[0]
-        x, y, own, other = _stack(left["features"]), _stack(right["features"]), left["root"].to_numpy(), right["root"].to_numpy()
+        x, y, own, other = stack(left["features"]), stack(right["features"]), left["root"].to_numpy(), right["root"].to_numpy()
         ids, those = left["id"].to_numpy(), right["id"].to_numpy()
         for i in range(0, len(x), STRIP):
-            d2 = _squared(x[i : i + STRIP], y)
+            d2 = squared(x[i : i + STRIP], y)
             d2[own[i : i + STRIP, None] == other] = np.inf
             at = d2.argmin(axis=1)
             least = d2[np.arange(len(at)), at]
@@ -233,7 +234,7 @@ def clustered_rows(rows: DataFrame, k: int, starts: int = STARTS, seed: int = SE
     """``id, label`` of the best of many k-means over ``id, x``; a pass adds up the sums of all starts."""
     spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(START_ROWS).toPandas()
-    centres = _drawn(_stack(sample["x"]), k, starts, seed)
+    centres = _drawn(stack(sample["x"]), k, starts, seed)
     width = centres.shape[2]
     for _ in range(PASSES):
         sent = spark.sparkContext.broadcast(centres)
@@ -242,7 +243,7 @@ def clustered_rows(rows: DataFrame, k: int, starts: int = STARTS, seed: int = SE
             centres = sent.value
             sums, counts, costs = np.zeros_like(centres), np.zeros(centres.shape[:2]), np.zeros(centres.shape[:2])
             for batch in batches:
-                x = _stack(batch.column("x").to_pandas()) if batch.num_rows else np.zeros((0, centres.shape[2]))
+                x = stack(batch.column("x").to_pandas()) if batch.num_rows else np.zeros((0, centres.shape[2]))
                 for s in range(len(centres)) if len(x) else ():
                     d2 = ((x[:, None] - centres[s]) ** 2).sum(axis=2)
                     own = d2.argmin(axis=1)
@@ -270,7 +271,7 @@ def clustered_rows(rows: DataFrame, k: int, starts: int = STARTS, seed: int = SE
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _stack(batch.column("x").to_pandas()) if batch.num_rows else np.zeros((0, width))
+            x = stack(batch.column("x").to_pandas()) if batch.num_rows else np.zeros((0, width))
             own = ((x[:, None] - sent.value) ** 2).sum(axis=2).argmin(axis=1) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own.astype(np.int32))], names=["id", "label"])
 
