@@ -74,6 +74,13 @@ def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([r.label for r in rows]), np.array([r["mean"] for r in rows]), np.array([r.spread for r in rows])
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of features given as lists or as bytes."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, width)
+    return stack(column.to_pandas())
+
+
 def _open_labels(df: DataFrame, facts: DataFrame, rows: list | None, width: int) -> DataFrame:
     """``rows`` are the facts where they are few.  Rows with ``asked``: their own label and the others that may be the nearest on average.
 
@@ -89,7 +96,7 @@ def _open_labels(df: DataFrame, facts: DataFrame, rows: list | None, width: int)
             names, means, spreads = sent.value
             step = max(1, STRIP * STRIP // len(names))
             for batch in batches:
-                x, own = stack(batch.column("features").to_pandas()), batch.column("label").to_numpy()
+                x, own = _matrix(batch.column("features"), width), batch.column("label").to_numpy()
                 least, asked = batch.column("least").to_numpy().copy(), batch.column("asked").to_pylist()
                 for i in range(0, len(x), step):
                     part = slice(i, i + step)
@@ -102,14 +109,15 @@ def _open_labels(df: DataFrame, facts: DataFrame, rows: list | None, width: int)
                     near = other & (np.sqrt(d2) <= least[part, None] * (1 + 1e-9) + 1e-7 * np.sqrt(d2.max(initial=0)))
                     for row, col in zip(*np.nonzero(near)):
                         asked[i + row].append(int(names[col]))
+                held = pa.array([row.tobytes() for row in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("rec_id", "label", "features")), pa.array(least), pa.array(asked, pa.list_(pa.int32()))],
+                    [batch.column("rec_id"), batch.column("label"), held, pa.array(least), pa.array(asked, pa.list_(pa.int32()))],
                     names=["rec_id", "label", "features", "least", "asked"],
                 )
 
         return run
 
-    schema = "rec_id long, label int, features array<double>, least double, asked array<int>"
+    schema = "rec_id long, label int, features binary, least double, asked array<int>"
     out = df.withColumns({"least": F.lit(float("inf")), "asked": F.array("label")})
     for last in (False, True):
         for chunk in _label_chunks(facts, width) if rows is None else [_arrays(rows)]:
@@ -163,24 +171,24 @@ def silhouette(df: DataFrame, ignore_noise: bool = False, method: str = "euclide
         home = F.pmod(F.xxhash64("rec_id"), F.col(own)).cast("int").alias(own)
         spread = F.explode(F.sequence(F.lit(0), F.col(to) - 1)).alias(to)
         # A name of its own on each side of the pair.
-        return met.select(F.col("group").alias("group"), *names, home, spread).groupBy("group", "rows", "members")
+        return met.select(F.col("group").alias("group"), *[F.col(c).alias(c) for c in names], home, spread).groupBy("group", "rows", "members")
 
-    def distances(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = mine.sort_values("other", kind="stable"), theirs.sort_values("other", kind="stable")
-        x, y, out = stack(mine["features"]), stack(theirs["features"]), np.zeros(len(mine))
+    def distances(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine, theirs = mine.sort_by("other"), theirs.sort_by("other")
+        x, y, out = _matrix(mine["features"], width), _matrix(theirs["features"], width), np.zeros(mine.num_rows)
         names, first = np.unique(mine["other"].to_numpy(), return_index=True)
         members = theirs["other"].to_numpy()
-        for name, a, b in zip(names, first, [*first[1:], len(mine)]):
+        for name, a, b in zip(names, first, [*first[1:], len(out)]):
             those = y[np.searchsorted(members, name) : np.searchsorted(members, name, "right")]
             for i in range(a, b, STRIP) if len(those) else ():
                 end = min(i + STRIP, b)
                 out[i:end] = np.sqrt(squared(x[i:end], those)).sum(axis=1)
-        return pd.DataFrame({"rec_id": mine["rec_id"], "label": mine["label"], "other": mine["other"], "d": out})
+        return mine.select(["rec_id", "label", "other"]).append_column("d", pa.array(out))
 
-    members = used.select("rec_id", F.col("label").alias("other"), "features")
+    members = asking.select("rec_id", F.col("label").alias("other"), F.col("features").alias("features"))
     partial = dealt(asks, "asks", "rows", "members", ["rec_id", "label", "other", "features"]).cogroup(
         dealt(members, "size", "members", "rows", ["rec_id", "other", "features"])
-    ).applyInPandas(distances, "rec_id long, label int, other int, d double")
+    ).applyInArrow(distances, "rec_id long, label int, other int, d double")
     sums = partial.groupBy("rec_id", "label", "other").agg(F.sum("d").alias("d"))
     own = F.col("label") == F.col("other")
     per_row = known(sums, blocks.select("other", "size", "asks"), "asks").groupBy("rec_id").agg(
