@@ -103,14 +103,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 SQL = {
     "op3_licenses": licenses.sql(),
     "op5_lines": """
-        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-        l AS (SELECT doc_id, pos, parts[pos] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM split)),
+        WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        l AS (SELECT r, doc_id, pos, parts[pos] AS line FROM (SELECT r, doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM split)),
         k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-        common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-        SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+        common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN common.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-        FROM k LEFT JOIN common USING (key) GROUP BY doc_id""",
+        FROM k LEFT JOIN common USING (key) GROUP BY r""",
     "op10_exact_copies": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

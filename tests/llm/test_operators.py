@@ -306,6 +306,13 @@ def test_lines(docs, awkward, least):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_lines_as_in_sql_where_ids_repeat(spark, awkward):
+    rows = [*awkward, *[(7, "Often\nown")] * 3, *[(None, f"often \n{i}") for i in range(8)], (8, "x\n OFTEN")]
+    found = lines.drop_common_lines(table(spark, rows)).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, duck(queries.SQL["op5_lines"], rows)))
+    assert sum(r.n_dropped for r in found if r.doc_id in (None, 7, 8)) >= 12
+
+
 def test_frequent_lines_have_their_own_shard(spark, monkeypatch):
     monkeypatch.setattr(lines, "GROUP_LINES", 4)
     monkeypatch.setattr(lines, "FREQUENT", 60)
