@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from flighttone.functions.batches import row_map
 from flighttone.functions.wavelets import dwt_features
 from flighttone.params import DEFAULT, Params
-from flighttone.scale import materialize, percentiles
+from flighttone.scale import materialize, percentiles, tree_sum
 
 # Fixed names of the scalers offered.
 SCALERS = ("NoScaler", "StandardScaler", "Normalizer", "RobustScaler")
@@ -214,8 +214,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-#: Rows of a block, and blocks whose sums are added up at once.
-RBM_ROWS, RBM_FAN = 2048, 32
+#: Rows of a block.
+RBM_ROWS = 2048
 
 
 def _draws(seed: int, turn: int, ids: np.ndarray, units: int) -> np.ndarray:
@@ -247,25 +247,6 @@ def _blocks_of(df: DataFrame) -> DataFrame:
     return materialize(dealt.groupBy("block").applyInArrow(run, "block long, ids binary, rows binary"))
 
 
-def _tree_sum(parts: DataFrame, size: int, blocks: int) -> np.ndarray:
-    """Sum of ``sums`` (bytes of ``size`` doubles), in an order that hangs on ``block`` alone."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        total = np.zeros(size)
-        for part in table["sums"].to_pylist():
-            total = total + np.frombuffer(part)
-        return pa.table({"block": pa.array([table["block"][0].as_py() // RBM_FAN], pa.int64()), "sums": [total.tobytes()]})
-
-    for _ in range(math.ceil(math.log(max(blocks, 1), RBM_FAN)) - 1):
-        parts = parts.groupBy(F.floor(F.col("block") / RBM_FAN).alias("_up")).applyInArrow(
-            lambda _, table: run(table.select(["block", "sums"])), "block long, sums binary")
-    total = np.zeros(size)
-    for row in sorted(parts.collect(), key=lambda r: r.block):  # at most RBM_FAN rows
-        total = total + np.frombuffer(row.sums)
-    return total
-
-
 def fit_rbm(df: DataFrame, units: int, rate: float = 0.1, rounds: int = 100, seed: int = RBM_SEED, batch_rows: int = 10,
             minmax: bool = False) -> dict:
     """Contrastive divergence of ``(rec_id, features)`` by batches of ``batch_rows``.
@@ -314,7 +295,7 @@ def fit_rbm(df: DataFrame, units: int, rate: float = 0.1, rounds: int = 100, see
                     sums = np.concatenate([((m - shared.value) * len(x)).ravel(), [loss, len(x)]])
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums.tobytes()])], names=["block", "sums"])
 
-        sums = _tree_sum(held.mapInArrow(learn, "block long, sums binary"), size + 2, blocks)
+        sums = tree_sum(held.mapInArrow(learn, "block long, sums binary"), size + 2, blocks)
         shared.unpersist()
         model = model + sums[:size].reshape(model.shape) / sums[-1]
         losses.append(float(sums[-2] / sums[-1]))

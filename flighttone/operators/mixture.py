@@ -7,15 +7,19 @@ on the number of columns and components alone, reach the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flighttone.scale import tree_sum
+
 # Fixed values.
 SEED = 101557
 TOLERANCE = 1e-3
@@ -71,14 +75,14 @@ def _update(sums: np.ndarray, k: int, d: int, prior: dict) -> dict:
 def _pass(data: DataFrame, k: int, d: int, m: dict | None) -> tuple[np.ndarray, float]:
     """Sums per component, and the mean log evidence; without a model rows keep their ``label``."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, evidence = np.zeros((k, 1 + d + d * d)), 0.0
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["features"].to_numpy())
+            x = np.stack(batch.column("features").to_pandas().to_numpy())
             if m is None:
-                r = np.eye(k)[pdf["label"].to_numpy()]
+                r = np.eye(k)[batch.column("label").to_numpy()]
             else:
                 logs = _log_shares(x, m)
                 top = logs.max(axis=1, keepdims=True)
@@ -88,10 +92,11 @@ def _pass(data: DataFrame, k: int, d: int, m: dict | None) -> tuple[np.ndarray,
             sums[:, 1 : 1 + d] += r.T @ x
             for c in range(k):
                 sums[c, 1 + d :] += ((r[:, c, None] * x).T @ x).ravel()
-        yield pd.DataFrame({"pos": np.arange(sums.size + 1), "v": np.append(sums.ravel(), evidence)})
+        whole = np.append(sums.ravel(), evidence).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([whole])], names=["block", "sums"])
 
-    parts = data.select("features", "label").mapInPandas(add, "pos int, v double")
-    rows = parts.groupBy("pos").agg(F.sum("v").alias("v")).toPandas().sort_values("pos")["v"].to_numpy()
+    narrow = data.select("features", "label")
+    rows = tree_sum(narrow.mapInArrow(add, "block long, sums binary"), k * (1 + d + d * d) + 1, narrow.rdd.getNumPartitions())
     sums = rows[:-1].reshape(k, -1)
     return sums, rows[-1] / max(sums[:, 0].sum(), 1)
 
@@ -113,6 +118,8 @@ def fit_mixture(df: DataFrame, k: int, seed: int = SEED) -> dict:
         if abs(evidence - last) < TOLERANCE:
             break
         last = evidence
+    else:
+        warnings.warn(f"the mixture has not settled in {ROUNDS} rounds", RuntimeWarning, stacklevel=2)
     data.unpersist()
     return model
 

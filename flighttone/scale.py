@@ -8,9 +8,12 @@ combine one small total per range.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -243,3 +246,26 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     rest = left.join(F.broadcast(names), list(keys), "left_anti")
     cold = right.filter(F.col(weight) <= hot_rows)
     return left.join(F.broadcast(hot), list(keys)).unionByName(rest.join(cold, list(keys)))
+
+
+#: Rows of sums added up at once.
+FAN = 32
+
+
+def tree_sum(parts: DataFrame, size: int, blocks: int) -> np.ndarray:
+    """Sum of ``sums`` (bytes of ``size`` doubles), in an order that hangs on ``block`` alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        total = np.zeros(size)
+        for part in table["sums"].to_pylist():
+            total = total + np.frombuffer(part)
+        return pa.table({"block": pa.array([table["block"][0].as_py() // FAN], pa.int64()), "sums": [total.tobytes()]})
+
+    for _ in range(math.ceil(math.log(max(blocks, 1), FAN)) - 1):
+        parts = parts.groupBy(F.floor(F.col("block") / FAN).alias("_up")).applyInArrow(
+            lambda _, table: run(table.select(["block", "sums"])), "block long, sums binary")
+    total = np.zeros(size)
+    for row in sorted(parts.collect(), key=lambda r: r.block):  # at most FAN rows
+        total = total + np.frombuffer(row.sums)
+    return total

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flighttone.operators import affinity, boosting, classify, cluster, features, joins, neighbours, pairwise, spectral
+from flighttone import scale
 from flighttone.operators.features import FeatureSpec
 from tests.conftest import blobs, matrix
 
@@ -348,7 +349,7 @@ def test_machine_learns(recordings):
 def test_machine_does_not_hang_on_the_layout(spark, monkeypatch):
     """Any number of partitions and any order of rows gives the same weights, also from many blocks added up in steps."""
     monkeypatch.setattr(features, "RBM_ROWS", 16)
-    monkeypatch.setattr(features, "RBM_FAN", 3)
+    monkeypatch.setattr(scale, "FAN", 3)
     rng = np.random.default_rng(2)
     x = np.where(np.arange(200)[:, None] % 2, rng.normal(5, 1, (200, 6)), rng.normal(-3, 1, (200, 6)))
     df = matrix(spark, x)
@@ -359,7 +360,7 @@ def test_machine_does_not_hang_on_the_layout(spark, monkeypatch):
     held = features._blocks_of(df)
     parts = held.select("block", "rows").withColumnRenamed("rows", "sums").collect()
     sums = spark.createDataFrame([(i, np.full(2, float(i)).tobytes()) for i in range(50)], "block long, sums binary")
-    assert features._tree_sum(sums, 2, 50).tolist() == [1225, 1225] and len(parts) == 13
+    assert scale.tree_sum(sums, 2, 50).tolist() == [1225, 1225] and len(parts) == 13
 
 
 def test_draws_are_uniform():
