@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flighttone.operators.blocks import BLOCK_BYTES, STRIP, squared, stack
+from flighttone.operators.blocks import MEET_ROWS, PACKED, STRIP, Block, Short, direct, meet, pack_rows, stack
 from flighttone.scale import materialize, with_position
 
 #: Pivots, cells, and rows and bytes of the sample they are taken from, at most.
 PIVOTS, CELLS = 32, 256
 SAMPLE_ROWS, SAMPLE_BYTES = 4096, 32 << 20
+#: Rows of a block at most, and bytes of its features and neighbours.
+TILE_ROWS, TILE_BYTES = 65536, 128 << 20
 #: Rows of the table of blocks compared at once.
 CHUNK = 2048
 #: Distances are trusted up to this share of the largest one.
@@ -56,7 +58,7 @@ def _sizes(df: DataFrame, k: int, block_rows: int | None) -> tuple[int, int, int
     """Rows, features of a row, and rows of a block."""
     n, width = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     width = max(width or 1, 1)
-    most = max(256, BLOCK_BYTES // (8 * width))
+    most = min(TILE_ROWS, max(256, TILE_BYTES // (8 * width + 48 * k)))
     busy = 4 * df.sparkSession.sparkContext.defaultParallelism
     return n, width, block_rows or max(4 * k, 256, min(most, math.ceil(n / busy)))
 
@@ -97,7 +99,7 @@ def place_rows(df: DataFrame, width: int, n: int, block_rows: int, cells: int, k
     before = F.sum("_blocks").over(Window.orderBy("cell")) - F.col("_blocks")
     starts = starts.select("cell", "_start", before.alias("_before"))
     block = F.col("_before") + F.floor((F.col("_at") - F.col("_start")) / block_rows)
-    return placed.join(F.broadcast(starts), "cell").select("rec_id", "features", *extra, "pivots", "bound", block.alias("block"))
+    return placed.join(F.broadcast(starts), "cell").select("rec_id", "features", *extra, "pivots", "bound", block.alias("block"), "_at")
 
 
 def pivot_ranges(placed: DataFrame) -> DataFrame:
@@ -107,45 +109,81 @@ def pivot_ranges(placed: DataFrame) -> DataFrame:
     return materialize(cells.groupBy("block").agg(packed.alias("r")).select("block", F.col("r.low").alias("low"), F.col("r.high").alias("high")))
 
 
-def _best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The ``k`` nearest of ``y`` for each row of ``x``: row, other id, distance, in this order; ties by id."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for i in range(0, len(x), STRIP):
-        d2 = squared(x[i : i + STRIP], y)
-        d2[ids[i : i + STRIP, None] == others] = np.inf
-        at = min(k, len(others)) - 1
-        last = np.partition(d2, at, axis=1)[:, at]
-        rows, cols = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
-        order = np.lexsort((others[cols], d2[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
+class _Nearest:
+    """The ``k`` nearest rows met so far by each row of ``x``, by distance, then id; memory in proportion to ``k * len(x)``."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int, reach: np.ndarray):
+        self.x, self.ids, self.k = x, ids, k
+        self.centre = x.mean(axis=0)
+        #: Squared distances that a neighbour has at most, a little more than ``reach``, and the id of the last one held.
+        self.most, self.last = reach * reach * (1 + 1e-12), np.full(len(x), np.iinfo(np.int64).max)
+        self._parts: list[tuple[np.ndarray, ...]] = []
+        self._held = 0
+
+    def feed(self, y: np.ndarray, others: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Compare the ``rows`` (all without) with ``y``."""
+        rows = np.arange(len(self.x)) if rows is None else rows
+        x, ids = (self.x, self.ids) if len(rows) == len(self.x) else (self.x[rows], self.ids[rows])
+        for j in range(0, len(y), MEET_ROWS) if len(rows) else ():
+            part, those = y[j : j + MEET_ROWS], others[j : j + MEET_ROWS]
+            short = Short(x, part, self.centre)
+            for i in range(0, len(x), STRIP):
+                d2, at = short.strip(i), rows[i : i + STRIP]
+                if np.isin(ids[i : i + STRIP], those).any():
+                    d2[ids[i : i + STRIP, None] == those] = np.inf
+                if len(those) >= self.k and np.isinf(self.most[at]).any():
+                    self.most[at] = np.minimum(self.most[at], np.partition(d2, self.k - 1, axis=1)[:, self.k - 1] + 2.0 * short.slack)
+                found, cols = np.nonzero((d2 <= (self.most[at] + short.slack).astype(d2.dtype)[:, None] * (1 + 1e-6)) & np.isfinite(d2))
+                exact, to, mine = direct(x, part, found + i, cols), those[cols], at[found]
+                keep = (exact < self.most[mine]) | ((exact == self.most[mine]) & (to <= self.last[mine]))
+                self._parts.append((mine[keep], to[keep], exact[keep]))
+                self._held += int(keep.sum())
+                if self._held > 2 * self.k * len(self.x) + MEET_ROWS:
+                    self._trim()
+
+    def _trim(self) -> None:
+        rows, others, d2 = (np.concatenate(p) for p in zip(*self._parts)) if self._parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((others, d2, rows))
+        rows, others, d2 = rows[order], others[order], d2[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, cols = rows[place < k], cols[place < k]
-        parts.append((rows + i, others[cols], np.sqrt(d2[rows, cols])))
-    return tuple(np.concatenate(p) for p in zip(*parts))
+        keep = place < self.k
+        end = place == self.k - 1
+        self.most[rows[end]], self.last[rows[end]] = d2[end], others[end]
+        self._parts, self._held = [(rows[keep], others[keep], d2[keep])], int(keep.sum())
 
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each row's neighbours start (and the last one's end), their ids and distances."""
+        self._trim()
+        rows, others, d2 = self._parts[0]
+        return np.searchsorted(rows, np.arange(len(self.x) + 1)), others, np.sqrt(d2)
 
-def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
-    """Rows with ``reach`` and their neighbours in the block; one row of each block has the ranges of its pivot distances."""
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        x, ids = stack(table["features"]), table["rec_id"].to_numpy()
-        rows, others, distances = _best(x, ids, x, ids, k)
-        first = np.searchsorted(rows, np.arange(len(x) + 1))
+def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
+    """Packed rows with ``reach``, how far neighbours are at most by those in the block; its first one has the ranges of its pivot distances."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_at", "ascending")])
+        x, ids, pivots = _matrix(table["features"]), table["rec_id"].to_numpy(), _matrix(table["pivots"])
+        found = _Nearest(x, ids, k, table["bound"].to_numpy())
+        found.feed(x, ids)
+        first, _, distances = found.lists()
         reach = table["bound"].to_numpy().copy()
         full = np.diff(first) == k
         reach[full] = np.minimum(reach[full], distances[first[1:][full] - 1])
-        cut = list(zip(first, first[1:]))
-        pivots = stack(table["pivots"])
-        head = [None] * (len(x) - 1)
-        return table.drop(columns="bound").assign(
-            reach=reach, others=[others[a:b] for a, b in cut], distances=[distances[a:b] for a, b in cut],
-            low=[pivots.min(axis=0), *head], high=[pivots.max(axis=0), *head], most=reach.max(),
-        )
+        out = pack_rows(table["block"][0].as_py(), ids, x, pivots=pivots, reach=reach)
+        head = [None] * (len(out["block"]) - 1)
+        out |= {"low": [pivots.min(axis=0), *head], "high": [pivots.max(axis=0), *head], "most": [reach.max()] * len(out["block"])}
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), _PACK_TYPES)})
+
+    return placed.groupBy("block").applyInArrow(run, f"{PACKED}, pivots binary, reach binary, low array<double>, high array<double>, most double")
+
 
-    return placed.groupBy("block").applyInPandas(
-        run, "rec_id long, features array<double>, pivots array<double>, block long, reach double, others array<long>, "
-        "distances array<double>, low array<double>, high array<double>, most double"
-    )
+_PACK_TYPES = (pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2, pa.float64())
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
 def _gap(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
@@ -183,37 +221,55 @@ def _heads(rows: DataFrame) -> DataFrame:
     return rows.filter("low is not null").select("block", "low", "high", "most")
 
 
-def _across(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Neighbours of rows in the other blocks they have to look at."""
-    mine = rows.select("rec_id", "features", "pivots", "reach", F.col("block").alias("a")).join(pairs, "a")
-    # Columns of their own, as both sides come from one table.
-    theirs = rows.select(*[F.col(c).alias(c) for c in ("rec_id", "features", "pivots")], F.col("block").alias("b")).join(pairs, "b")
+def _lists(packs: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFrame:
+    """``rec_id, others, distances`` of every row, nearest first, over the blocks its block has to look at."""
+
+    def run(mine: Block, theirs: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        reach = mine.facts["reach"]
+        own = mine.facts["pivots"].reshape(len(reach), -1)
+        found = _Nearest(mine.x, mine.ids, k, reach)
+        for block in theirs:
+            low, high = np.array(block.facts["low"])[None], np.array(block.facts["high"])[None]
+            gap = _gap(own, own, low, high)[:, 0]
+            found.feed(block.x, block.ids, np.flatnonzero(gap <= np.sqrt(found.most) + max(_slack(own), _slack(high))))
+        first, others, distances = found.lists()
+        for i in range(0, len(reach), STRIP):
+            cut = first[i : i + STRIP + 1]
+            values = slice(cut[0], cut[-1])
+            starts = pa.array((cut - cut[0]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mine.ids[i : i + STRIP]), pa.ListArray.from_arrays(starts, pa.array(others[values])),
+                 pa.ListArray.from_arrays(starts, pa.array(distances[values]))], names=["rec_id", "others", "distances"])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, there = stack(left["pivots"]), stack(right["pivots"])
-        gap = _gap(own, own, there.min(axis=0)[None], there.max(axis=0)[None])[:, 0]
-        left = left[gap <= left["reach"].to_numpy() + max(_slack(own), _slack(there))]
-        if left.empty:
-            return pd.DataFrame({"rec_id": [], "other": [], "distance": []})
-        ids = left["rec_id"].to_numpy()
-        found, others, distances = _best(stack(left["features"]), ids, stack(right["features"]), right["rec_id"].to_numpy(), k)
-        return pd.DataFrame({"rec_id": ids[found], "other": others, "distance": distances})
+    return meet(packs, pairs, width, run, "rec_id long, others array<long>, distances array<double>", mine=("pivots", "reach"), theirs=("low", "high"))
 
-    return mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(run, "rec_id long, other long, distance double")
 
+def neighbour_lists(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
+    """The ``k`` nearest other recordings as one row: ``rec_id, others, distances``, nearest first, ties by id.
 
-def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
-    """The ``k`` nearest other recordings: ``rec_id, other, distance, place`` (1 is nearest), ties by id."""
+    A block's rows meet one block after the other and keep their ``k`` best, so only features go through a shuffle, as often as
+    there are blocks to be met; that number does not grow with the table until blocks are ``TILE_ROWS`` or ``TILE_BYTES`` large.
+    """
     used = df.select("rec_id", "features")
     n, width, size = _sizes(used, k, block_rows)
     if not n:
-        return df.sparkSession.createDataFrame([], "rec_id long, other long, distance double, place int")
-    rows = materialize(_within_blocks(place_rows(used, width, n, size, math.ceil(n / size), k), k))
-    found = rows.select("rec_id", F.explode(F.arrays_zip("others", "distances")).alias("o")).select(
-        "rec_id", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"))
-    found = found.unionByName(_across(rows, materialize(block_pairs(_heads(rows))), k))
-    order = Window.partitionBy("rec_id").orderBy("distance", "other")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        return df.sparkSession.createDataFrame([], "rec_id long, others array<long>, distances array<double>")
+    packs = materialize(_within_blocks(place_rows(used, width, n, size, math.ceil(n / size), k), k))
+    heads = _heads(packs)
+    pairs = materialize(block_pairs(heads).unionByName(heads.select(F.col("block").alias("a"), F.col("block").alias("b"))))
+    found = _lists(packs, pairs, k, width).filter(F.size("others") > 0)
+    if used.groupBy("rec_id").count().filter("count > 1").isEmpty():
+        return found
+    # Rows of one id share a list.
+    every = F.flatten(F.collect_list(F.arrays_zip(F.col("distances").alias("distance"), F.col("others").alias("other"))))
+    best = found.groupBy("rec_id").agg(F.slice(F.array_sort(every), 1, k).alias("o"))
+    return best.select("rec_id", F.col("o.other").alias("others"), F.col("o.distance").alias("distances"))
+
+
+def nearest(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
+    """The ``k`` nearest other recordings: ``rec_id, other, distance, place`` (1 is nearest), ties by id."""
+    found = neighbour_lists(df, k, block_rows).select("rec_id", F.posexplode(F.arrays_zip("others", "distances")).alias("at", "o"))
+    return found.select("rec_id", F.col("o.others").alias("other"), F.col("o.distances").alias("distance"), (F.col("at") + 1).alias("place"))
 
 
 def met_share(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:

@@ -109,6 +109,43 @@ def test_nearest_across_blocks(spark, monkeypatch):
     assert row["pairs"] == row["blocks"] * (row["blocks"] - 1) and 0 < row["share"] < 0.2
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_final_where_blocks_meet(spark):
+    """No candidates go through a shuffle: a row comes out of its block's meetings once, with its list."""
+    x, _ = blobs(3, 300)
+    found = neighbours.neighbour_lists(matrix(spark, x), 20, 64)
+    assert "Window" not in _plan(neighbours.nearest(matrix(spark, x), 20, 64)) and "Aggregate" not in _plan(found)
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    rows = found.collect()
+    assert sorted(r["rec_id"] for r in rows) == list(range(len(x)))
+    for r in rows:
+        np.testing.assert_allclose(r["distances"], np.sort(d[r["rec_id"]])[:20])
+
+
+@pytest.mark.parametrize("scale_", [1e-20, 1.0, 1e20])
+def test_nearest_of_any_size_and_of_copies(spark, scale_):
+    """Values beyond single precision, rows far from all others, and more copies than neighbours asked for: smallest ids come first."""
+    x, _ = blobs(2, 150)
+    x = np.vstack([x, np.repeat(x[:1], 40, axis=0), np.full((1, 5), 3e4)]) * scale_
+    found = neighbours.nearest(matrix(spark, x), 4, 32).orderBy("rec_id", "place").collect()
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    np.testing.assert_allclose([r["distance"] for r in found], np.sort(d, axis=1)[:, :4].ravel())
+    assert [r["other"] for r in found if r["rec_id"] == 320] == [0, 300, 301, 302]
+
+
+def test_nearest_of_ids_that_repeat(spark):
+    """Rows of one id share a list and are no neighbours of each other."""
+    x = np.array([[0.0], [0.1], [1.0], [2.0]])
+    df = matrix(spark, x).withColumn("rec_id", F.greatest("rec_id", F.lit(1)))
+    got = {r["rec_id"]: (r["others"], [round(v, 6) for v in r["distances"]]) for r in neighbours.neighbour_lists(df, 2).collect()}
+    assert got == {1: ([2, 2], [0.9, 1.0]), 2: ([1, 1], [0.9, 1.0]), 3: ([2, 1], [1.0, 1.9])}
+
+
 def test_nearest_of_few(spark):
     found = neighbours.nearest(matrix(spark, np.arange(6.0).reshape(3, 2)), 5).collect()
     assert len(found) == 6 and max(r["place"] for r in found) == 2
@@ -414,6 +451,13 @@ def test_affinity(spark):
     assert all(both[b, a] == pytest.approx(p) for (a, b), p in both.items())
 
 
+def test_affinities_search_once(spark):
+    """The two directions of a pair come from one search and one row of sums."""
+    x, _ = blobs(2, 60)
+    plan = _plan(affinity.neighbour_affinity(matrix(spark, x), 20))
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan.split("MapInArrow")[0]
+
+
 # --- classifiers ----------------------------------------------------------------------------
 
 
