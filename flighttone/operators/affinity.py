@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flighttone.functions.batches import matrices
-from flighttone.operators.neighbours import nearest
+from flighttone.operators.neighbours import neighbour_lists
 
 
 def _bandwidths(d2: np.ndarray, target: float) -> np.ndarray:
@@ -37,10 +37,7 @@ def conditional_affinity(df: DataFrame, perplexity: float = 50, neighbours: floa
 
     The neighbours of one recording are a short list, so each search stays in a row.
     """
-    near = nearest(df, int(neighbours * perplexity))
-    lists = near.groupBy("rec_id").agg(
-        F.array_sort(F.collect_list(F.struct("place", "other", "distance"))).alias("near")
-    )
+    lists = neighbour_lists(df, int(neighbours * perplexity))
 
     @F.arrow_udf("double")
     def precision(column: pa.Array) -> pa.Array:
@@ -49,13 +46,11 @@ def conditional_affinity(df: DataFrame, perplexity: float = 50, neighbours: floa
             out[rows] = _bandwidths(d * d, np.log(min(perplexity, d.shape[1])))
         return pa.array(out)
 
-    sized = lists.withColumn("beta", precision(F.col("near.distance")))
-    cells = sized.withColumn(
-        "_w",
-        F.expr("transform(near, t -> struct(t.other, exp(-beta * (t.distance * t.distance"
-               " - near[0].distance * near[0].distance)) as w))"),
-    ).withColumn("_sum", F.expr("aggregate(_w, 0D, (a, t) -> a + t.w)"))
-    return cells.select("rec_id", "_sum", F.inline("_w")).select(
+    sized = lists.withColumn("beta", precision("distances"))
+    weighed = sized.withColumn(
+        "_w", F.expr("transform(distances, d -> exp(-beta * (d * d - distances[0] * distances[0])))")
+    ).withColumn("_sum", F.expr("aggregate(_w, 0D, (a, w) -> a + w)"))
+    return weighed.select("rec_id", "_sum", F.inline(F.arrays_zip(F.col("others").alias("other"), F.col("_w").alias("w")))).select(
         "rec_id", "other", (F.col("w") / F.col("_sum")).alias("p")
     )
 
@@ -63,9 +58,10 @@ def conditional_affinity(df: DataFrame, perplexity: float = 50, neighbours: floa
 def neighbour_affinity(df: DataFrame, perplexity: float = 50, neighbours: float = NEIGHBOURS) -> DataFrame:
     """Symmetric affinities ``rec_id, other, p`` that add up to 1."""
     one_way = conditional_affinity(df, perplexity, neighbours)
-    both = one_way.unionByName(
-        one_way.select(F.col("other").alias("rec_id"), F.col("rec_id").alias("other"), "p")
-    )
-    summed = both.groupBy("rec_id", "other").agg(F.sum("p").alias("p"))
+    # Both directions of a pair add up to the same, once.
+    low, high = F.least("rec_id", "other"), F.greatest("rec_id", "other")
+    summed = one_way.groupBy(low.alias("low"), high.alias("high")).agg(F.sum("p").alias("p"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return summed.withColumn("p", F.col("p") / (2 * total))
+    there = F.struct(F.col("low").alias("rec_id"), F.col("high").alias("other"))
+    back = F.struct(F.col("high").alias("rec_id"), F.col("low").alias("other"))
+    return summed.withColumn("p", F.col("p") / (2 * total)).select("p", F.inline(F.array(there, back))).select("rec_id", "other", "p")
