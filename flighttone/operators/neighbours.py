@@ -59,7 +59,7 @@ def _sizes(df: DataFrame, k: int, block_rows: int | None) -> tuple[int, int, int
     n, width = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     width = max(width or 1, 1)
     most = min(TILE_ROWS, max(256, TILE_BYTES // (8 * width + 48 * k)))
-    busy = 4 * df.sparkSession.sparkContext.defaultParallelism
+    busy = 2 * df.sparkSession.sparkContext.defaultParallelism
     return n, width, block_rows or max(4 * k, 256, min(most, math.ceil(n / busy)))
 
 
@@ -102,13 +102,6 @@ def place_rows(df: DataFrame, width: int, n: int, block_rows: int, cells: int, k
     return placed.join(F.broadcast(starts), "cell").select("rec_id", "features", *extra, "pivots", "bound", block.alias("block"), "_at")
 
 
-def pivot_ranges(placed: DataFrame) -> DataFrame:
-    """``block, low, high``: the ranges of its rows' distances to each pivot."""
-    cells = placed.select("block", F.posexplode("pivots").alias("p", "d")).groupBy("block", "p").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    packed = F.sort_array(F.collect_list(F.struct("p", "low", "high")))
-    return materialize(cells.groupBy("block").agg(packed.alias("r")).select("block", F.col("r.low").alias("low"), F.col("r.high").alias("high")))
-
-
 class _Nearest:
     """The ``k`` nearest rows met so far by each row of ``x``, by distance, then id; memory in proportion to ``k * len(x)``."""
 
@@ -163,7 +156,7 @@ def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_at", "ascending")])
-        x, ids, pivots = _matrix(table["features"]), table["rec_id"].to_numpy(), _matrix(table["pivots"])
+        x, ids, pivots = matrix(table["features"]), table["rec_id"].to_numpy(), matrix(table["pivots"])
         found = _Nearest(x, ids, k, table["bound"].to_numpy())
         found.feed(x, ids)
         first, _, distances = found.lists()
@@ -173,20 +166,20 @@ def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
         out = pack_rows(table["block"][0].as_py(), ids, x, pivots=pivots, reach=reach)
         head = [None] * (len(out["block"]) - 1)
         out |= {"low": [pivots.min(axis=0), *head], "high": [pivots.max(axis=0), *head], "most": [reach.max()] * len(out["block"])}
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), _PACK_TYPES)})
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), PACK_TYPES)})
 
     return placed.groupBy("block").applyInArrow(run, f"{PACKED}, pivots binary, reach binary, low array<double>, high array<double>, most double")
 
 
-_PACK_TYPES = (pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2, pa.float64())
+PACK_TYPES = (pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2, pa.float64())
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
-def _gap(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+def gap(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
     """Least distance that ranges of pivot distances leave between each row of the first and each of the second."""
     out = np.zeros((len(low), len(other_low)))
     for p in range(low.shape[1]):
@@ -195,7 +188,7 @@ def _gap(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: n
     return out
 
 
-def _slack(high: np.ndarray) -> float:
+def slack(high: np.ndarray) -> float:
     return SLACK * float(high.max(initial=0))
 
 
@@ -208,8 +201,8 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         low, high, there = stack(mine["low"]), stack(mine["high"]), stack(theirs["high"])
-        gap = _gap(low, high, stack(theirs["low"]), there)
-        near = gap <= mine["most"].to_numpy()[:, None] + max(_slack(high), _slack(there))
+        apart = gap(low, high, stack(theirs["low"]), there)
+        near = apart <= mine["most"].to_numpy()[:, None] + max(slack(high), slack(there))
         a, b = mine["block"].to_numpy(), theirs["block"].to_numpy()
         i, j = np.nonzero(near & (a[:, None] != b))
         return pd.DataFrame({"a": a[i], "b": b[j]})
@@ -217,7 +210,7 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return left.groupBy("ca", "cb").cogroup(right.groupBy("ca", "cb")).applyInPandas(run, "a long, b long")
 
 
-def _heads(rows: DataFrame) -> DataFrame:
+def heads(rows: DataFrame) -> DataFrame:
     return rows.filter("low is not null").select("block", "low", "high", "most")
 
 
@@ -230,8 +223,8 @@ def _lists(packs: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFrame:
         found = _Nearest(mine.x, mine.ids, k, reach)
         for block in theirs:
             low, high = np.array(block.facts["low"])[None], np.array(block.facts["high"])[None]
-            gap = _gap(own, own, low, high)[:, 0]
-            found.feed(block.x, block.ids, np.flatnonzero(gap <= np.sqrt(found.most) + max(_slack(own), _slack(high))))
+            apart = gap(own, own, low, high)[:, 0]
+            found.feed(block.x, block.ids, np.flatnonzero(apart <= np.sqrt(found.most) + max(slack(own), slack(high))))
         first, others, distances = found.lists()
         for i in range(0, len(reach), STRIP):
             cut = first[i : i + STRIP + 1]
@@ -255,8 +248,8 @@ def neighbour_lists(df: DataFrame, k: int, block_rows: int | None = None) -> Dat
     if not n:
         return df.sparkSession.createDataFrame([], "rec_id long, others array<long>, distances array<double>")
     packs = materialize(_within_blocks(place_rows(used, width, n, size, math.ceil(n / size), k), k))
-    heads = _heads(packs)
-    pairs = materialize(block_pairs(heads).unionByName(heads.select(F.col("block").alias("a"), F.col("block").alias("b"))))
+    first = heads(packs)
+    pairs = materialize(block_pairs(first).unionByName(first.select(F.col("block").alias("a"), F.col("block").alias("b"))))
     found = _lists(packs, pairs, k, width).filter(F.size("others") > 0)
     if used.groupBy("rec_id").count().filter("count > 1").isEmpty():
         return found
@@ -278,6 +271,6 @@ def met_share(df: DataFrame, k: int, block_rows: int | None = None) -> DataFrame
     n, width, size = _sizes(used, k, block_rows)
     rows = materialize(_within_blocks(place_rows(used, width, n, size, math.ceil(n / size), k), k))
     blocks = rows.agg((F.max("block") + 1).alias("blocks")).scalar()
-    met = block_pairs(_heads(rows)).agg(F.count(F.lit(1)).alias("met")).select(blocks.alias("blocks"), "met")
+    met = block_pairs(heads(rows)).agg(F.count(F.lit(1)).alias("met")).select(blocks.alias("blocks"), "met")
     pairs = F.col("blocks") * (F.col("blocks") - 1)
     return met.select("blocks", pairs.alias("pairs"), "met", F.try_divide("met", pairs).alias("share"))

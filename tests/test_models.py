@@ -190,6 +190,19 @@ def test_dbscan_by_brute_force(spark, eps, block_rows, monkeypatch):
     np.testing.assert_array_equal([r["is_core"] for r in found], core)
 
 
+def test_blocks_send_roots_not_points(spark, monkeypatch):
+    """Points are linked inside their block; components are looked for among the roots of blocks, and blocks do not grow in number with the table."""
+    seen = []
+    whole = pairwise.components
+    monkeypatch.setattr(pairwise, "components", lambda nodes, links: seen.append(nodes.count()) or whole(nodes, links))
+    x, _ = blobs(2, 600, d=2, apart=30)
+    want, core = brute_dbscan(x, 1.0, 5)
+    found = pairwise.density_clusters(matrix(spark, x), [1.0], 5).orderBy("rec_id").collect()
+    np.testing.assert_array_equal([r["label"] for r in found], want)
+    np.testing.assert_array_equal([r["is_core"] for r in found], core)
+    assert seen[0] < 100 < core.sum()
+
+
 def test_sweep_equals_single_runs(spark):
     x, _ = blobs(2, 50, d=2, apart=5)
     df = matrix(spark, x)
