@@ -10,16 +10,17 @@ are as small as the number of modes.  Their rows are clustered by k-means from m
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flighttone.operators.blocks import STRIP, squared, stack
-from flighttone.operators.neighbours import nearest
+from flighttone.operators.blocks import MEET_ROWS, STRIP, squared, stack
+from flighttone.operators.neighbours import TILE_ROWS, nearest
 from flighttone.operators.pairwise import components
 from flighttone.scale import join_unique, materialize
 
@@ -61,12 +62,20 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return found.select("id", "root")
 
 
-def _shortest_out(rows: DataFrame, blocks: int) -> DataFrame:
-    """The shortest link out of each part: ``root, src, dst, distance``; rows are ``id, root, features``."""
-    home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    mine = rows.withColumns({"a": home, "b": every})
-    theirs = rows.select(*[F.col(c).alias(c) for c in rows.columns], home.alias("b"), every.alias("a"))
+def _shortest_out(rows: DataFrame, blocks: int, largest: int, asking: int) -> DataFrame:
+    """The shortest link out of each part but the ``largest``: ``root, src, dst, distance``; rows are ``id, root, features``.
+
+    ``asking`` is the number of blocks of the rows that ask.
+    """
+
+    def home(count: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    mine = rows.filter(F.col("root") != largest).withColumns({"a": home(asking), "b": every(blocks)})
+    theirs = rows.select(*[F.col(c).alias(c) for c in rows.columns], home(blocks).alias("b"), every(asking).alias("a"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"root": [], "src": [], "dst": [], "distance": []})]
@@ -74,12 +83,12 @@ def _shortest_out(rows: DataFrame, blocks: int) -> DataFrame:
             return out[0]
         x, y, own, other = stack(left["features"]), stack(right["features"]), left["root"].to_numpy(), right["root"].to_numpy()
         ids, those = left["id"].to_numpy(), right["id"].to_numpy()
-        for i in range(0, len(x), STRIP):
-            d2 = squared(x[i : i + STRIP], y)
-            d2[own[i : i + STRIP, None] == other] = np.inf
+        for i, j in itertools.product(range(0, len(x), STRIP), range(0, len(y), MEET_ROWS)):
+            d2 = squared(x[i : i + STRIP], y[j : j + MEET_ROWS])
+            d2[own[i : i + STRIP, None] == other[j : j + MEET_ROWS]] = np.inf
             at = d2.argmin(axis=1)
             least = d2[np.arange(len(at)), at]
-            out.append(pd.DataFrame({"root": own[i : i + STRIP], "src": ids[i : i + STRIP], "dst": those[at], "distance": np.sqrt(least)})[np.isfinite(least)])
+            out.append(pd.DataFrame({"root": own[i : i + STRIP], "src": ids[i : i + STRIP], "dst": those[at + j], "distance": np.sqrt(least)})[np.isfinite(least)])
         whole = pd.concat(out).sort_values(["root", "distance", "src", "dst"])
         return whole.drop_duplicates("root")
 
@@ -89,17 +98,22 @@ def _shortest_out(rows: DataFrame, blocks: int) -> DataFrame:
     return best.select("root", "best.src", "best.dst", "best.distance")
 
 
-def joined_graph(df: DataFrame, neighbours: int, block_rows: int = 4096) -> DataFrame:
-    """The neighbour graph, its parts joined as a shortest tree over them would, with a link from every node to itself."""
+def joined_graph(df: DataFrame, neighbours: int, block_rows: int | None = None) -> DataFrame:
+    """The neighbour graph, its parts joined as a shortest tree over them would, with a link from every node to itself.
+
+    The shortest link out of a part belongs to that tree, whether or not all parts ask; the largest never does, which leaves few rows.
+    """
     nodes = df.select(F.col("rec_id").cast("long").alias("id"))
     links, scale = neighbour_graph(df, neighbours)
     links = materialize(links)
     parts = materialize(_parts(nodes, links))
     rows = df.select(F.col("rec_id").cast("long").alias("id"), F.col("features").cast("array<double>"))
-    blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    size = block_rows or min(TILE_ROWS, max(4096, -(-n // (2 * df.sparkSession.sparkContext.defaultParallelism))))
     bridges = []
     while parts.select("root").distinct().limit(2).count() > 1:
-        found = materialize(_shortest_out(rows.join(parts, "id"), blocks))
+        largest, most = parts.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+        found = materialize(_shortest_out(rows.join(parts, "id"), max(1, -(-n // size)), largest, max(1, -(-(n - most) // size))))
         share = F.try_divide(F.lit(scale), "distance")
         weight = F.coalesce(F.least(F.lit(1.0), share * share), F.lit(1.0)) / 2
         bridge = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("w"))
