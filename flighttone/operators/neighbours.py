@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flighttone.operators.blocks import MEET_ROWS, PACKED, STRIP, Block, Short, direct, meet, pack_rows, stack
+from flighttone.operators.blocks import MEET_ROWS, PACKED, STRIP, Block, Short, direct, meet, pack_rows, places, stack
 from flighttone.scale import materialize, with_position
 
 #: Pivots, cells, and rows and bytes of the sample they are taken from, at most.
@@ -27,6 +27,8 @@ PIVOTS, CELLS = 32, 256
 SAMPLE_ROWS, SAMPLE_BYTES = 4096, 32 << 20
 #: Rows of a block at most, and bytes of its features and neighbours.
 TILE_ROWS, TILE_BYTES = 65536, 128 << 20
+#: Pairs of a strip for each neighbour asked for, above which a bound is taken from the strip first.
+LOOSE = 8
 #: Rows of the table of blocks compared at once.
 CHUNK = 2048
 #: Distances are trusted up to this share of the largest one.
@@ -124,9 +126,11 @@ class _Nearest:
                 d2, at = short.strip(i), rows[i : i + STRIP]
                 if np.isin(ids[i : i + STRIP], those).any():
                     d2[ids[i : i + STRIP, None] == those] = np.inf
-                if len(those) >= self.k and np.isinf(self.most[at]).any():
+                near = self._within(d2, at, short.slack)
+                if len(those) >= self.k and np.count_nonzero(near) > LOOSE * self.k * len(at):
                     self.most[at] = np.minimum(self.most[at], np.partition(d2, self.k - 1, axis=1)[:, self.k - 1] + 2.0 * short.slack)
-                found, cols = np.nonzero((d2 <= (self.most[at] + short.slack).astype(d2.dtype)[:, None] * (1 + 1e-6)) & np.isfinite(d2))
+                    near = self._within(d2, at, short.slack)
+                found, cols = places(near)
                 exact, to, mine = direct(x, part, found + i, cols), those[cols], at[found]
                 keep = (exact < self.most[mine]) | ((exact == self.most[mine]) & (to <= self.last[mine]))
                 self._parts.append((mine[keep], to[keep], exact[keep]))
@@ -134,6 +138,11 @@ class _Nearest:
                 if self._held > 2 * self.k * len(self.x) + MEET_ROWS:
                     self._trim()
 
+    def _within(self, d2: np.ndarray, at: np.ndarray, slack: float) -> np.ndarray:
+        # A finite limit, as distances of a row to itself are infinite.
+        limit = np.minimum((self.most[at] + slack).astype(d2.dtype) * (1 + 1e-6), np.finfo(d2.dtype).max)
+        return d2 <= limit[:, None]
+
     def _trim(self) -> None:
         rows, others, d2 = (np.concatenate(p) for p in zip(*self._parts)) if self._parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         order = np.lexsort((others, d2, rows))
@@ -152,17 +161,21 @@ class _Nearest:
 
 
 def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
-    """Packed rows with ``reach``, how far neighbours are at most by those in the block; its first one has the ranges of its pivot distances."""
+    """Packed rows with ``reach``, how far neighbours are at most by some in the block; its first one has the ranges of its pivot distances."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_at", "ascending")])
         x, ids, pivots = matrix(table["features"]), table["rec_id"].to_numpy(), matrix(table["pivots"])
-        found = _Nearest(x, ids, k, table["bound"].to_numpy())
-        found.feed(x, ids)
-        first, _, distances = found.lists()
         reach = table["bound"].to_numpy().copy()
-        full = np.diff(first) == k
-        reach[full] = np.minimum(reach[full], distances[first[1:][full] - 1])
+        # Some rows next to each other are enough for a bound; the block meets itself again later.
+        step = max(MEET_ROWS, 4 * k)
+        for i in range(0, len(x), step):
+            part = reach[i : i + step]
+            found = _Nearest(x[i : i + step], ids[i : i + step], k, part)
+            found.feed(x[i : i + step], ids[i : i + step])
+            first, _, distances = found.lists()
+            full = np.diff(first) == k
+            part[full] = np.minimum(part[full], distances[first[1:][full] - 1])
         out = pack_rows(table["block"][0].as_py(), ids, x, pivots=pivots, reach=reach)
         head = [None] * (len(out["block"]) - 1)
         out |= {"low": [pivots.min(axis=0), *head], "high": [pivots.max(axis=0), *head], "most": [reach.max()] * len(out["block"])}

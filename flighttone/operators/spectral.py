@@ -10,17 +10,18 @@ are as small as the number of modes.  Their rows are clustered by k-means from m
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flighttone.operators.blocks import MEET_ROWS, STRIP, squared, stack
-from flighttone.operators.neighbours import TILE_ROWS, nearest
+from flighttone.operators.blocks import stack
+from flighttone.operators.bridges import shortest_out
+from flighttone.operators.graph import Graph, dense_modes, refined, turned
+from flighttone.operators.neighbours import nearest
 from flighttone.operators.pairwise import components
 from flighttone.scale import join_unique, materialize
 
@@ -30,6 +31,12 @@ COARSE = 1500
 SPARE = 4
 #: Steps of the walk before modes are turned, and times this is done at most.
 STEPS, TURNS = 6, 8
+#: Links whose parts one task finds, and bytes of a graph and its modes that one task holds.
+FEW_LINKS, WHOLE_BYTES = 4_000_000, 512 << 20
+#: Bytes that take a link, and a node's value in a mode; rows of modes sent at once.
+LINK_BYTES, MODE_BYTES, WHOLE_ROWS = 64, 32, 8192
+#: Parts of more than this share of the rows ask only when there are no smaller ones.
+ASKING = 64
 #: Change of a mode's decay, relative to it, that is good enough.
 SETTLED = 0.01
 #: Rows from which k-means starts are drawn, and passes at most.
@@ -58,62 +65,33 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = components(
         nodes.select(F.lit(0).alias("e"), "id"),
         links.filter("src < dst").select(F.lit(0).alias("e"), F.col("src").alias("u"), F.col("dst").alias("v")),
+        FEW_LINKS,
     )
     return found.select("id", "root")
 
 
-def _shortest_out(rows: DataFrame, blocks: int, largest: int, asking: int) -> DataFrame:
-    """The shortest link out of each part but the ``largest``: ``root, src, dst, distance``; rows are ``id, root, features``.
+def _asking(parts: DataFrame) -> DataFrame:
+    """The parts with ``asks``, whether a part's shortest link is looked for: those of small ones, as long as there are any, else of all but the largest.
 
-    ``asking`` is the number of blocks of the rows that ask.
+    The shortest link out of a part belongs to the tree, whether or not others ask.
     """
-
-    def home(count: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    mine = rows.filter(F.col("root") != largest).withColumns({"a": home(asking), "b": every(blocks)})
-    theirs = rows.select(*[F.col(c).alias(c) for c in rows.columns], home(blocks).alias("b"), every(asking).alias("a"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"root": [], "src": [], "dst": [], "distance": []})]
-        if left.empty or right.empty:
-            return out[0]
-        x, y, own, other = stack(left["features"]), stack(right["features"]), left["root"].to_numpy(), right["root"].to_numpy()
-        ids, those = left["id"].to_numpy(), right["id"].to_numpy()
-        for i, j in itertools.product(range(0, len(x), STRIP), range(0, len(y), MEET_ROWS)):
-            d2 = squared(x[i : i + STRIP], y[j : j + MEET_ROWS])
-            d2[own[i : i + STRIP, None] == other[j : j + MEET_ROWS]] = np.inf
-            at = d2.argmin(axis=1)
-            least = d2[np.arange(len(at)), at]
-            out.append(pd.DataFrame({"root": own[i : i + STRIP], "src": ids[i : i + STRIP], "dst": those[at + j], "distance": np.sqrt(least)})[np.isfinite(least)])
-        whole = pd.concat(out).sort_values(["root", "distance", "src", "dst"])
-        return whole.drop_duplicates("root")
-
-    found = mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(run, "root long, src long, dst long, distance double")
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    best = found.groupBy("root").agg(F.min(F.struct(F.round("distance", 9).alias("d"), low.alias("a"), high.alias("b"), "src", "dst", "distance")).alias("best"))
-    return best.select("root", "best.src", "best.dst", "best.distance")
+    sizes = materialize(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
+    small = F.col("n") * ASKING < sizes.agg(F.sum("n")).first()[0]
+    if sizes.filter(small).isEmpty():
+        small = F.col("root") != sizes.orderBy(F.desc("n"), "root").first()["root"]
+    return join_unique(parts, sizes.withColumn("asks", small), ["root"], "n").select("id", "root", "asks")
 
 
 def joined_graph(df: DataFrame, neighbours: int, block_rows: int | None = None) -> DataFrame:
-    """The neighbour graph, its parts joined as a shortest tree over them would, with a link from every node to itself.
-
-    The shortest link out of a part belongs to that tree, whether or not all parts ask; the largest never does, which leaves few rows.
-    """
+    """The neighbour graph, its parts joined as a shortest tree over them would, with a link from every node to itself."""
     nodes = df.select(F.col("rec_id").cast("long").alias("id"))
     links, scale = neighbour_graph(df, neighbours)
     links = materialize(links)
-    parts = materialize(_parts(nodes, links))
+    parts = materialize(_parts(nodes.distinct(), links))
     rows = df.select(F.col("rec_id").cast("long").alias("id"), F.col("features").cast("array<double>"))
-    n = rows.count()
-    size = block_rows or min(TILE_ROWS, max(4096, -(-n // (2 * df.sparkSession.sparkContext.defaultParallelism))))
     bridges = []
     while parts.select("root").distinct().limit(2).count() > 1:
-        largest, most = parts.groupBy("root").count().orderBy(F.desc("count"), "root").first()
-        found = materialize(_shortest_out(rows.join(parts, "id"), max(1, -(-n // size)), largest, max(1, -(-(n - most) // size))))
+        found = materialize(shortest_out(materialize(rows.join(_asking(parts), "id")), block_rows))
         share = F.try_divide(F.lit(scale), "distance")
         weight = F.coalesce(F.least(F.lit(1.0), share * share), F.lit(1.0)) / 2
         bridge = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("w"))
@@ -150,18 +128,41 @@ def _merged(links: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _solved(links: DataFrame, modes: int) -> DataFrame:
     """Slowest modes of a graph of at most some ``COARSE`` nodes: ``id, d, x0, x1, ...``."""
-    table = links.toPandas()
-    ids = np.unique(table["src"].to_numpy())
-    w = np.zeros((len(ids), len(ids)))
-    w[np.searchsorted(ids, table["src"]), np.searchsorted(ids, table["dst"])] = table["w"]
-    d = w.sum(axis=1)
-    root = np.sqrt(d)
-    _, vectors = np.linalg.eigh((w + w.T) / 2 / np.outer(root, root))
-    x = vectors[:, ::-1][:, :modes] / root[:, None]
-    columns = {"id": ids, "d": d} | {f"x{i}": x[:, i] for i in range(x.shape[1])}
+    graph = Graph.of(*(c.to_numpy() for c in links.select("src", "dst", "w").toArrow().columns))
+    x = dense_modes(graph, modes)
+    columns = {"id": graph.ids, "d": graph.d} | {f"x{i}": x[:, i] for i in range(x.shape[1])}
     return links.sparkSession.createDataFrame(pa.table(columns))
 
 
+def _whole(links: DataFrame, modes: int, wanted: int) -> DataFrame:
+    """The same of a graph that one task holds, by the same levels."""
+    coarse, steps, turns, settled = COARSE, STEPS, TURNS, SETTLED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not held:
+            return
+        graph = Graph.of(*(np.concatenate(c) for c in zip(*held)))
+        del held
+        levels = []
+        while len(graph.ids) > coarse:
+            small, groups = graph.smaller()
+            levels.append((graph, groups))
+            graph = small
+        x = dense_modes(graph, modes)
+        while levels:
+            graph, groups = levels.pop()
+            x = refined(graph, x[groups], wanted, steps, turns, settled)
+        x = np.pad(x, ((0, 0), (0, modes - x.shape[1])))
+        for i in range(0, len(x), WHOLE_ROWS):
+            rows = slice(i, i + WHOLE_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(graph.ids[rows]), pa.array(graph.d[rows]), *(pa.array(c) for c in x[rows].T)],
+                                             names=["id", "d", *(f"x{i}" for i in range(modes))])
+
+    schema = "id long, d double, " + ", ".join(f"x{i} double" for i in range(modes))
+    return links.select("src", "dst", "w").repartition(1).mapInArrow(run, schema).repartition("id")
+
+
 def _step(links: DataFrame, held: DataFrame, names: Sequence[str]) -> DataFrame:
     """One step of the walk: every node takes the mean of its neighbours."""
     met = links.join(held.select(F.col("id").alias("dst"), *names), "dst")
@@ -180,14 +181,9 @@ def _turned(before: DataFrame, after: DataFrame, names: Sequence[str]) -> tuple[
     for (a, b), g, h in zip(pairs, row[: len(pairs)], row[len(pairs) :]):
         gram[place[a], place[b]] = gram[place[b], place[a]] = g
         walk[place[a], place[b]] = walk[place[b], place[a]] = h
-    size = np.sqrt(np.diag(gram))
-    size[size == 0] = 1
-    values, base = np.linalg.eigh(gram / np.outer(size, size))
-    base = (base / np.sqrt(np.maximum(values, 1e-300)))[:, values > 1e-12] / size[:, None]
-    speeds, turn = np.linalg.eigh(base.T @ walk @ base)
-    turn = (base @ turn)[:, ::-1]
+    turn, decays = turned(gram, walk)
     mixed = [sum((F.col(a) * float(turn[i, j]) for i, a in enumerate(names)), F.lit(0.0)).alias(f"x{j}") for j in range(turn.shape[1])]
-    return before.select("id", "d", *mixed), 1 - speeds[::-1]
+    return before.select("id", "d", *mixed), decays
 
 
 def _refined(links: DataFrame, held: DataFrame, modes: int, wanted: int) -> DataFrame:
@@ -211,11 +207,15 @@ def slowest_modes(links: DataFrame, wanted: int) -> DataFrame:
     """``id, x`` with the first ``wanted`` right eigenvectors of the walk on a graph of links in both directions."""
     modes = wanted + SPARE
     levels = []
-    while links.select("src").distinct().limit(COARSE + 1).count() > COARSE:
+    while True:
+        nodes, count = links.agg(F.countDistinct("src"), F.count(F.lit(1))).first()
+        whole = nodes > COARSE and LINK_BYTES * count + MODE_BYTES * modes * nodes <= WHOLE_BYTES
+        if whole or nodes <= COARSE:
+            break
         groups = materialize(_smaller(links))
         levels.append((links, groups))
         links = materialize(_merged(links, groups))
-    held = _solved(links, modes)
+    held = materialize(_whole(links, modes, wanted)) if whole else _solved(links, modes)
     for level, groups in reversed(levels):
         # A merged node's value goes to all its members; hot ones have many.
         sizes = groups.groupBy("to").agg(F.count(F.lit(1)).alias("n"))

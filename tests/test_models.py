@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flighttone.operators import affinity, boosting, classify, cluster, features, joins, neighbours, pairwise, spectral
+from flighttone.operators import affinity, boosting, bridges, classify, cluster, features, graph, joins, neighbours, pairwise, spectral
 from flighttone import scale
 from flighttone.operators.features import FeatureSpec
 from tests.conftest import blobs, matrix
@@ -284,6 +284,77 @@ def test_shortest_tree_joins_the_parts(spark):
     assert np.ptp(modes[:, 0]) == pytest.approx(0, abs=1e-9) and (modes[:9, 1] * modes[9:, 1].mean() < 0).all()
 
 
+@pytest.mark.parametrize("block_rows", [None, 40])
+def test_shortest_links_out_of_parts(spark, block_rows):
+    """Far and near groups, copies in different parts, parts that do not ask, and values of any size, as all pairs tell."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(0, 1, (150, 20)) + 30 * np.eye(20)[3], rng.normal(0, 1, (150, 20)), rng.normal(0, 1e-3, (60, 20)) - 5000, np.ones((9, 20))])
+    part = np.concatenate([np.zeros(150, int), rng.integers(1, 30, 150), np.full(60, 40), [50, 50, 50, 51, 51, 52, 52, 52, 52]])
+    asks = part != 0
+    rows = spark.createDataFrame([(i, int(p), bool(a), [float(v) for v in r]) for i, (r, p, a) in enumerate(zip(x, part, asks))], "id long, root long, asks boolean, features array<double>")
+    found = {r["root"]: r for r in bridges.shortest_out(rows, block_rows).collect()}
+    assert set(found) == set(part[asks])
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for p in found:
+        mine = np.flatnonzero(part == p)
+        pairs = [(round(d[a, b], 9), min(a, b), max(a, b)) for a in mine for b in np.flatnonzero(part != p)]
+        got = found[p]["src"], found[p]["dst"]
+        assert (round(found[p]["distance"], 9), min(got), max(got)) == min(pairs) and part[got[0]] == p
+
+
+def test_rows_proven_too_far_do_not_meet(spark, monkeypatch):
+    """Of two groups apart only some rows have to be compared for the link between them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.1, (4000, 16)) + 10 * np.eye(16)[np.arange(4000) % 2]
+    rows = spark.createDataFrame([(i, i % 2, i % 2 == 1, [float(v) for v in r]) for i, r in enumerate(x)], "id long, root long, asks boolean, features array<double>")
+    left, once = [], bridges._sifted
+    monkeypatch.setattr(bridges, "_sifted", lambda *a: left.append(once(*a)) or left[-1])
+    best = bridges.shortest_out(rows).first()
+    assert left[-1].count() < 1000
+    d = np.sqrt(((x[1::2, None] - x[::2]) ** 2).sum(axis=2))
+    assert best["distance"] == pytest.approx(d.min()) and (best["src"], best["dst"]) == (2 * (d.argmin() // 2000) + 1, 2 * (d.argmin() % 2000))
+
+
+def test_small_parts_ask_first(spark):
+    parts = spark.createDataFrame([(i, 0 if i < 150 else 1 if i < 195 else i) for i in range(200)], "id long, root long")
+    assert {r["id"] for r in spectral._asking(parts).filter("asks").collect()} == set(range(195, 200))
+    assert {r["root"] for r in spectral._asking(parts.filter("id < 195")).filter("asks").collect()} == {1}
+
+
+@pytest.mark.parametrize("held", [0, 1 << 30])
+def test_levels_in_one_task_and_over_tables(spark, monkeypatch, held):
+    """A graph that one task holds has the modes that the tables of its links have, and those of all links at once."""
+    monkeypatch.setattr(spectral, "COARSE", 80)
+    monkeypatch.setattr(spectral, "WHOLE_BYTES", held)
+    links = spectral.joined_graph(matrix(spark, np.random.default_rng(2).normal(0, 1, (150, 3)) + 4 * np.eye(3)[np.arange(150) % 3]), 4)
+    modes = spectral.slowest_modes(links, 3).orderBy("id").collect()
+    assert [r["id"] for r in modes] == list(range(150))
+    w = np.zeros((150, 150))
+    for r in links.collect():
+        w[r["src"], r["dst"]] += r["w"]
+    x, d = np.array([r["x"] for r in modes]), w.sum(axis=1)
+    values = np.linalg.eigvalsh(w / np.sqrt(np.outer(d, d)))[::-1][:3]
+    got = [(v @ w @ v) / (v * d @ v) for v in x.T]
+    np.testing.assert_allclose(1 - np.array(got), 1 - values, rtol=0.05, atol=1e-6)
+
+
+def test_hash_of_pairs_is_that_of_columns(spark):
+    a, b = [1, 0, -7, 2**40], [2, 0, 2**62, -(2**63)]
+    rows = spark.createDataFrame(list(zip(a, b)), "a long, b long").selectExpr("xxhash64(a, b) AS h").collect()
+    assert graph.pair_hash(np.array(a), np.array(b)).tolist() == [r["h"] for r in rows]
+
+
+def test_loose_bounds_leave_the_neighbours(spark):
+    """Many rows of one block within the first bound: a bound is taken from the block."""
+    x = np.random.default_rng(8).normal(0, 1, (700, 6))
+    found = neighbours._Nearest(x, np.arange(700), 3, np.full(700, 50.0))
+    found.feed(x, np.arange(700))
+    held = found._held
+    first, others, _ = found.lists()
+    d = ((x[:, None] - x) ** 2).sum(axis=2) + np.diag(np.full(700, np.inf))
+    assert held < 20_000 and (others.reshape(700, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
 def test_mixture_drops_what_it_does_not_need(spark):
     x, y = blobs(2, 150, d=4, apart=15)
     found = labels_of(cluster.gaussian_mixture(matrix(spark, x), 5))
